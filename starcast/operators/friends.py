@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starcast.functions.text import friend_list
 from starcast.operators.skew import HeavyKeys, heavy_keys, lookup_join
 
 
+def _friends(users: DataFrame) -> Column:
+    """Distinct friends of a user, as ids of the same type as ``user_id``."""
+    return friend_list(F.col("friends")).cast(T.ArrayType(users.schema["user_id"].dataType))
+
+
 def friend_edges(users: DataFrame) -> DataFrame:
     """``user_id, friend_id``, each once."""
-    return users.select("user_id", F.explode(friend_list(F.col("friends"))).alias("friend_id"))
+    return users.select("user_id", F.explode(_friends(users)).alias("friend_id"))
 
 
 def mutual_friend_ratings(
@@ -31,12 +37,11 @@ def mutual_friend_ratings(
         heavy_users = heavy_keys(distinct, ["user_id"])
     if heavy_businesses is None:
         heavy_businesses = heavy_keys(distinct, ["business_id"])
-    id_type = latest.schema["user_id"].dataType
     listed = users.where(F.col("friends") != "None").select("user_id", "friends")
     befriended = lookup_join(distinct, listed, ["user_id"], heavy=heavy_users).select(
-        "user_id", "business_id", F.explode(friend_list(F.col("friends"))).cast(id_type).alias("friend_id")
+        "user_id", "business_id", F.explode(_friends(users)).alias("friend_id")
     )
-    popular = heavy_keys(friend_edges(users).withColumn("friend_id", F.col("friend_id").cast(id_type)), ["friend_id"])
+    popular = heavy_keys(friend_edges(users), ["friend_id"])
     return lookup_join(
         befriended,
         latest.select(F.col("user_id").alias("friend_id"), "business_id", "stars"),
