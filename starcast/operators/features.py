@@ -269,11 +269,12 @@ def fill_values(stats_from: DataFrame, cols: Sequence[str], sources: Mapping[str
 
 def fill_mean(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     """``df`` with NULL and NaN replaced, as DOUBLE columns."""
-    return df.withColumns({c: F.col(c).cast("double") for c in values}).fillna(dict(values))
+    return df.withColumns({c: F.expr(f"cast(`{c}` as double)") for c in values}).fillna(dict(values))
 
 
 def missing_flags(df: DataFrame, cols: Sequence[str], fill: float = 0.0) -> DataFrame:
     """``df`` with a 0/1 column ``<name>_missing`` per column of ``cols``, and ``fill`` in place of missing values."""
-    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    flagged = df.withColumns({f"{c}_missing": value[c].isNull().cast("double") for c in cols})
+    flagged = df.withColumns({
+        f"{c}_missing": F.expr(f"cast(`{c}` is null or isnan(`{c}`) as double)") for c in cols
+    })
     return fill_mean(flagged, dict.fromkeys(cols, fill))

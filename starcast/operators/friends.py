@@ -20,12 +20,18 @@ def friend_edges(users: DataFrame) -> DataFrame:
     return users.select("user_id", F.explode(_friends(users)).alias("friend_id"))
 
 
+def popular_friends(users: DataFrame) -> HeavyKeys:
+    """Users listed as a friend by very many others."""
+    return heavy_keys(friend_edges(users), ["friend_id"])
+
+
 def mutual_friend_ratings(
     pairs: DataFrame,
     users: DataFrame,
     latest: DataFrame,
     heavy_users: HeavyKeys | None = None,
     heavy_businesses: HeavyKeys | None = None,
+    popular: HeavyKeys | None = None,
 ) -> DataFrame:
     """For each distinct pair, the last rating of its business by each friend of its user.
 
@@ -41,12 +47,11 @@ def mutual_friend_ratings(
     befriended = lookup_join(distinct, listed, ["user_id"], heavy=heavy_users).select(
         "user_id", "business_id", F.explode(_friends(users)).alias("friend_id")
     )
-    popular = heavy_keys(friend_edges(users), ["friend_id"])
     return lookup_join(
         befriended,
         latest.select(F.col("user_id").alias("friend_id"), "business_id", "stars"),
         ["friend_id", "business_id"],
-        heavy=[popular, heavy_businesses],
+        heavy=[popular or popular_friends(users), heavy_businesses],
     ).select("user_id", "business_id", "friend_id", "stars")
 
 
@@ -56,7 +61,8 @@ def mutual_friend_mean(
     latest: DataFrame,
     heavy_users: HeavyKeys | None = None,
     heavy_businesses: HeavyKeys | None = None,
+    popular: HeavyKeys | None = None,
 ) -> DataFrame:
     """``user_id, business_id, friend_mean`` for the distinct pairs that have a friend's rating."""
-    rated = mutual_friend_ratings(pairs, users, latest, heavy_users, heavy_businesses)
+    rated = mutual_friend_ratings(pairs, users, latest, heavy_users, heavy_businesses, popular)
     return rated.groupBy("user_id", "business_id").agg(F.avg("stars").alias("friend_mean"))

@@ -84,4 +84,4 @@ def raters_by_business(ratings: DataFrame) -> DataFrame:
 
 def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row: the mean of the values of each column that are neither NULL nor NaN."""
-    return df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in cols])
+    return df.agg(*[F.expr(f"avg(nanvl(cast(`{c}` as double), cast(null as double))) as `{c}`") for c in cols])

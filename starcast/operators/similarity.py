@@ -24,10 +24,10 @@ from starcast.operators.skew import (
     HeavyKeys,
     blocked_join,
     heavy_from_counts,
-    heavy_keys,
+    heavy_in_each,
     lookup_join,
 )
-from starcast.session import materialize
+from starcast.session import materialize, materialize_measured, row_count
 
 # n_i * n_j * (n_i + n_j) * 100 fits a BIGINT up to this many rows; beyond it the sums are combined as DECIMAL(38,0).
 BIGINT_ROWS = 200_000
@@ -65,41 +65,51 @@ class RatingTables:
 
 def rating_tables(ratings: DataFrame, order_cols: Sequence[str] = ()) -> RatingTables:
     facts = materialize(rating_facts(ratings, order_cols), "ratings")
-    users = materialize(user_facts(facts), "rating-users")
-    businesses = materialize(business_facts(facts), "rating-businesses")
+    users, of_users = materialize_measured(user_facts(facts), "rating-users", most=F.max("rated"))
+    businesses, of_businesses = materialize_measured(
+        business_facts(facts), "rating-businesses", most=F.max("raters")
+    )
     return RatingTables(
         facts,
         users,
         businesses,
-        heavy_from_counts(users, ["user_id"], "rated", ROWS_PER_JOIN_BLOCK),
-        heavy_from_counts(businesses, ["business_id"], "raters", ROWS_PER_JOIN_BLOCK),
+        heavy_from_counts(users, ["user_id"], "rated", ROWS_PER_JOIN_BLOCK, of_users["most"] or 0),
+        heavy_from_counts(businesses, ["business_id"], "raters", ROWS_PER_JOIN_BLOCK, of_businesses["most"] or 0),
     )
 
 
-def heavy_partners(item_pairs: DataFrame) -> tuple[HeavyKeys, HeavyKeys]:
-    """Businesses with very many partners as the small and as the large one of a pair."""
-    return (
-        heavy_keys(item_pairs, ["small_id"], ROWS_PER_JOIN_BLOCK),
-        heavy_keys(item_pairs, ["large_id"], ROWS_PER_JOIN_BLOCK),
+@dataclass(frozen=True)
+class ItemPairs:
+    """A written table of distinct ``small_id, large_id``, and the businesses with very many partners on either side."""
+
+    table: DataFrame
+    heavy_small: HeavyKeys
+    heavy_large: HeavyKeys
+
+
+def item_pairs_table(oriented: DataFrame) -> ItemPairs:
+    table, measured = materialize_measured(
+        oriented.select("small_id", "large_id").distinct(), "item-pairs", total=row_count()
     )
+    return ItemPairs(table, *heavy_in_each(table, ["small_id", "large_id"], ROWS_PER_JOIN_BLOCK, measured["total"]))
 
 
-def corated(item_pairs: DataFrame, tables: RatingTables, partners: tuple[HeavyKeys, HeavyKeys]) -> DataFrame:
+def corated(item_pairs: ItemPairs, tables: RatingTables) -> DataFrame:
     """Users who rated both businesses: ``small_id, large_id, user_id, small_half, large_half``.
 
-    ``item_pairs`` holds distinct ``small_id, large_id`` and is read more than once. A probe key (large, user) repeats
-    at most as often as the large business has partners, and at most as often as the user has ratings.
+    A probe key (large, user) repeats at most as often as the large business has partners, and at most as often as the
+    user has ratings.
     """
     raters = tables.facts.select(F.col("business_id").alias("small_id"), "user_id", F.col("half").alias("small_half"))
     probes = tables.facts.select(F.col("business_id").alias("large_id"), "user_id", F.col("half").alias("large_half"))
     expanded = blocked_join(
-        item_pairs.select("small_id", "large_id"),
+        item_pairs.table,
         raters,
         ["small_id"],
-        partners[0],
+        item_pairs.heavy_small,
         tables.heavy_businesses.renamed("small_id"),
     )
-    return lookup_join(expanded, probes, ["large_id", "user_id"], heavy=[partners[1], tables.heavy_users])
+    return lookup_join(expanded, probes, ["large_id", "user_id"], heavy=[item_pairs.heavy_large, tables.heavy_users])
 
 
 def corated_sums(common: DataFrame) -> DataFrame:
@@ -136,13 +146,12 @@ def similarity_column() -> Column:
     return F.when((square_i == 0) | (square_j == 0), F.lit(1.0)).otherwise(dot / (F.sqrt(square_i) * F.sqrt(square_j)))
 
 
-def overlapping_similarity(item_pairs: DataFrame, tables: RatingTables) -> DataFrame:
-    """``small_id, large_id, common, similarity`` for the pairs of distinct ``item_pairs`` with a common rater."""
-    partners = heavy_partners(item_pairs)
-    sums = corated_sums(corated(item_pairs, tables, partners))
+def overlapping_similarity(item_pairs: ItemPairs, tables: RatingTables) -> DataFrame:
+    """``small_id, large_id, common, similarity`` for the pairs with a common rater."""
+    sums = corated_sums(corated(item_pairs, tables))
     totals = tables.businesses.select("business_id", "rows", "row_halves")
-    sums = lookup_join(sums, totals.toDF("small_id", "n_i", "t_i"), ["small_id"], heavy=partners[0])
-    sums = lookup_join(sums, totals.toDF("large_id", "n_j", "t_j"), ["large_id"], heavy=partners[1])
+    sums = lookup_join(sums, totals.toDF("small_id", "n_i", "t_i"), ["small_id"], heavy=item_pairs.heavy_small)
+    sums = lookup_join(sums, totals.toDF("large_id", "n_j", "t_j"), ["large_id"], heavy=item_pairs.heavy_large)
     return sums.select("small_id", "large_id", "common", similarity_column().alias("similarity"))
 
 
@@ -155,13 +164,10 @@ def item_similarity(item_pairs: DataFrame, tables: RatingTables) -> DataFrame:
     given = item_pairs.select("item_id", "other_id").distinct()
     for side in ["item_id", "other_id"]:
         given = lookup_join(given, raters.toDF(side, f"{side}_raters"), [side])
-    given = materialize(
-        given.select(
-            "item_id", "other_id", *order_by_raters("item_id", "other_id", "item_id_raters", "other_id_raters")
-        ),
-        "item-pairs",
+    given = given.select(
+        "item_id", "other_id", *order_by_raters("item_id", "other_id", "item_id_raters", "other_id_raters")
     )
-    similar = overlapping_similarity(given.select("small_id", "large_id").distinct(), tables)
+    similar = overlapping_similarity(item_pairs_table(given), tables)
     return given.join(similar, ["small_id", "large_id"], "left").select(
         "item_id",
         "other_id",

@@ -53,8 +53,15 @@ class HeavyKeys:
         return df.join(listed, list(self.keys), "left").fillna(1, [name])
 
 
-def heavy_from_counts(counts: DataFrame, keys: Sequence[str], rows: str, rows_per_block: int) -> HeavyKeys:
-    """The heavy keys of a table that holds one row per key with its row count in ``rows``."""
+def heavy_from_counts(
+    counts: DataFrame, keys: Sequence[str], rows: str, rows_per_block: int, most: int | None = None
+) -> HeavyKeys:
+    """The heavy keys of a table that holds one row per key with its row count in ``rows``.
+
+    ``most``: a bound for the counts, if known.
+    """
+    if most is not None and most <= rows_per_block:
+        return HeavyKeys(tuple(keys), rows_per_block, None)
     ranked = (
         counts.where(F.col(rows) > rows_per_block)
         .orderBy(F.desc(rows), *keys)
@@ -66,11 +73,37 @@ def heavy_from_counts(counts: DataFrame, keys: Sequence[str], rows: str, rows_pe
     return HeavyKeys(tuple(keys), rows_per_block, table)
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], rows_per_block: int = ROWS_PER_LOOKUP_BLOCK) -> HeavyKeys:
+def heavy_keys(
+    df: DataFrame, keys: Sequence[str], rows_per_block: int = ROWS_PER_LOOKUP_BLOCK, total: int | None = None
+) -> HeavyKeys:
+    """The heavy keys of ``df``. ``total``: its number of rows, if known; a table of one block is not counted."""
+    if total is not None and total <= rows_per_block:
+        return HeavyKeys(tuple(keys), rows_per_block, None)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     return heavy_from_counts(counts, keys, "rows", rows_per_block)
 
 
+def heavy_in_each(df: DataFrame, columns: Sequence[str], rows_per_block: int, total: int) -> list[HeavyKeys]:
+    """The heavy keys of each of several columns of one type, counted in one pass."""
+    if total <= rows_per_block:
+        return [HeavyKeys((column,), rows_per_block, None) for column in columns]
+    entries = F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).alias("id")) for i, c in enumerate(columns)])
+    counts = (
+        df.select(F.explode(entries).alias("entry"))
+        .groupBy(F.col("entry.column").alias("column"), F.col("entry.id").alias("id"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    heavy = heavy_from_counts(counts, ["column", "id"], "rows", rows_per_block).table
+    return [
+        HeavyKeys(
+            (column,),
+            rows_per_block,
+            None if heavy is None else heavy.where(F.col("column") == i).select(F.col("id").alias(column), "rows"),
+        )
+        for i, column in enumerate(columns)
+    ]
+
+
 def _deal(df: DataFrame, blocks: str) -> Column:
     """A block number for each row, the same if the task that reads the row is run again.
 

@@ -30,11 +30,11 @@ from starcast.operators.features import (
     missing_flags,
     user_features,
 )
-from starcast.operators.friends import mutual_friend_mean
+from starcast.operators.friends import mutual_friend_mean, popular_friends
 from starcast.operators.ids import mark_cold, prune_entities
 from starcast.operators.ratings import global_mean, latest_rating
 from starcast.operators.skew import HeavyKeys, heavy_keys
-from starcast.session import materialize
+from starcast.session import materialize, materialize_measured, row_count
 
 DEPTH_A_STACKED, TREES_B_STACKED = 6, 700
 
@@ -48,12 +48,11 @@ class Heavy:
     pairs: HeavyKeys
 
 
-def count_heavy(pairs: DataFrame) -> Heavy:
-    return Heavy(
-        heavy_keys(pairs, ["user_id"]),
-        heavy_keys(pairs, ["business_id"]),
-        heavy_keys(pairs, ["user_id", "business_id"]),
-    )
+def count_heavy(pairs: DataFrame, total: int) -> Heavy:
+    return Heavy(*[
+        heavy_keys(pairs, keys, total=total)
+        for keys in (["user_id"], ["business_id"], ["user_id", "business_id"])
+    ])
 
 
 @dataclass(frozen=True)
@@ -83,17 +82,20 @@ def pair_features(
     categories: int = TOP_CATEGORIES,
 ) -> PairFeatures:
     """Everything the tree models train on and score."""
-    ratings = materialize(ratings.select("user_id", "business_id", "stars", *order_cols), "train")
-    pairs = materialize(pairs.select("user_id", "business_id"), "pairs")
+    ratings, of_ratings = materialize_measured(
+        ratings.select("user_id", "business_id", "stars", *order_cols), "train", total=row_count()
+    )
+    pairs, of_pairs = materialize_measured(pairs.select("user_id", "business_id"), "pairs", total=row_count())
     users = materialize(prune_entities(users, ratings, pairs, "user_id"), "users")
     businesses = materialize(prune_entities(businesses, ratings, pairs, "business_id"), "businesses")
 
     labels = category_labels(businesses, categories)
     user_table, business_table = user_features(users), business_features(businesses, labels)
     latest = latest_rating(ratings, order_cols)
+    popular = popular_friends(users)
 
     def features(rows: DataFrame, heavy: Heavy, label: str) -> DataFrame:
-        friends = mutual_friend_mean(rows, users, latest)
+        friends = mutual_friend_mean(rows, users, latest, heavy.users, heavy.businesses, popular)
         return materialize(
             assemble_pair_features(
                 rows, user_table, business_table, friends, False, heavy.users, heavy.businesses, heavy.pairs
@@ -102,8 +104,8 @@ def pair_features(
         )
 
     train_rows = ratings.select("user_id", "business_id", F.col("stars").cast("double").alias("stars"))
-    train = features(train_rows, count_heavy(train_rows), "train-features")
-    heavy = count_heavy(pairs)
+    train = features(train_rows, count_heavy(train_rows, of_ratings["total"]), "train-features")
+    heavy = count_heavy(pairs, of_pairs["total"])
     known = features(pairs, heavy, "pair-features")
     marked = mark_cold(pairs, users, businesses, heavy.users, heavy.businesses)
     return PairFeatures(
@@ -119,7 +121,7 @@ def pair_features(
 
 def missing_columns(features: DataFrame, names: Sequence[str]) -> list[str]:
     """The feature columns that lack a value in some row."""
-    lacking = features.agg(*[F.max((F.col(c).isNull() | F.isnan(c)).cast("int")).alias(c) for c in names]).first()
+    lacking = features.agg(*[F.expr(f"max(`{c}` is null or isnan(`{c}`)) as `{c}`") for c in names]).first()
     return [c for c in names if lacking[c]]
 
 
@@ -153,14 +155,20 @@ def linear_recommender(
     categories: int = TOP_CATEGORIES,
 ) -> DataFrame:
     """Least squares on the linear views; a user or business without a row gets the default row. Not clipped."""
-    ratings = materialize(ratings.select("user_id", "business_id", "stars"), "train")
+    ratings, of_ratings = materialize_measured(
+        ratings.select("user_id", "business_id", "stars"), "train", total=row_count()
+    )
+    pairs, of_pairs = materialize_measured(pairs.select("user_id", "business_id"), "pairs", total=row_count())
     users = linear_user_view(prune_entities(users, ratings, pairs, "user_id"))
     pruned = materialize(prune_entities(businesses, ratings, pairs, "business_id"), "businesses")
     labels = category_labels(pruned, categories)
     businesses = linear_business_view(pruned, labels)
 
-    train = materialize(attach_with_defaults(ratings, users, businesses, labels), "linear-train")
-    scored = attach_with_defaults(pairs.select("user_id", "business_id"), users, businesses, labels)
+    in_train, in_pairs = count_heavy(ratings, of_ratings["total"]), count_heavy(pairs, of_pairs["total"])
+    train = materialize(
+        attach_with_defaults(ratings, users, businesses, labels, in_train.users, in_train.businesses), "linear-train"
+    )
+    scored = attach_with_defaults(pairs, users, businesses, labels, in_pairs.users, in_pairs.businesses)
     names = feature_names(train)
     imputer = mean_imputer(train, names)
     model = fit_linear(imputer.transform(train), imputer.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -54,7 +55,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     For results that several later stages, or an iterative fit, read again. Unlike cached blocks the table outlives a
     lost executor, and unlike a checkpointed RDD it keeps column pruning and filter push-down.
     """
+    return materialize_measured(df, label)[0]
+
+
+def materialize_measured(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """As :func:`materialize`; also returns aggregates of the written rows, which cost no further pass."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    observed: dict = {}
+    if measures:
+        observation = Observation()
+        df.observe(observation, *[measure.alias(name) for name, measure in measures.items()]).write.parquet(path)
+        observed = observation.get
+    else:
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), observed
+
+
+def row_count() -> Column:
+    return F.count(F.lit(1))
