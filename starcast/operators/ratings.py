@@ -15,7 +15,9 @@ from starcast.functions.numeric import half_stars
 
 
 def _last_stars(order_cols: Sequence[str], stars: Column) -> Column:
-    """Stars of the last row in the order; equal positions fall to the higher rating."""
+    """Stars of the last row in the order; equal positions, or no order at all, fall to the higher rating."""
+    if not order_cols:
+        return F.max(stars)
     return F.max(F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_cols)], stars.alias("s")))["s"]
 
 
