@@ -36,7 +36,7 @@ from starcast.operators.skew import lookup_join
 from starcast.plans import recommenders
 from starcast.plans.evaluation import evaluate
 from starcast.plans.item_cf import item_cf
-from starcast.session import materialize, shared_path
+from starcast.session import materialize, materialize_measured, row_count, shared_path
 from starcast.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,9 +76,17 @@ class Inputs:
     def businesses(self) -> DataFrame:
         return self._view(views.businesses)
 
+    @cached_property
+    def pair_table(self) -> tuple[DataFrame, recommenders.Heavy]:
+        """The pairs as a written table, with the heavy keys of its joins."""
+        table, measured = materialize_measured(self.pairs, "pairs", total=row_count())
+        return table, recommenders.count_heavy(table, measured["total"])
+
     @cached_property
     def used_businesses(self) -> DataFrame:
-        return ids.prune_entities(self.businesses, self.ratings, self.pairs, "business_id")
+        return materialize(
+            ids.prune_entities(self.businesses, self.ratings, self.pairs, "business_id"), "used-businesses"
+        )
 
     @cached_property
     def latest(self) -> DataFrame:
@@ -90,7 +98,9 @@ class Inputs:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return sim.cf_candidates(self.pairs, self.latest)
+        """Every rated business of the user of each pair. Read several times, and as long as all histories together."""
+        history = self.tables.facts.select(*PAIR, (F.col("half") / 2).alias("stars"))
+        return materialize(sim.cf_candidates(self.pair_table[0], history), "candidates")
 
     @cached_property
     def item_pairs(self) -> DataFrame:
@@ -105,11 +115,14 @@ class Inputs:
     @cached_property
     def predictions(self) -> DataFrame:
         """Cheap predictions to compare with the truth: the cold-start rule on every pair."""
-        return cold_start_prediction(self.pairs, self.users, self.businesses, self.mean_stars)
+        table, heavy = self.pair_table
+        return cold_start_prediction(
+            table, self.users, self.businesses, self.mean_stars, heavy.users, heavy.businesses
+        )
 
     @cached_property
     def joined(self) -> DataFrame:
-        return errors.join_truth(self.truth, self.predictions)
+        return errors.join_truth(materialize(self.truth, "truth"), materialize(self.predictions, "predictions"))
 
     @cached_property
     def labels(self) -> list[str]:
@@ -121,18 +134,19 @@ class Inputs:
 
     @cached_property
     def linear_train(self) -> DataFrame:
-        rated = self.ratings.select(*PAIR, "stars")
-        return features.attach_with_defaults(rated, *self.linear_views, self.labels)
+        rated, measured = materialize_measured(self.ratings.select(*PAIR, "stars"), "rated", total=row_count())
+        heavy = recommenders.count_heavy(rated, measured["total"])
+        return features.attach_with_defaults(
+            rated, *self.linear_views, self.labels, heavy.users, heavy.businesses
+        )
+
+    @cached_property
+    def prepared(self) -> recommenders.Prepared:
+        return recommenders.prepare(self.ratings, self.users, self.businesses, self.pairs, views.RATING_ORDER)
 
     @cached_property
     def train_features(self) -> DataFrame:
-        rated = self.ratings.select(*PAIR, F.col("stars").cast("double").alias("stars"))
-        return features.assemble_pair_features(
-            rated,
-            features.user_features(self.users),
-            features.business_features(self.used_businesses, self.labels),
-            mutual_friend_mean(rated, self.users, self.latest),
-        )
+        return materialize(self.prepared.train_features(), "train-features")
 
     @cached_property
     def model_rows(self) -> tuple[DataFrame, list[str]]:
@@ -335,19 +349,21 @@ def attach_business_features(d: Inputs) -> DataFrame:
 
 @query
 def attach_with_defaults(d: Inputs) -> DataFrame:
-    attached = features.attach_with_defaults(d.pairs, *d.linear_views, d.labels)
+    table, heavy = d.pair_table
+    attached = features.attach_with_defaults(table, *d.linear_views, d.labels, heavy.users, heavy.businesses)
     plain = [c for c in features.feature_names(attached) if not c.startswith("b_category_")]
     return attached.select(*PAIR, *plain, flag_text("b_", d.labels))
 
 
 @query
 def mutual_friends(d: Inputs) -> DataFrame:
-    return mutual_friend_ratings(d.pairs, d.users, d.latest)
+    table, heavy = d.pair_table
+    return mutual_friend_ratings(table, d.users, d.latest, heavy.users, heavy.businesses)
 
 
 @query
 def cf_candidates(d: Inputs) -> DataFrame:
-    return d.candidates.select(*PAIR, "other_id", "stars")
+    return sim.cf_candidates(d.pairs, d.latest).select(*PAIR, "other_id", "stars")
 
 
 @query
@@ -426,7 +442,8 @@ def category_counts(d: Inputs) -> DataFrame:
 
 @query
 def mutual_friend_means(d: Inputs) -> DataFrame:
-    means = mutual_friend_mean(d.pairs, d.users, d.latest)
+    table, heavy = d.pair_table
+    means = mutual_friend_mean(table, d.users, d.latest, heavy.users, heavy.businesses)
     return means.select(*PAIR, rounded("friend_mean", "friend_mean"))
 
 
@@ -635,11 +652,11 @@ def fill_mean(d: Inputs) -> DataFrame:
 
 @query
 def assemble_pair_features(d: Inputs) -> DataFrame:
-    train = d.train_features
+    train = d.prepared.train_features()
     plain = [c for c in features.feature_names(train) if not c.startswith("b_category_")]
     vector = assembler([c for c in plain if c.startswith("u_")], "user_vector")
     assembled = vector.transform(train)
-    return assembled.select(*PAIR, "stars", *[rounded(c, c) for c in plain], flag_text("b_", d.labels))
+    return assembled.select(*PAIR, "stars", *[rounded(c, c) for c in plain], flag_text("b_", d.prepared.labels))
 
 
 # Models

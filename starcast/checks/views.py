@@ -27,7 +27,9 @@ def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("sk"),
         F.col("l_quantity").alias("q"),
     )
-    return lines.join(orders, "k")
+    # The join shuffles large tables by order in any case. Asking for it spreads the rows of a small file, which is read
+    # by one task, over all of them.
+    return lines.repartition("k").join(orders, "k")
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,9 +161,12 @@ def item_similarity(item_pairs: DataFrame, tables: RatingTables) -> DataFrame:
     Two businesses without a common rater have similarity 1, as have two whose common ratings do not vary.
     """
     raters = tables.businesses.select("business_id", "raters")
-    given = item_pairs.select("item_id", "other_id").distinct()
-    for side in ["item_id", "other_id"]:
-        given = lookup_join(given, raters.toDF(side, f"{side}_raters"), [side])
+    given, measured = materialize_measured(
+        item_pairs.select("item_id", "other_id").distinct(), "given-item-pairs", total=row_count()
+    )
+    sides = ["item_id", "other_id"]
+    for side, heavy in zip(sides, heavy_in_each(given, sides, ROWS_PER_JOIN_BLOCK, measured["total"])):
+        given = lookup_join(given, raters.toDF(side, f"{side}_raters"), [side], heavy=heavy)
     given = given.select(
         "item_id", "other_id", *order_by_raters("item_id", "other_id", "item_id_raters", "other_id_raters")
     )

@@ -73,15 +73,50 @@ class PairFeatures:
         return append_predictions(known, cold)
 
 
-def pair_features(
+@dataclass(frozen=True)
+class Prepared:
+    """The written inputs of the tree models, with what their joins need to know."""
+
+    ratings: DataFrame
+    pairs: DataFrame
+    users: DataFrame
+    businesses: DataFrame
+    labels: list[str]
+    latest: DataFrame
+    heavy_ratings: Heavy
+    heavy_pairs: Heavy
+    popular: HeavyKeys
+
+    def features(self, rows: DataFrame, heavy: Heavy) -> DataFrame:
+        """``rows`` of users and businesses, those with both entity rows, with the features of the tree models."""
+        friends = mutual_friend_mean(rows, self.users, self.latest, heavy.users, heavy.businesses, self.popular)
+        return assemble_pair_features(
+            rows,
+            user_features(self.users),
+            business_features(self.businesses, self.labels),
+            friends,
+            False,
+            heavy.users,
+            heavy.businesses,
+            heavy.pairs,
+        )
+
+    def train_features(self) -> DataFrame:
+        rows = self.ratings.select("user_id", "business_id", F.col("stars").cast("double").alias("stars"))
+        return self.features(rows, self.heavy_ratings)
+
+    def known_features(self) -> DataFrame:
+        return self.features(self.pairs, self.heavy_pairs)
+
+
+def prepare(
     ratings: DataFrame,
     users: DataFrame,
     businesses: DataFrame,
     pairs: DataFrame,
     order_cols: Sequence[str] = (),
     categories: int = TOP_CATEGORIES,
-) -> PairFeatures:
-    """Everything the tree models train on and score."""
+) -> Prepared:
     ratings, of_ratings = materialize_measured(
         ratings.select("user_id", "business_id", "stars", *order_cols), "train", total=row_count()
     )
@@ -89,33 +124,41 @@ def pair_features(
     users = materialize(prune_entities(users, ratings, pairs, "user_id"), "users")
     businesses = materialize(prune_entities(businesses, ratings, pairs, "business_id"), "businesses")
 
-    labels = category_labels(businesses, categories)
-    user_table, business_table = user_features(users), business_features(businesses, labels)
-    latest = latest_rating(ratings, order_cols)
-    popular = popular_friends(users)
-
-    def features(rows: DataFrame, heavy: Heavy, label: str) -> DataFrame:
-        friends = mutual_friend_mean(rows, users, latest, heavy.users, heavy.businesses, popular)
-        return materialize(
-            assemble_pair_features(
-                rows, user_table, business_table, friends, False, heavy.users, heavy.businesses, heavy.pairs
-            ),
-            label,
-        )
+    return Prepared(
+        ratings=ratings,
+        pairs=pairs,
+        users=users,
+        businesses=businesses,
+        labels=category_labels(businesses, categories),
+        latest=latest_rating(ratings, order_cols),
+        heavy_ratings=count_heavy(ratings, of_ratings["total"]),
+        heavy_pairs=count_heavy(pairs, of_pairs["total"]),
+        popular=popular_friends(users),
+    )
 
-    train_rows = ratings.select("user_id", "business_id", F.col("stars").cast("double").alias("stars"))
-    train = features(train_rows, count_heavy(train_rows, of_ratings["total"]), "train-features")
-    heavy = count_heavy(pairs, of_pairs["total"])
-    known = features(pairs, heavy, "pair-features")
-    marked = mark_cold(pairs, users, businesses, heavy.users, heavy.businesses)
+
+def pair_features(
+    ratings: DataFrame,
+    users: DataFrame,
+    businesses: DataFrame,
+    pairs: DataFrame,
+    order_cols: Sequence[str] = (),
+    categories: int = TOP_CATEGORIES,
+) -> PairFeatures:
+    """Everything the tree models train on and score."""
+    made = prepare(ratings, users, businesses, pairs, order_cols, categories)
+    train = materialize(made.train_features(), "train-features")
+    known = materialize(made.known_features(), "pair-features")
+    heavy = made.heavy_pairs
+    marked = mark_cold(made.pairs, made.users, made.businesses, heavy.users, heavy.businesses)
     return PairFeatures(
         train=train,
         known=known,
-        cold=marked.where("is_cold").drop("is_cold"),
+        cold=materialize(marked.where("is_cold").drop("is_cold"), "cold-pairs"),
         names=feature_names(train),
-        users=users,
-        businesses=businesses,
-        mean_stars=global_mean(ratings).first()[0],
+        users=made.users,
+        businesses=made.businesses,
+        mean_stars=global_mean(made.ratings).first()[0],
     )
 
 

@@ -16,6 +16,8 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         .appName("starcast")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small written tables are still read by all cores.
+        .config("spark.sql.files.openCostInBytes", str(256 * 1024))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
