@@ -105,7 +105,7 @@ class Inputs:
     @cached_property
     def item_pairs(self) -> DataFrame:
         """Businesses to compare: those of a pair with a rated business, and each one its user rated."""
-        rated = self.candidates.join(self.tables.businesses, "business_id", "left_semi")
+        rated = lookup_join(self.candidates, self.tables.businesses.select("business_id"), ["business_id"])
         return rated.select(F.col("business_id").alias("item_id"), "other_id").distinct()
 
     @cached_property
@@ -456,7 +456,7 @@ def item_similarity(d: Inputs) -> DataFrame:
 @query
 def weighted_prediction(d: Inputs) -> DataFrame:
     similar = sim.item_similarity(d.item_pairs, d.tables).withColumnRenamed("item_id", "business_id")
-    neighbours = d.candidates.join(similar, ["business_id", "other_id"])
+    neighbours = lookup_join(d.candidates, similar, ["business_id", "other_id"])
     return sim.weighted_prediction(neighbours).select(*PAIR, rounded("prediction", "prediction"))
 
 

@@ -49,8 +49,10 @@ class HeavyKeys:
     def attach(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` plus the number of blocks of its key as ``name``, 1 for keys that are not heavy."""
         blocks = F.ceil(F.col("rows") / self.rows_per_block).cast("int")
-        listed = F.broadcast(self.table.select(*self.keys, blocks.alias(name)))
-        return df.join(listed, list(self.keys), "left").fillna(1, [name])
+        listed = self.table.select(*[F.col(key).alias(f"__{key}") for key in self.keys], blocks.alias(name))
+        # A missing key can be heavy too: it matches nothing, but a left join has to shuffle its rows.
+        same = [F.col(key).eqNullSafe(F.col(f"__{key}")) for key in self.keys]
+        return df.join(F.broadcast(listed), same, "left").select(*df.columns, F.coalesce(name, F.lit(1)).alias(name))
 
 
 def heavy_from_counts(

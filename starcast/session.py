@@ -51,6 +51,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def discard_intermediates(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far, once the results that read them are stored."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        deleted += path.getFileSystem(configuration).delete(path, True)
+    return deleted
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 
@@ -64,6 +77,7 @@ def materialize_measured(df: DataFrame, label: str, **measures: Column) -> tuple
     """As :func:`materialize`; also returns aggregates of the written rows, which cost no further pass."""
     spark = df.sparkSession
     path = shared_path(spark, label)
+    _written.append(path)
     observed: dict = {}
     if measures:
         observation = Observation()

@@ -36,6 +36,10 @@ def sorted_rows(columns: list[str], rows: list[tuple]) -> list[tuple]:
     return sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
+# Spark type of each SQL type that the queries may return.
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+
+
 def difference(spark, engine, name: str, sf_dir: str) -> str | None:
     """What differs between the query and its SQL, or None."""
     df = entry.queries()[name](spark, sf_dir)
@@ -48,6 +52,10 @@ def difference(spark, engine, name: str, sf_dir: str) -> str | None:
     expected = result.fetchall()
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(columns)}"
+    types = {c[0]: TYPES.get(str(c[1]), str(c[1])) for c in result.description}
+    other = {c: (kind, types[c]) for c, kind in df.dtypes if kind != types[c]}
+    if other:
+        return f"types {other}"
     if len(rows) != len(expected):
         return f"{len(rows)} and {len(expected)} rows"
     ours, theirs = sorted_rows(df.columns, rows), sorted_rows(columns, expected)

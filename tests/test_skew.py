@@ -77,3 +77,16 @@ def test_repeat_rows(spark):
         assert [v for (v,) in rows_of(repeat_rows(df, "copies", 7, block))] == expected
     single = repeat_rows(df.where("v = 'x'"), "copies", 1)
     assert rows_of(single) == [("x",)]
+
+
+def test_rows_without_a_key_are_spread_too(spark):
+    fact = spark.createDataFrame([(None, i) for i in range(60)] + [(1, 99)], "k long, a long").repartition(4)
+    dim = spark.createDataFrame([(1, 5), (None, 6)], "k long, b long")
+    heavy = heavy_keys(fact, ["k"], 10)
+    joined = lookup_join(fact, dim, ["k"], "left", heavy)
+    assert rows_of(joined, "k", "a", "b") == rows_of(fact.join(dim, "k", "left"), "k", "a", "b")
+    from starcast.operators.skew import _deal
+
+    dealt = heavy.attach(fact, "blocks").where("k is null")
+    assert dealt.select("blocks").distinct().first()[0] == 6
+    assert dealt.select(_deal(fact, "blocks")).distinct().count() > 1

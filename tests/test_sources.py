@@ -3,7 +3,7 @@ import pytest
 from conftest import rows_of
 
 from starcast.schemas import BUSINESS
-from starcast.session import materialize, materialize_measured, row_count, shared_dir
+from starcast.session import discard_intermediates, materialize, materialize_measured, row_count, shared_dir
 from starcast.sources import files
 
 
@@ -58,3 +58,11 @@ def test_written_tables(spark):
     assert rows_of(written) == rows_of(df) == rows_of(materialize(df, "test"))
     assert written.inputFiles()[0].replace("file://", "").startswith(shared_dir(spark).replace("file:", ""))
     assert BUSINESS["attributes"].dataType.valueType.simpleString() == "string"
+
+
+def test_intermediates_can_be_discarded(spark):
+    discard_intermediates(spark)
+    written = materialize(spark.range(5), "test")
+    assert written.count() == 5
+    assert discard_intermediates(spark) == 1
+    assert discard_intermediates(spark) == 0
