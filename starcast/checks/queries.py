@@ -136,9 +136,10 @@ class Inputs:
     def linear_train(self) -> DataFrame:
         rated, measured = materialize_measured(self.ratings.select(*PAIR, "stars"), "rated", total=row_count())
         heavy = recommenders.count_heavy(rated, measured["total"])
-        return features.attach_with_defaults(
+        attached = features.attach_with_defaults(
             rated, *self.linear_views, self.labels, heavy.users, heavy.businesses
         )
+        return materialize(attached, "linear-train")
 
     @cached_property
     def prepared(self) -> recommenders.Prepared:

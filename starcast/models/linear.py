@@ -11,11 +11,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, ImputerModel, RobustScaler, VectorAssembler
+from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starcast.operators.features import fill_mean
 from starcast.operators.ratings import column_means
 
 # The best parameters found by the searches in ``starcast.models.search``.
@@ -26,22 +27,23 @@ RIDGE_ALPHA = 1.0
 
 @dataclass(frozen=True)
 class MeanImputer:
-    """Fitted on the training rows; columns without a single value there are left out."""
+    """Means of the training rows; columns without a single value there are left out."""
 
-    model: ImputerModel | None
-    columns: list[str]
+    means: dict[str, float]
     dropped: list[str]
 
+    @property
+    def columns(self) -> list[str]:
+        return list(self.means)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        df = df.drop(*self.dropped)
-        return self.model.transform(df) if self.model else df
+        return fill_mean(df.drop(*self.dropped), self.means) if self.means else df.drop(*self.dropped)
 
 
 def mean_imputer(train: DataFrame, cols: Sequence[str]) -> MeanImputer:
-    means = column_means(train, cols).first()
-    kept = [c for c in cols if means[c] is not None]
-    model = Imputer(strategy="mean", inputCols=kept, outputCols=kept).fit(train) if kept else None
-    return MeanImputer(model, kept, [c for c in cols if c not in kept])
+    means = column_means(train, cols).first().asDict()
+    kept = {c: means[c] for c in cols if means[c] is not None}
+    return MeanImputer(kept, [c for c in cols if c not in kept])
 
 
 def assembler(features: Sequence[str], output: str = "features") -> VectorAssembler:
