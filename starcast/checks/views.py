@@ -1,4 +1,8 @@
-"""The test tables seen as ratings: customers are users, parts are businesses, order lines are ratings."""
+"""The test tables seen as ratings: customers are users, parts are businesses, order lines are ratings.
+
+The remainders below are the split itself: every order is used, one in five of them is held out of training and one in
+fifty is scored, and some users and businesses have no training rows, or no entity row, so that every cold case occurs.
+"""
 
 from __future__ import annotations
 
