@@ -44,6 +44,16 @@ def fit_trees(train: DataFrame, features: Sequence[str], trees: GBTRegressor) ->
     return Pipeline(stages=[assembler(features, column), trees.copy().setFeaturesCol(column)]).fit(train)
 
 
+def fit_on_vectors(vectors: DataFrame, features: Sequence[str], trees: GBTRegressor) -> PipelineModel:
+    """As :func:`fit_trees`, for training rows whose ``features`` column is assembled already.
+
+    The trainer reads its input several times, so boosters that share their columns share one written table of vectors.
+    """
+    fitted = trees.copy().setFeaturesCol("features").fit(vectors)
+    column = f"{trees.getPredictionCol()}_features"
+    return PipelineModel(stages=[assembler(features, column), fitted.setFeaturesCol(column)])
+
+
 def fit_gbt_a(train: DataFrame, features: Sequence[str], label: str = "stars", **params) -> PipelineModel:
     return fit_trees(train, features, gbt_a(label, **params))
 

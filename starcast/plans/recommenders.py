@@ -14,7 +14,7 @@ from starcast.models.linear import assembler, fit_linear, mean_imputer
 from starcast.models.search import GBT_A_GRID, GBT_B_GRID, grid_search
 from starcast.models.stacking import fit_stacked
 from starcast.models.store import save_model
-from starcast.models.trees import fit_trees, gbt_a, gbt_b
+from starcast.models.trees import fit_on_vectors, gbt_a, gbt_b
 from starcast.operators.coldstart import append_predictions, cold_start_prediction
 from starcast.operators.features import (
     TOP_CATEGORIES,
@@ -218,12 +218,18 @@ def linear_recommender(
     return model.transform(imputer.transform(scored)).select("user_id", "business_id", "prediction")
 
 
+def training_vectors(inputs: TreeInput) -> DataFrame:
+    """A written table of the training rows as vectors."""
+    wide = assembler(inputs.names).transform(inputs.train)
+    return materialize(wide.select("user_id", "business_id", "stars", "features"), "train-vectors")
+
+
 def fit_boosters(
-    inputs: TreeInput, params_a: Mapping | None = None, params_b: Mapping | None = None
+    inputs: TreeInput, vectors: DataFrame, params_a: Mapping | None = None, params_b: Mapping | None = None
 ) -> tuple[PipelineModel, PipelineModel]:
     """The two boosters; their predictions are named ``prediction_a`` and ``prediction_b``."""
-    a = fit_trees(inputs.train, inputs.names, gbt_a(prediction="prediction_a", **(params_a or {})))
-    b = fit_trees(inputs.train, inputs.names, gbt_b(prediction="prediction_b", **(params_b or {})))
+    a = fit_on_vectors(vectors, inputs.names, gbt_a(prediction="prediction_a", **(params_a or {})))
+    b = fit_on_vectors(vectors, inputs.names, gbt_b(prediction="prediction_b", **(params_b or {})))
     return a, b
 
 
@@ -239,7 +245,7 @@ def hybrid_recommender(
     """The clipped mean of two boosters for known pairs, and the cold-start rule for the rest."""
     features = pair_features(ratings, users, businesses, pairs, order_cols)
     inputs = tree_input(features)
-    a, b = fit_boosters(inputs, params_a, params_b)
+    a, b = fit_boosters(inputs, training_vectors(inputs), params_a, params_b)
     scored = b.transform(a.transform(inputs.known))
     mixed = clip(ensemble_mean(F.col("prediction_a"), F.col("prediction_b")))
     return features.with_cold(scored.select("user_id", "business_id", mixed.alias("prediction")))
@@ -268,6 +274,7 @@ def stacked_recommender(
     inputs = tree_input(features)
     a, b = fit_boosters(
         inputs,
+        training_vectors(inputs),
         {"maxDepth": DEPTH_A_STACKED, **(params_a or {})},
         {"maxIter": TREES_B_STACKED, "minInstancesPerNode": 1, **(params_b or {})},
     )
@@ -314,18 +321,15 @@ def train_job(
 ) -> TrainReport:
     """Fit and save both boosters, then search their parameters. A grid of None skips its search."""
     inputs = tree_input(pair_features(ratings, users, businesses, pairs, order_cols))
-    a, b = fit_boosters(inputs, params_a, params_b)
+    vectors = training_vectors(inputs)
+    a, b = fit_boosters(inputs, vectors, params_a, params_b)
     paths = [f"{model_dir.rstrip('/')}/gbt_{name}" for name in ("a", "b")]
     for model, path in zip((a, b), paths):
         save_model(model, path)
     searches = {}
-    vectors = None
     for name, trees, params, grid in [("gbt_a", gbt_a, params_a, grid_a), ("gbt_b", gbt_b, params_b, grid_b)]:
         if grid is None:
             continue
-        if vectors is None:
-            wide = assembler(inputs.names).transform(inputs.train)
-            vectors = materialize(wide.select("user_id", "business_id", "stars", "features"), "train-vectors")
         best, score, _ = grid_search(vectors, trees(**(params or {})), grid, folds=folds, parallelism=parallelism)
         searches[name] = (best, score)
     return TrainReport(*paths, searches)
