@@ -16,7 +16,7 @@ Rounds:
 2. Those left by all bytes that their strings cover. If these occur again, so do all the strings.
 3. One anchor for each other such context goes on: its strings in blocks of ``BLOCK`` starts, by the name of the bytes
    that all strings of a block share, then by those that the block covers.
-4. The strings of blocks that are still undecided, one by one.
+4. The strings of blocks that are still undecided, one by one, by the few bytes that they hold beside the shared ones.
 
 No round compares pairs, and what a name needs is a count, a least and a largest value, combined before the shuffle.
 
@@ -39,9 +39,11 @@ from starcast.session import materialize
 
 LENGTH, SEED, HALF = 200, 32, 128
 BLOCK = 16
+#: The bytes that all strings of a block have in common.
+SHARED = LENGTH - BLOCK + 1
 PIECE = 1 << 21
 ANCHORS = "name long, context long, id long, text_key long, place long"
-BLOCKS = "name long, context long, id long, text_key long, start long, strings array<long>"
+BLOCKS = "name long, context long, id long, text_key long, start long, starts long, behind long, left binary, right binary"
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,7 +180,7 @@ def blocks(docs: DataFrame, undecided: DataFrame) -> DataFrame:
                 yield pd.concat(made)
 
     rows = docs.select("id", "text_key", "text").join(listed, ["id", "text_key"])
-    return rows.mapInPandas(run, BLOCKS).dropDuplicates(["id", "text_key", "start"])
+    return rows.mapInPandas(run, BLOCKS)
 
 
 def _blocks_of(data: bytes, named: np.ndarray, places: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -198,19 +200,21 @@ def _blocks_of(data: bytes, named: np.ndarray, places: np.ndarray) -> Iterator[p
         # Blocks count from the anchor, so equal strings lie in equal blocks.
         block = back // BLOCK
         edge = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])))
-        last = np.append(edge[1:], len(anchor)) - 1
-        strings = cover(half, start, np.full(len(start), LENGTH))
+        low, high = start[edge], start[np.append(edge[1:], len(anchor)) - 1]
         # Every string of a block holds the bytes from the block's last possible start to the end of its first one.
-        shared = start[edge] + back[edge] - BLOCK * block[edge]
-        common = cover(half, shared, np.full(len(edge), LENGTH - BLOCK + 1))
-        common = _mix(named[here][anchor[edge]], block[edge], common)
-        whole = _mix(common, back[edge], cover(half, start[edge], start[last] - start[edge] + LENGTH))
+        shared = low + back[edge] - BLOCK * block[edge]
+        end = shared + SHARED
+        common = _mix(named[here][anchor[edge]], block[edge], cover(half, shared, np.full(len(edge), SHARED)))
+        whole = _mix(common, back[edge], cover(half, low, high - low + LENGTH))
         yield pd.DataFrame(
             {
                 "name": common.view(np.int64),
                 "context": whole.view(np.int64),
-                "start": start[edge] + begin,
-                "strings": np.split(strings.view(np.int64), edge[1:]),
+                "start": low + begin,
+                "starts": high - low + 1,
+                "behind": back[edge] - BLOCK * block[edge],
+                "left": [data[i:j] for i, j in zip((low + begin).tolist(), (shared + begin).tolist())],
+                "right": [data[i:j] for i, j in zip((end + begin).tolist(), (high + LENGTH + begin).tolist())],
             }
         )
 
@@ -224,13 +228,21 @@ def covered(docs: DataFrame) -> DataFrame:
     )
     made = materialize(blocks(docs, undecided), "blocks")
     same, open_blocks = repeats(made, "same_blocks")
-    runs = runs.unionByName(same.select("id", "text_key", "start", F.size("strings").cast("long").alias("starts")))
-    single = open_blocks.select("name", "id", "text_key", "start", F.posexplode("strings").alias("behind", "string"))
-    twice = single.groupBy("name", "string").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = single.join(twice, ["name", "string"])
-    return runs.unionByName(
-        found.select("id", "text_key", (F.col("start") + F.col("behind")).alias("start"), F.lit(1).cast("long").alias("starts"))
+    runs = runs.unionByName(same.select("id", "text_key", "start", "starts"))
+    # The string that starts i bytes behind its block's start lacks i bytes on the left and has i more on the right.
+    single = open_blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("starts").cast("int") - 1))).select(
+        "name",
+        (F.col("behind") - F.col("i")).alias("behind"),
+        F.expr("substring(left, i + 1)").alias("left"),
+        F.expr(f"substring(right, 1, {BLOCK - 1} - behind + i)").alias("right"),
+        "id",
+        "text_key",
+        (F.col("start") + F.col("i")).alias("start"),
+        F.lit(1).cast("long").alias("starts"),
     )
+    string = ["name", "behind", "left", "right"]
+    twice = single.groupBy(*string).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return runs.unionByName(single.join(twice, string).select(*runs.columns))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
