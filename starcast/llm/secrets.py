@@ -224,10 +224,10 @@ def report(docs: DataFrame) -> DataFrame:
         return F.array_join(entries, ",")
 
     spans = F.col("spans")
-    counts = [
-        F.size(F.filter(spans, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{name}")
-        for kind, name in enumerate(KINDS)
-    ]
+    def count(kind: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS)]
     base = F.filter(spans, lambda s: s["kind"] < 3)
     return find_secrets(docs).select(
         "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans")
