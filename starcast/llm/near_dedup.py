@@ -2,13 +2,17 @@
 
 1. One pass over the texts gives each document its shingle set's size, its SuperMinHash signature cut into bands, and
    a hash of its words. Documents with the same words are one class, represented by its smallest id.
-2. Representatives that agree in a band are candidates. A bucket of n is never turned into its n^2 / 2 pairs: each
-   member is compared with one of them, the centre, and those linked become one component. Of later rounds only members
-   of other components take part. Once the pairs that are left are about as few as the members, all are compared.
-3. A pair is linked if the intersection and the union of the whole sets, of 64-bit shingle hashes, say so.
+2. Representatives that agree in a band are candidates. Each is linked to the smallest one of its band's bucket, so
+   buckets become clusters without a pair being listed.
+3. The whole sets of a cluster's members, of 64-bit shingle hashes, are compared in cells: small clusters share one, and
+   a large one is cut into blocks of about ``CELL`` members, with a cell for each two blocks. A cell counts what its
+   sets have in common shingle by shingle, and returns a link from each member to the smallest one it reaches.
 4. Links are contracted by union-find within each task, and the remaining forests by large and small stars over
    shuffles until nothing changes.
 
+So all pairs in a cluster are verified, but a member makes no more rows than its cluster has blocks, and a cell has a
+bounded number of members.
+
 A signature has ``BANDS * ROWS`` values. A pair at the least similarity of 0.8 shares no band with a probability of
 (1 - 0.8^4)^24 = 3e-6, and a more similar pair with less.
 
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
@@ -33,6 +37,9 @@ from starcast.session import materialize
 
 BANDS, ROWS = 24, 4
 BLOCK = 16_384
+#: Members of a block of a cluster; a cell holds two blocks.
+CELL = 512
+FEW = 16
 SIGNATURES = "doc_id long, text_key long, n_shingles long, words_a long, words_b long, bands array<long>"
 
 _GOLDEN, _MIX1, _MIX2 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -134,28 +141,83 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id`` and ``shingles``, the whole set, of rows of ``doc_id`` and ``text``."""
+    """``rep`` and ``shingles``, the whole set, of rows of ``doc_id`` and ``text``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(words_of(text), k, hashes).view(np.int64) for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": sets})
-
-    return docs.mapInPandas(run, "doc_id long, shingles array<long>")
-
-
-def link(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` of which 100 times the intersection is at least ``percent`` times the union."""
-    near = (
-        pairs.join(sets.toDF("a", "set_a"), "a")
-        .join(sets.toDF("b", "set_b"), "b")
-        # The smaller set bounds the intersection, the larger one the union.
-        .where(100 * F.least(F.size("set_a"), F.size("set_b")) >= percent * F.greatest(F.size("set_a"), F.size("set_b")))
-        .withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+            yield pd.DataFrame({"rep": batch["doc_id"], "shingles": sets})
+
+    return docs.mapInPandas(run, "rep long, shingles array<long>")
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common."""
+    n = len(sets)
+    element = np.concatenate(sets) if sets else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(n), [len(own) for own in sets])
+    order = np.lexsort((owner, element))
+    element, owner = element[order], owner[order]
+    first = np.flatnonzero(np.append(True, element[1:] != element[:-1])) if len(element) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(element)))
+    held = np.repeat(size, size)
+    counts = np.zeros((n, n))
+    # Elements of few sets: each with those that follow it. Elements of many sets: products of columns.
+    few = (held > 1) & (held <= FEW)
+    rare, rare_owner = element[few], owner[few]
+    for step in range(1, FEW):
+        same = rare[step:] == rare[:-step]
+        counts += np.bincount(rare_owner[:-step][same] * n + rare_owner[step:][same], minlength=n * n).reshape(n, n)
+    counts += counts.T
+    many = held > FEW
+    column = np.cumsum(np.append(True, np.diff(element[many]) != 0)) - 1 if many.any() else np.empty(0, np.int64)
+    for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+        own = (column >= start) & (column < start + 4096)
+        table = np.zeros((n, 4096), np.float32)
+        table[owner[many][own], column[own] - start] = 1
+        counts += table @ table.T
+    return counts
+
+
+def links_of(cell: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A link from each member of a cell to the smallest one that it reaches over similar pairs."""
+    cell = cell.sort_values("rep", ignore_index=True)
+    sets = [np.asarray(own, np.int64) for own in cell["shingles"]]
+    common = common_counts(sets)
+    size = np.array([len(own) for own in sets], np.float64)
+    union = size[:, None] + size[None, :] - common
+    near = 100 * common >= percent * union
+    np.fill_diagonal(near, True)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(near, label[None, :], len(sets)).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    found = label != np.arange(len(sets))
+    rep = cell["rep"].to_numpy()
+    return pd.DataFrame({"a": rep[found], "b": rep[label[found]]})
+
+
+def link(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Links ``a``, ``b`` that connect what similar pairs connect. ``sets``: ``rep``, ``shingles``; ``clusters``:
+    ``rep``, ``cluster`` and ``n``, the number of its members."""
+    total = max(1, clusters.count())
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    dealt = clusters.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "rep",
+        # Clusters of one block share cells.
+        F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(
+            F.pmod(F.xxhash64("cluster"), F.lit(-(-total // CELL)))
+        ).alias("of"),
+        F.least("own", "other").alias("low"),
+        F.when(F.col("blocks") > 1, F.greatest("own", "other")).otherwise(-1).alias("high"),
     )
-    union = F.size("set_a") + F.size("set_b") - F.col("both")
-    return near.where(100 * F.col("both") >= percent * union).select("a", "b")
+    cells = sets.join(dealt, "rep").groupBy("of", "low", "high")
+    return cells.applyInPandas(lambda cell: links_of(cell, percent), "a long, b long")
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -213,45 +275,26 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(
         filled.groupBy("words_a", "words_b").agg(
-            F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.any_value("bands").alias("bands")
+            F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")
         ),
         "classes",
     )
-    banded = classes.select("rep", "size", F.explode("bands").alias("bucket"))
+    banded = classes.select("rep", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = materialize(banded.join(full, "bucket").select("bucket", "rep", "size"), "buckets")
+    members = materialize(banded.join(full, "bucket").select("bucket", "rep"), "buckets")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(_sets_of(named, members, filled, classes, k), "sets")
 
+    least = members.groupBy("bucket").agg(F.min("rep").alias("b"))
+    stars = members.join(least, "bucket").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
+    clusters = materialize(components(stars).toDF("rep", "cluster"), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    similar = link(sets, clusters.join(sizes, "cluster"), percent)
     # Texts that share an id are one document.
     ids = filled.join(classes.select("words_a", "words_b", "rep"), ["words_a", "words_b"]).select("doc_id", "rep")
     lowest = ids.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    links = ids.join(lowest, "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    found = [materialize(links.distinct(), "links")]
-    tried = None
-    while True:
-        grouped = components(_union(found))
-        placed = members.join(grouped, F.col("rep") == F.col("node"), "left").select(
-            "bucket", "rep", "size", F.coalesce("component", "rep").alias("component")
-        )
-        # Buckets whose members are of several components, and how many pairs of different components they hold.
-        sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        split = sizes.groupBy("bucket").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("parts")
-        ).where("parts > 1")
-        open_rows = materialize(placed.join(split, "bucket"), "open")
-        state = open_rows.groupBy("bucket").agg(
-            F.any_value("n").alias("n"), F.any_value("same").alias("same")
-        ).agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if state[0] is None:
-            break
-        last = state[1] <= 4 * state[0] or state == tried
-        pairs = _cross_pairs(open_rows, percent) if last else _centre_pairs(open_rows, len(found), percent)
-        found.append(materialize(link(sets, pairs, percent), "links"))
-        if last:
-            break
-        tried = state
-    grouped = components(_union(found))
+    shared = ids.join(lowest, "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    grouped = components(similar.unionByName(shared))
     located = classes.join(grouped, F.col("rep") == F.col("node"), "left").select(
         "words_a", "words_b", F.coalesce("component", "rep").alias("component_id")
     )
@@ -268,13 +311,6 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     )
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
-
-
 def _sets_of(named: DataFrame, members: DataFrame, filled: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """The shingle sets of the representatives that share a bucket with others."""
     needed = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("words_a", "words_b", "rep")
@@ -283,34 +319,4 @@ def _sets_of(named: DataFrame, members: DataFrame, filled: DataFrame, classes: D
     chosen = keyed.join(rows, (keyed["doc_id"] == rows["rep"]) & (keyed["text_key"] == rows["text_key"]), "left_semi")
     sets = shingle_sets(chosen.select("doc_id", "text"), k)
     # An id with several texts has the shingles of the one with the most.
-    return sets.groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles"))
-
-
-def _sizes_fit(percent: int) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-
-
-def _centre_pairs(open_rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member of a bucket with the bucket's centre, if that is in another component.
-
-    The centre changes from round to round: the member with the least hash, salted by the round.
-    """
-    order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component", F.col("size").alias("size_b"))
-    centre = open_rows.groupBy("bucket").agg(F.min(order).alias("centre"))
-    joined = open_rows.join(centre, "bucket").where(F.col("component") != F.col("centre.component"))
-    pairs = joined.select("rep", F.col("size").alias("size_a"), F.col("centre.rep").alias("other"), "centre.size_b")
-    pairs = pairs.where(_sizes_fit(percent))
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-
-
-def _cross_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of a bucket in different components."""
-
-    def side(name: str) -> DataFrame:
-        return open_rows.select(
-            "bucket", F.col("rep").alias(name), F.col("component").alias(f"of_{name}"), F.col("size").alias(f"size_{name}")
-        )
-
-    pairs = side("a").join(side("b"), "bucket").where("a < b AND of_a <> of_b").where(_sizes_fit(percent))
-    return pairs.select("a", "b").distinct()
+    return sets.groupBy("rep").agg(F.max_by("shingles", F.size("shingles")).alias("shingles"))
