@@ -32,6 +32,7 @@ Q = 8
 BLOCK_CHARS = 2_000_000
 PIECE_CHARS = 1_000_000
 SLOTS = 1 << 22
+NEVER = np.int32(1 << 28)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -96,61 +97,71 @@ class Index:
         doc = np.searchsorted(bounds, at, side="right") - 1
         inside = at + Q <= bounds[doc + 1]
         at, known, doc = at[inside], known[inside], doc[inside]
+        # A key for each shared q-gram: document, item and band, in one number.
+        n_items, span = len(self.ids), int(bounds[-1]) + 2 * self.reach + 2
         found = []
-        for start in range(0, len(at), 200_000):  # a q-gram can stand in many items
-            part = slice(start, start + 200_000)
+        for start in range(0, len(at), 500_000):  # a q-gram can stand in many items
+            part = slice(start, start + 500_000)
             n = self.count[known[part]]
-            total = int(n.sum())
-            offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             entry = np.repeat(self.first[known[part]], n) + offset
             item = self.item[entry]
             diagonal = np.repeat(at[part] - bounds[doc[part]], n) - self.place[entry]
-            band = diagonal // self.width[item]
-            key = np.stack([np.repeat(doc[part], n), item, band], axis=1)
-            keys, counts = _counted(np.concatenate([key, key - [0, 0, 1]]))
-            found.append(np.column_stack([keys, counts]))
+            band = diagonal // self.width[item] + self.reach + 1
+            found.append(_counted((np.repeat(doc[part], n) * n_items + item) * span + band))
         if not found:
             return np.empty((0, 3), np.int64)
-        keys, counts = _summed(np.concatenate(found))
-        keys = keys[counts >= self.least[keys[:, 1]]]
-        keys[:, 2] *= self.width[keys[:, 1]]
-        return keys
+        keys, counts = found[0] if len(found) == 1 else _summed(*map(np.concatenate, zip(*found)))
+        # A band holds the diagonals of its own number and of the next one.
+        follows = np.append(keys[1:] == keys[:-1] + 1, False)
+        both = counts + np.where(follows, np.append(counts[1:], 0), 0)
+        bare = np.append(True, keys[1:] != keys[:-1] + 1)
+        keys, counts = np.concatenate([keys, keys[bare] - 1]), np.concatenate([both, counts[bare]])
+        enough = counts >= self.least[keys // span % n_items]
+        keys = keys[enough]
+        item = keys // span % n_items
+        return np.column_stack([keys // span // n_items, item, (keys % span - self.reach - 1) * self.width[item]])
 
     def verified(self, codes: np.ndarray, bounds: np.ndarray, bands: np.ndarray) -> np.ndarray:
-        """The least edit distance in each band, by aligning all bands at once, row by row of the items."""
-        distance = np.full(len(bands), np.iinfo(np.int32).max, np.int64)
+        """The least edit distance in each band within the item's budget, by aligning many bands at once, row by row of
+        the items. Bands that exceed the budget leave early and get a distance beyond any."""
+        distance = np.full(len(bands), NEVER, np.int32)
         for start in range(0, len(bands), 512):
             part = bands[start : start + 512]
             doc, item, low = part.T
-            m, diagonals = self.length[item], 2 * self.width[item] - 1
-            span = int(diagonals.max())
-            far = int(m.max()) + span
-            begin, end = bounds[doc], bounds[doc + 1]
-            # text[b, x]: the character at low + x of the band's document, 0 outside of it.
-            places = begin[:, None] + low[:, None] + np.arange(far)[None, :]
-            outside = (places < begin[:, None]) | (places >= end[:, None])
-            text = np.where(outside, 0, codes[np.clip(places, 0, len(codes) - 1)])
-            patterns = np.zeros((len(part), int(m.max())), np.uint32)
+            m, budget, diagonals = self.length[item], self.budget[item], 2 * self.width[item] - 1
+            span, rows = int(diagonals.max()), int(m.max())
+            # text[b, x]: the character at low + x of the band's document, if it has one.
+            places = (bounds[doc] + low)[:, None] + np.arange(rows + span)
+            outside = (places < bounds[doc][:, None]) | (places >= bounds[doc + 1][:, None])
+            text = codes[np.clip(places, 0, len(codes) - 1)]
+            patterns = np.zeros((len(part), rows), np.uint32)
             for row, i in enumerate(item):
                 patterns[row, : m[row]] = self.codes[i]
-            steps = np.arange(span, dtype=np.int64)
-            never = np.int64(1 << 30)
-            beyond = steps[None, :] >= diagonals[:, None]
-            # Before the first row an alignment may start at any place of the text from its begin on.
-            starts = low[:, None] + steps[None, :]
-            cost = np.where(beyond | (starts < 0), never, 0).astype(np.int64)
-            for j in range(int(m.max())):
-                match = cost + (text[:, j : j + span] != patterns[:, j : j + 1])
-                # No character of the text may be used before its begin or beyond its end.
-                match[outside[:, j : j + span]] = never
-                skip = np.full_like(cost, never)
-                skip[:, :-1] = cost[:, 1:] + 1
-                new = np.minimum(match, skip)
-                new[beyond] = never
+            steps = np.arange(span, dtype=np.int32)
+            beyond = steps >= diagonals[:, None]
+            # Before the first row an alignment may start at any place of the text.
+            cost = np.where(beyond | (low[:, None] + steps < 0), NEVER, np.int32(0))
+            alive = np.arange(len(part))
+            for j in range(rows):
+                # A character of the item meets one of the text, or is left out, or one of the text is put in.
+                new = cost + (text[:, j : j + span] != patterns[:, j : j + 1])
+                new[outside[:, j : j + span]] = NEVER
+                new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+                new[beyond] = NEVER
                 new = np.minimum.accumulate(new - steps, axis=1) + steps
-                new[beyond] = never
-                cost = np.where((j < m)[:, None], new, cost)
-            distance[start : start + 512] = cost.min(axis=1)
+                new[beyond] = NEVER
+                cost = new
+                ended = m == j + 1
+                if ended.any():
+                    distance[start + alive[ended]] = cost[ended].min(axis=1)
+                if ended.any() or j % 8 == 7:
+                    on = (m > j + 1) & (cost.min(axis=1) <= budget)
+                    if not on.any():
+                        break
+                    if not on.all():
+                        text, outside, patterns, beyond = text[on], outside[on], patterns[on], beyond[on]
+                        cost, m, budget, alive = cost[on], m[on], budget[on], alive[on]
         return distance
 
     def matches(self, texts: list[str]) -> list[list[tuple[int, int]]]:
@@ -159,7 +170,8 @@ class Index:
         for held, codes, bounds in self._pieces(texts):
             bands = self.bands(codes, bounds)
             distance = self.verified(codes, bounds, bands)
-            for (doc, item, _), d in zip(bands[distance <= self.budget[bands[:, 1]]], distance[distance <= self.budget[bands[:, 1]]]):
+            near = distance <= self.budget[bands[:, 1]]
+            for (doc, item, _), d in zip(bands[near], distance[near]):
                 own = found[held[doc]]
                 own[int(item)] = min(int(d), own.get(int(item), int(d)))
         result = [[(self.ids[item], d) for item, d in own.items()] for own in found]
@@ -187,16 +199,18 @@ class Index:
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _summed(np.column_stack([keys, np.ones(len(keys), np.int64)]))
-
-
-def _summed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in the first three columns and the sums of the fourth."""
-    if not len(rows):
-        return np.empty((0, 3), np.int64), np.empty(0, np.int64)
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-    new = np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))
-    return rows[new, :3], np.add.reduceat(rows[:, 3], np.flatnonzero(new))
+    """The distinct keys and how often they occur."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts, first)
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
