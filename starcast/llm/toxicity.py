@@ -56,7 +56,7 @@ class Counts:
     def of_word(self, word: str) -> tuple:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > 500_000:
+            if len(self.words) > 100_000:
                 self.words.clear()
             names = features_of(word)
             found = tuple(names if self.known is None else (self.known[n] for n in names if n in self.known))
@@ -74,14 +74,20 @@ class Counts:
 def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most: int) -> DataFrame:
     """Distinct texts with their label, ``toxic``, of the rows that ``usable``, a condition on ``doc_id``, admits.
 
-    Of more than ``most``, those with the smallest hashes; equal hashes stay together.
+    Of more than ``most``, those with the smallest hashes (their lower halves first).
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    examples = materialize(rows.join(known, "doc_id").select("text", "toxic").distinct(), "labelled")
-    hashes = examples.select(F.xxhash64("text").alias("hash")).orderBy("hash").limit(most)
-    return examples.where(F.xxhash64("text") <= hashes.agg(F.max("hash")).first()[0])
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("hash")).join(known, "doc_id")
+    # One document for each text and label; only ids and hashes are shuffled.
+    single = materialize(hashed.groupBy("hash", "toxic").agg(F.min("doc_id").alias("doc_id")), "labelled")
+    share = min(1.0, 2 * most / max(1, single.count()))
+    low = single.where(F.pmod("hash", F.lit(1 << 32)) <= int(share * (1 << 32)))
+    chosen = low.orderBy(F.pmod("hash", F.lit(1 << 32)), "hash", "toxic").limit(most)
+    # At most ``most`` rows of three numbers, so the texts need no shuffle.
+    texts = rows.join(F.broadcast(chosen), (rows["doc_id"] == chosen["doc_id"]) & (F.xxhash64("text") == chosen["hash"]))
+    return texts.select("text", "toxic").distinct()
 
 
 def select_features(examples: DataFrame, most: int) -> pd.DataFrame:
@@ -90,14 +96,22 @@ def select_features(examples: DataFrame, most: int) -> pd.DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = Counts(None)
         for batch in batches:
-            rows = [(f, toxic) for text, toxic in zip(batch["text"], batch["toxic"]) for f in counts(text)]
-            yield pd.DataFrame(rows, columns=["feature", "toxic"])
+            seen: dict[str, list[int]] = {}
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                for feature in counts(text):
+                    own = seen.setdefault(feature, [0, 0])
+                    own[0] += 1
+                    own[1] += toxic
+                if len(seen) > 200_000:
+                    yield _counts_frame(seen)
+                    seen = {}
+            yield _counts_frame(seen)
 
     n, toxic = examples.agg(F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
         return pd.DataFrame({"feature": [], "df": []})
-    counted = examples.mapInPandas(run, "feature string, toxic int").groupBy("feature").agg(
-        F.count("toxic").alias("df"), F.sum("toxic").alias("pos")
+    counted = examples.mapInPandas(run, "feature string, df long, pos long").groupBy("feature").agg(
+        F.sum("df").alias("df"), F.sum("pos").alias("pos")
     )
     expected, neg = F.col("df") * toxic / n, F.col("df") - F.col("pos")
     ratio = 2 * (
@@ -108,6 +122,11 @@ def select_features(examples: DataFrame, most: int) -> pd.DataFrame:
     return chosen.orderBy(F.desc(ratio), "feature").limit(most).select("feature", "df").toPandas()
 
 
+def _counts_frame(seen: dict[str, list[int]]) -> pd.DataFrame:
+    rows = [(feature, *own) for feature, own in seen.items()]
+    return pd.DataFrame(rows, columns=["feature", "df", "pos"])
+
+
 @dataclass
 class Index:
     """Labelled examples by feature, in blocks of ``BLOCK`` examples."""
@@ -215,7 +234,7 @@ def with_scores(
     usable = F.lit(True) if usable is None else usable
     examples = materialize(labelled(docs, labels, usable, most_examples), "examples")
     features = select_features(examples, most_features)
-    rows = [(row.text, row.toxic) for row in _with_features_only(examples, features)]
+    rows = sorted((row.text, row.toxic) for row in _with_features_only(examples, features))
     index = build(rows, features, k)
 
     def compute() -> Callable[[list[str]], list[list]]:
@@ -241,7 +260,7 @@ def with_scores(
 
 
 def _with_features_only(examples: DataFrame, features: pd.DataFrame) -> list:
-    """The examples with what the index needs of their texts: the words that have features."""
+    """The examples, a bounded number, with what the index needs of their texts: the words that have features."""
     known = set(features["feature"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +271,7 @@ def _with_features_only(examples: DataFrame, features: pd.DataFrame) -> list:
             ]
             yield batch.assign(text=kept)
 
-    return examples.mapInPandas(run, "text string, toxic int").orderBy("text", "toxic").collect()
+    return examples.mapInPandas(run, "text string, toxic int").collect()
 
 
 def held_out() -> Column:
