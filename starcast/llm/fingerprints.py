@@ -77,7 +77,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def followers(slim: DataFrame) -> DataFrame:
-    """``id``, ``text_key``, ``n_chars`` of each document and ``next_id``, ``next_key`` of the one that follows it.
+    """``id``, ``text_key``, ``present``, ``n_chars`` of each document and ``next_id``, ``next_key`` of the one that follows it.
 
     Documents are ordered by descending id; the first follows the last. Ranges of ids are dealt to tasks and ordered
     there. Only the first document of each range is compared across ranges.
@@ -97,7 +97,7 @@ def followers(slim: DataFrame) -> DataFrame:
     )
     following = F.coalesce("following", "after")
     return led.join(after, "range").select(
-        "id", "text_key", "n_chars", following["id"].alias("next_id"), following["text_key"].alias("next_key")
+        "id", "text_key", "present", "n_chars", following["id"].alias("next_id"), following["text_key"].alias("next_key")
     )
 
 
@@ -117,17 +117,20 @@ def edit_report(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     )
     slim = keyed.groupBy("id", "text_key", "present").agg(F.max(F.char_length("text")).alias("n_chars"))
     order = followers(slim)
-    rows = keyed.select("id", "text_key", "present", "text", selected(F.col("text"), k, window).alias("chosen"))
+    rows = keyed.select("id", "text_key", "text", selected(F.col("text"), k, window).alias("chosen"))
     senders = order.select(
         F.col("next_id").alias("id"),
         F.col("next_key").alias("text_key"),
         F.col("id").alias("to_id"),
         F.col("text_key").alias("to_key"),
+        F.col("present").alias("to_present"),
         F.floor(F.col("n_chars") / 3).cast("int").alias("n_replaced"),
     )
+    # Both joins ask for the same columns of the texts in the same order, so one shuffle serves both.
     sent = rows.join(senders, ["id", "text_key"]).select(
         F.col("to_id").alias("id"),
         F.col("to_key").alias("text_key"),
+        F.col("to_present").alias("present"),
         "n_replaced",
         F.expr("substring(text, 1, n_replaced)").alias("beginning"),
         F.col("chosen").alias("next_chosen"),
