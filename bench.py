@@ -12,7 +12,7 @@ import re
 import time
 
 from starcast.checks.queries import QUERIES
-from starcast.session import local_session
+from starcast.session import intermediates, local_session
 
 HEADLINE = [
     "item_cf_predictions",
@@ -31,9 +31,10 @@ HEADLINE = [
 
 
 def run(spark, name: str, sf_dir: str) -> float:
-    start = time.perf_counter()
-    QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    return round(time.perf_counter() - start, 3)
+    with intermediates(spark):
+        start = time.perf_counter()
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return round(time.perf_counter() - start, 3)
 
 
 def main() -> None:

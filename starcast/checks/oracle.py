@@ -13,16 +13,19 @@ VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "ratings": """
         SELECT * FROM raw_ratings WHERE k % 5 <> 0 AND user_id % 29 <> 0 AND business_id % 43 <> 0""",
+    "held_out": """
+        SELECT * FROM raw_ratings WHERE k % 5 = 0 OR user_id % 29 = 0 OR business_id % 43 = 0""",
     "latest": """
         SELECT user_id, business_id, stars FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id, business_id
                                        ORDER BY k DESC, ln DESC, sk DESC, q DESC, stars DESC) AS rn
           FROM ratings) t WHERE rn = 1""",
-    "pairs": "SELECT DISTINCT user_id, business_id FROM raw_ratings WHERE k % 50 = 0",
+    "pairs": "SELECT DISTINCT user_id, business_id FROM held_out",
     "truth": """
-        SELECT user_id, business_id, max(stars) AS stars FROM raw_ratings WHERE k % 50 = 0
+        SELECT user_id, business_id, max(stars) AS stars FROM held_out
         GROUP BY user_id, business_id""",
-    "users": """
+    "users": "SELECT * FROM all_users WHERE user_id % 37 <> 0",
+    "all_users": """
         SELECT c.c_custkey AS user_id, c.c_name AS name, coalesce(o.n, 0) AS review_count,
                CAST(coalesce(o.y0, 1992) AS VARCHAR(4)) || '-01-01' AS yelping_since,
                CASE WHEN c.c_custkey % 7 = 0 THEN 'None'
@@ -32,9 +35,9 @@ VIEWS = {
                coalesce(o.n, 0) * 3 AS useful, CAST(1 + c.c_custkey % 9 * 0.5 AS DOUBLE) AS average_stars
         FROM customer c LEFT JOIN (
           SELECT o_custkey, count(*) AS n, min(year(o_orderdate)) AS y0 FROM orders GROUP BY o_custkey) o
-          ON c.c_custkey = o.o_custkey
-        WHERE c.c_custkey % 37 <> 0""",
-    "businesses": """
+          ON c.c_custkey = o.o_custkey""",
+    "businesses": "SELECT * FROM all_businesses WHERE business_id % 41 <> 0",
+    "all_businesses": """
         SELECT p_partkey AS business_id, p_name AS name, p_type AS state,
                CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN ''
                     ELSE CAST(10000 + p_partkey * 7 AS VARCHAR(20)) END AS postal_code,
@@ -51,7 +54,7 @@ VIEWS = {
                  AS drive_thru,
                CASE WHEN p_partkey % 13 <> 0 THEN CASE p_size % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'False' END END AS kids,
                CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size % 8 END AS hours_entries
-        FROM part WHERE p_partkey % 41 <> 0""",
+        FROM part""",
     "totals": """
         SELECT business_id, count(*) AS n, CAST(sum(stars) AS BIGINT) AS s FROM ratings GROUP BY business_id""",
     "deviations": """
@@ -95,7 +98,8 @@ VIEWS = {
 }
 # Which views a view reads.
 USES = {
-    "ratings": ["raw_ratings"], "latest": ["ratings"], "pairs": ["raw_ratings"], "truth": ["raw_ratings"],
+    "ratings": ["raw_ratings"], "latest": ["ratings"], "pairs": ["held_out"], "truth": ["held_out"],
+    "held_out": ["raw_ratings"],
     "totals": ["ratings"], "deviations": ["latest", "totals"], "candidates": ["pairs", "latest"],
     "item_pairs": ["candidates", "totals"], "overlapping": ["item_pairs", "deviations"],
     "all_similar": ["item_pairs", "overlapping"], "weighted": ["candidates", "all_similar"],
@@ -197,8 +201,13 @@ VIEWS |= {
     "moments": """
         SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS sxy, var_pop(x) AS sxx FROM single""",
 }
+VIEWS |= {
+    "all_user_table": VIEWS["user_table"].replace("FROM users", "FROM all_users"),
+    "all_attribute_table": VIEWS["attribute_table"].replace("FROM businesses", "FROM all_businesses"),
+}
 USES |= {
-    "used_businesses": ["businesses", "ratings", "pairs"], "listed": ["used_businesses"], "counts": ["listed"],
+    "users": ["all_users"], "businesses": ["all_businesses"], "all_user_table": ["all_users"],
+    "all_attribute_table": ["all_businesses"], "used_businesses": ["businesses", "ratings", "pairs"], "listed": ["used_businesses"], "counts": ["listed"],
     "labels": ["counts"], "flags": ["used_businesses", "labels"], "edges": ["users"], "states": ["used_businesses"],
     "mean": ["ratings"], "cold_scored": ["pairs", "users", "businesses", "mean"], "joined": ["truth", "cold_scored"],
     "friend_means": ["ratings", "pairs", "edges", "latest"], "user_table": ["users"],
@@ -260,7 +269,9 @@ _SOFT = "sign(m.sxy) * greatest(abs(m.sxy) - {}, 0)"
 
 ORACLE = {
     "read_ratings": with_views(
-        "ratings", "SELECT CAST(stars AS DOUBLE) AS stars, count(*) AS rows FROM ratings GROUP BY stars"
+        "ratings",
+        """SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(business_id AS VARCHAR) AS business_id,
+                  CAST(stars AS DOUBLE) AS stars FROM ratings""",
     ),
     "read_pairs": with_views(
         "pairs",
@@ -272,32 +283,28 @@ ORACLE = {
                   CAST(stars AS DOUBLE) AS stars FROM truth""",
     ),
     "read_users": with_views(
-        "users",
+        "all_users",
         """SELECT CAST(user_id AS VARCHAR) AS user_id, name, CAST(review_count AS BIGINT) AS review_count, yelping_since,
-                  friends, CAST(useful AS BIGINT) AS useful, elite, average_stars FROM users""",
+                  friends, CAST(useful AS BIGINT) AS useful, elite, average_stars FROM all_users""",
     ),
     "read_businesses": with_views(
-        "businesses",
+        "all_businesses",
         """SELECT CAST(business_id AS VARCHAR) AS business_id, state, postal_code, stars,
                   CAST(review_count AS BIGINT) AS review_count, CAST(is_open AS BIGINT) AS is_open, categories, noise,
-                  CAST(hours_entries AS BIGINT) AS hours_entries FROM businesses""",
+                  CAST(hours_entries AS BIGINT) AS hours_entries FROM all_businesses""",
     ),
     "write_predictions": _PREDICTIONS,
-    "read_predictions": with_views(
-        "cold_scored",
-        """SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS rows, round(sum(prediction), 6) AS total
-           FROM cold_scored GROUP BY user_id""",
-    ),
+    "read_predictions": _PREDICTIONS,
     "rekey_ratings": with_views("ratings", "SELECT user_id, business_id, stars FROM ratings"),
     "user_feature_columns": with_views(
-        "users", "SELECT user_id, review_count, yelping_since, elite, useful, average_stars FROM users"
+        "all_users", "SELECT user_id, review_count, yelping_since, elite, useful, average_stars FROM all_users"
     ),
     "business_feature_columns": with_views(
-        "businesses",
+        "all_businesses",
         """SELECT business_id, postal_code, stars, review_count, is_open, CAST(hours_entries AS BIGINT) AS hours
-           FROM businesses""",
+           FROM all_businesses""",
     ),
-    "linear_user_view": with_views("users", "SELECT user_id, review_count, average_stars, useful FROM users"),
+    "linear_user_view": with_views("all_users", "SELECT user_id, review_count, average_stars, useful FROM all_users"),
     "linear_business_view": with_views(
         "linear_businesses",
         """SELECT business_id, stars, review_count, CAST(price AS BIGINT) AS price, CAST(state AS BIGINT) AS state,
@@ -441,9 +448,9 @@ ORACLE = {
            LEFT JOIN businesses b ON c.business_id = b.business_id""",
     ),
     "split_categories": with_views(
-        "businesses",
+        "all_businesses",
         """SELECT business_id, coalesce(array_to_string(list_sort(string_split(categories, ', ')), ', '), '') AS labels,
-                  CAST(coalesce(len(string_split(categories, ', ')), 0) AS INTEGER) AS number FROM businesses""",
+                  CAST(coalesce(len(string_split(categories, ', ')), 0) AS INTEGER) AS number FROM all_businesses""",
     ),
     "keep_top": with_views(
         "used_businesses listed labels",
@@ -457,42 +464,42 @@ ORACLE = {
     ),
     "category_flags_zero": with_views("flags", "SELECT business_id, flags FROM flags"),
     "friend_list": with_views(
-        "users",
+        "all_users",
         """SELECT user_id, CASE WHEN friends = 'None' THEN ''
                   ELSE array_to_string(list_sort(list_distinct(string_split(friends, ', '))), ', ') END AS friends
-           FROM users""",
+           FROM all_users""",
     ),
     "friend_count": with_views(
-        "user_table", "SELECT user_id, CAST(u_friends_cnt AS INTEGER) AS friends_cnt FROM user_table"
+        "all_user_table", "SELECT user_id, CAST(u_friends_cnt AS INTEGER) AS friends_cnt FROM all_user_table"
     ),
-    "elite_count": with_views("user_table", "SELECT user_id, CAST(u_elite AS INTEGER) AS elite FROM user_table"),
+    "elite_count": with_views("all_user_table", "SELECT user_id, CAST(u_elite AS INTEGER) AS elite FROM all_user_table"),
     "start_year": with_views(
-        "user_table", "SELECT user_id, CAST(u_yelping_since AS INTEGER) AS start_year FROM user_table"
+        "all_user_table", "SELECT user_id, CAST(u_yelping_since AS INTEGER) AS start_year FROM all_user_table"
     ),
     "postal_code_point": with_views(
-        "businesses",
+        "all_businesses",
         """SELECT business_id, CASE WHEN postal_code <> '' THEN CAST(unicode(postal_code) AS INTEGER) END AS postal_code
-           FROM businesses""",
+           FROM all_businesses""",
     ),
     "days_open": with_views(
-        "businesses", "SELECT business_id, CAST(nullif(hours_entries, 0) AS INTEGER) AS hours FROM businesses"
+        "all_businesses", "SELECT business_id, CAST(nullif(hours_entries, 0) AS INTEGER) AS hours FROM all_businesses"
     ),
-    "price_range": with_views("attribute_table", "SELECT business_id, price AS value FROM attribute_table"),
-    "price_range_default2": with_views("attribute_table", "SELECT business_id, price2 AS value FROM attribute_table"),
-    "noise_code": with_views("attribute_table", "SELECT business_id, noise AS value FROM attribute_table"),
+    "price_range": with_views("all_attribute_table", "SELECT business_id, price AS value FROM all_attribute_table"),
+    "price_range_default2": with_views("all_attribute_table", "SELECT business_id, price2 AS value FROM all_attribute_table"),
+    "noise_code": with_views("all_attribute_table", "SELECT business_id, noise AS value FROM all_attribute_table"),
     "noise_code_default_average": with_views(
-        "attribute_table", "SELECT business_id, noise0 AS value FROM attribute_table"
+        "all_attribute_table", "SELECT business_id, noise0 AS value FROM all_attribute_table"
     ),
-    "alcohol_flag": with_views("attribute_table", "SELECT business_id, alcohol AS value FROM attribute_table"),
-    "drive_thru_flag": with_views("attribute_table", "SELECT business_id, drive_thru AS value FROM attribute_table"),
-    "kids_flag": with_views("attribute_table", "SELECT business_id, kids AS value FROM attribute_table"),
+    "alcohol_flag": with_views("all_attribute_table", "SELECT business_id, alcohol AS value FROM all_attribute_table"),
+    "drive_thru_flag": with_views("all_attribute_table", "SELECT business_id, drive_thru AS value FROM all_attribute_table"),
+    "kids_flag": with_views("all_attribute_table", "SELECT business_id, kids AS value FROM all_attribute_table"),
     "map_lookup": with_views(
-        "businesses",
+        "all_businesses",
         """SELECT business_id, CASE WHEN has_attributes = 1 THEN coalesce(alcohol, 'unknown') END AS value
-           FROM businesses""",
+           FROM all_businesses""",
     ),
     "attribute_columns": with_views(
-        "attribute_table", "SELECT business_id, price, noise, alcohol, drive_thru, kids FROM attribute_table"
+        "all_attribute_table", "SELECT business_id, price, noise, alcohol, drive_thru, kids FROM all_attribute_table"
     ),
     "state_code": with_views(
         "used_businesses states",
@@ -514,15 +521,14 @@ ORACLE = {
     ),
     "fill_mean": with_views(
         "train_features",
-        """SELECT user_id, business_id,
-                  round(coalesce(u_yelping_since, (SELECT avg(u_yelping_since) FROM train_features)), 6)
-                    AS u_yelping_since,
-                  round(coalesce(u_average_stars, (SELECT avg(u_average_stars) FROM train_features)), 6)
-                    AS u_average_stars,
-                  round(coalesce(b_stars, (SELECT avg(b_stars) FROM train_features)), 6) AS b_stars,
-                  round(coalesce(friend_mean, (SELECT avg(u_average_stars) FROM train_features)), 6) AS friend_mean,
+        """SELECT user_id, business_id, round(coalesce(u_yelping_since, m.since), 6) AS u_yelping_since,
+                  round(coalesce(u_average_stars, m.user_stars), 6) AS u_average_stars,
+                  round(coalesce(b_stars, m.business_stars), 6) AS b_stars,
+                  round(coalesce(friend_mean, m.user_stars), 6) AS friend_mean,
                   coalesce(b_price, 0) AS b_price, coalesce(b_hours, 0) AS b_hours
-           FROM train_features""",
+           FROM train_features, (
+             SELECT avg(u_yelping_since) AS since, avg(u_average_stars) AS user_stars, avg(b_stars) AS business_stars
+             FROM train_features) m""",
     ),
     "assemble_pair_features": with_views(
         "train_features", "SELECT * REPLACE (round(friend_mean, 6) AS friend_mean) FROM train_features"
@@ -561,7 +567,7 @@ ORACLE = {
     ),
     "evaluate_item_cf": with_views(
         "truth cf",
-        """, e AS (SELECT c.prediction - t.stars AS diff FROM truth t
+        """, e AS (SELECT round(c.prediction, 9) - t.stars AS diff FROM truth t
                    JOIN cf c ON t.user_id = c.user_id AND t.business_id = c.business_id)
            SELECT count(*) AS pairs, round(sqrt(avg(diff * diff)), 4) AS rmse,
                   round(sum(CASE WHEN diff > 0 THEN diff ELSE 0 END), 4) AS over_sum,

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,14 @@ class Inputs:
     def businesses(self) -> DataFrame:
         return self._view(views.businesses)
 
+    @cached_property
+    def all_users(self) -> DataFrame:
+        return self._view(views.all_users)
+
+    @cached_property
+    def all_businesses(self) -> DataFrame:
+        return self._view(views.all_businesses)
+
     @cached_property
     def pair_table(self) -> tuple[DataFrame, recommenders.Heavy]:
         """The pairs as a written table, with the heavy keys of its joins."""
@@ -90,7 +99,7 @@ class Inputs:
 
     @cached_property
     def latest(self) -> DataFrame:
-        return r.latest_rating(self.ratings, views.RATING_ORDER)
+        return materialize(r.latest_rating(self.ratings, views.RATING_ORDER), "latest")
 
     @cached_property
     def tables(self) -> sim.RatingTables:
@@ -188,8 +197,7 @@ def from_csv(spark: SparkSession, df: DataFrame, label: str, read: Callable) ->
 
 @query
 def read_ratings(d: Inputs) -> DataFrame:
-    read = from_csv(d.spark, d.ratings.select(*PAIR, "stars"), "ratings-csv", files.read_ratings)
-    return read.groupBy("stars").agg(F.count(F.lit(1)).alias("rows"))
+    return from_csv(d.spark, d.ratings.select(*PAIR, "stars"), "ratings-csv", files.read_ratings)
 
 
 @query
@@ -205,7 +213,7 @@ def read_truth(d: Inputs) -> DataFrame:
 @query
 def read_users(d: Inputs) -> DataFrame:
     path = shared_path(d.spark, "users-json")
-    d.users.write.json(path)
+    d.all_users.write.json(path)
     return files.read_users(d.spark, path).select(
         "user_id", "name", "review_count", "yelping_since", "friends", "useful", "elite", "average_stars"
     )
@@ -214,7 +222,7 @@ def read_users(d: Inputs) -> DataFrame:
 @query
 def read_businesses(d: Inputs) -> DataFrame:
     path = shared_path(d.spark, "businesses-json")
-    d.businesses.write.json(path)
+    d.all_businesses.write.json(path)
     return files.read_businesses(d.spark, path).select(
         "business_id", "state", "postal_code", "stars", "review_count", "is_open", "categories",
         attrs.lookup(F.col("attributes"), attrs.NOISE_KEY).alias("noise"),
@@ -234,10 +242,7 @@ def write_predictions(d: Inputs) -> DataFrame:
 def read_predictions(d: Inputs) -> DataFrame:
     path = shared_path(d.spark, "predictions")
     files.write_predictions(d.predictions, path)
-    read = files.read_predictions(d.spark, path)
-    return read.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("rows"), rounded(F.sum("prediction"), "total")
-    )
+    return files.read_predictions(d.spark, path).select(*PAIR, rounded("prediction", "prediction"))
 
 
 @query
@@ -258,18 +263,18 @@ def rekey_ratings(d: Inputs) -> DataFrame:
 
 @query
 def user_feature_columns(d: Inputs) -> DataFrame:
-    return features.user_feature_columns(d.users)
+    return features.user_feature_columns(d.all_users)
 
 
 @query
 def business_feature_columns(d: Inputs) -> DataFrame:
-    kept = features.business_feature_columns(d.businesses)
+    kept = features.business_feature_columns(d.all_businesses)
     return kept.withColumn("hours", F.when(F.col("hours").isNotNull(), F.size("hours").cast("long")))
 
 
 @query
 def linear_user_view(d: Inputs) -> DataFrame:
-    return features.linear_user_view(d.users)
+    return features.linear_user_view(d.all_users)
 
 
 @query
@@ -536,7 +541,7 @@ def _sorted_text(labels: Column) -> Column:
 @query
 def split_categories(d: Inputs) -> DataFrame:
     labels = text.split_categories(F.col("categories"))
-    return d.businesses.select("business_id", _sorted_text(labels).alias("labels"), F.size(labels).alias("number"))
+    return d.all_businesses.select("business_id", _sorted_text(labels).alias("labels"), F.size(labels).alias("number"))
 
 
 @query
@@ -563,37 +568,37 @@ def category_flags_zero(d: Inputs) -> DataFrame:
 
 @query
 def friend_list(d: Inputs) -> DataFrame:
-    return d.users.select("user_id", _sorted_text(text.friend_list(F.col("friends"))).alias("friends"))
+    return d.all_users.select("user_id", _sorted_text(text.friend_list(F.col("friends"))).alias("friends"))
 
 
 @query
 def friend_count(d: Inputs) -> DataFrame:
-    return d.users.select("user_id", text.friend_count(F.col("friends")).alias("friends_cnt"))
+    return d.all_users.select("user_id", text.friend_count(F.col("friends")).alias("friends_cnt"))
 
 
 @query
 def elite_count(d: Inputs) -> DataFrame:
-    return d.users.select("user_id", text.elite_count(F.col("elite")).alias("elite"))
+    return d.all_users.select("user_id", text.elite_count(F.col("elite")).alias("elite"))
 
 
 @query
 def start_year(d: Inputs) -> DataFrame:
-    return d.users.select("user_id", text.start_year(F.col("yelping_since")).alias("start_year"))
+    return d.all_users.select("user_id", text.start_year(F.col("yelping_since")).alias("start_year"))
 
 
 @query
 def postal_code_point(d: Inputs) -> DataFrame:
-    return d.businesses.select("business_id", text.postal_code_point(F.col("postal_code")).alias("postal_code"))
+    return d.all_businesses.select("business_id", text.postal_code_point(F.col("postal_code")).alias("postal_code"))
 
 
 @query
 def days_open(d: Inputs) -> DataFrame:
-    return d.businesses.select("business_id", attrs.days_open(F.col("hours")).alias("hours"))
+    return d.all_businesses.select("business_id", attrs.days_open(F.col("hours")).alias("hours"))
 
 
 def _attribute(name: str, build: Callable[[Column], Column]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return views.businesses(spark, sf_dir).select("business_id", build(F.col("attributes")).alias("value"))
+        return views.all_businesses(spark, sf_dir).select("business_id", build(F.col("attributes")).alias("value"))
 
     QUERIES[name] = run
 
@@ -611,7 +616,7 @@ _attribute("map_lookup", lambda col: attrs.lookup(col, attrs.ALCOHOL_KEY, "unkno
 @query
 def attribute_columns(d: Inputs) -> DataFrame:
     columns = attrs.attribute_columns(F.col("attributes"))
-    return d.businesses.select("business_id", *[column.alias(name) for name, column in columns.items()])
+    return d.all_businesses.select("business_id", *[column.alias(name) for name, column in columns.items()])
 
 
 @query
@@ -655,9 +660,12 @@ def fill_mean(d: Inputs) -> DataFrame:
 def assemble_pair_features(d: Inputs) -> DataFrame:
     train = d.prepared.train_features()
     plain = [c for c in features.feature_names(train) if not c.startswith("b_category_")]
-    vector = assembler([c for c in plain if c.startswith("u_")], "user_vector")
-    assembled = vector.transform(train)
-    return assembled.select(*PAIR, "stars", *[rounded(c, c) for c in plain], flag_text("b_", d.prepared.labels))
+    of_user = [c for c in plain if c.startswith("u_")]
+    assembled = assembler(of_user, "user_vector").transform(train)
+    # The user columns are read back from the vector.
+    vector = vector_to_array("user_vector")
+    columns = [rounded(vector[of_user.index(c)], c) if c in of_user else rounded(c, c) for c in plain]
+    return assembled.select(*PAIR, "stars", *columns, flag_text("b_", d.prepared.labels))
 
 
 # Models
@@ -794,7 +802,9 @@ def cold_start(d: Inputs) -> DataFrame:
 
 @query
 def evaluate_item_cf(d: Inputs) -> DataFrame:
-    report = evaluate(d.truth, item_cf(d.ratings, d.pairs, views.RATING_ORDER))
+    predictions = item_cf(d.ratings, d.pairs, views.RATING_ORDER)
+    # An error of exactly 1 stays one, whatever the order of a sum.
+    report = evaluate(d.truth, predictions.withColumn("prediction", F.round("prediction", 9)))
     sums = ["rmse", "over_sum", "under_sum"]
     return report.select(*[F.round(c, 4).alias(c) if c in sums else F.col(c) for c in report.columns])
 

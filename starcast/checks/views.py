@@ -1,7 +1,8 @@
 """The test tables seen as ratings: customers are users, parts are businesses, order lines are ratings.
 
-The remainders below are the split itself: every order is used, one in five of them is held out of training and one in
-fifty is scored, and some users and businesses have no training rows, or no entity row, so that every cold case occurs.
+The remainders below are the split itself. One order in five, and the lines of some users and businesses, are held out
+of training, and all that is held out is scored: an order line either trains or is scored. Some users and businesses
+have no training rows, and to some queries some have no entity row, so that every cold case occurs.
 """
 
 from __future__ import annotations
@@ -36,20 +37,32 @@ def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repartition("k").join(orders, "k")
 
 
+def _held_out() -> Column:
+    return _every("k", 5) | _every("user_id", 29) | _every("business_id", 43)
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_ratings(spark, sf_dir).where(~_every("k", 5) & ~_every("user_id", 29) & ~_every("business_id", 43))
+    return raw_ratings(spark, sf_dir).where(~_held_out())
+
+
+def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_ratings(spark, sf_dir).where(_held_out())
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_ratings(spark, sf_dir).where(_every("k", 50)).select("user_id", "business_id").distinct()
+    return held_out(spark, sf_dir).select("user_id", "business_id").distinct()
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = raw_ratings(spark, sf_dir).where(_every("k", 50))
-    return held_out.groupBy("user_id", "business_id").agg(F.max("stars").alias("stars"))
+    return held_out(spark, sf_dir).groupBy("user_id", "business_id").agg(F.max("stars").alias("stars"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users with an entity row, for queries with a cold case."""
+    return all_users(spark, sf_dir).where(~_every("user_id", 37))
+
+
+def all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = (
         _table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
@@ -60,7 +73,6 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     friends = F.concat_ws(", ", *[(key + step).cast("string") for step in (1, 25, 2)])
     return (
         _table(spark, sf_dir, "customer")
-        .where(~_every("c_custkey", 37))
         .join(ordered, "c_custkey", "left")
         .select(
             key.alias("user_id"),
@@ -83,6 +95,11 @@ def _choice(col: Column, *labels: str) -> Column:
 
 
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The businesses with an entity row, for queries with a cold case."""
+    return all_businesses(spark, sf_dir).where(~_every("business_id", 41))
+
+
+def all_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Businesses with ``attributes`` and ``hours`` as maps, as they come from the source files."""
     key, size = F.col("p_partkey"), F.col("p_size")
     attributes = {
@@ -101,7 +118,6 @@ def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.concat_ws(", ", F.replace("p_name", F.lit(" "), F.lit(", ")), "p_type", "p_brand")
     return (
         _table(spark, sf_dir, "part")
-        .where(~_every("p_partkey", 41))
         .select(
             key.alias("business_id"),
             F.col("p_name").alias("name"),

@@ -16,7 +16,7 @@ from starcast.functions.attributes import (
 )
 from starcast.functions.text import elite_count, friend_count, postal_code_point, split_categories, start_year
 from starcast.operators.ratings import column_means
-from starcast.operators.skew import HeavyKeys, heavy_keys, lookup_join
+from starcast.operators.skew import HeavyKeys, lookup_join
 from starcast.session import materialize
 
 TOP_CATEGORIES = 30
@@ -148,7 +148,7 @@ def linear_business_view(businesses: DataFrame, labels: Sequence[str], on_unknow
         noise_code_default_average(F.col("attributes"), on_unknown).alias("noise"),
         *[column.alias(name) for name, column in flags.items()],
     )
-    coded = lookup_join(narrow, state_codes(businesses), ["state"], "left", heavy_keys(businesses, ["state"]))
+    coded = lookup_join(narrow, state_codes(businesses), ["state"], "left")
     return coded.withColumn("state", F.col("state_code")).select(*narrow.columns)
 
 
@@ -213,8 +213,6 @@ def attach_with_defaults(
 ) -> DataFrame:
     """``pairs`` with the linear views of both sides as ``u_*`` and ``b_*``; every pair is kept."""
     user_defaults, business_defaults = default_rows(labels)
-    if heavy_businesses is None:
-        heavy_businesses = heavy_keys(pairs, ["business_id"])
     with_user = _attach_default(pairs, users, "user_id", "u_", user_defaults, heavy_users)
     return _attach_default(with_user, businesses, "business_id", "b_", business_defaults, heavy_businesses)
 
@@ -230,13 +228,9 @@ def assemble_pair_features(
     heavy_pairs: HeavyKeys | None = None,
 ) -> DataFrame:
     """User features, business features and the mean rating given by friends, for each pair with both entity rows."""
-    if heavy_businesses is None:
-        heavy_businesses = heavy_keys(pairs, ["business_id"])
-    if heavy_pairs is None:
-        heavy_pairs = heavy_keys(pairs, ["user_id", "business_id"])
     # The narrow side first: the wide feature rows are shuffled as late as possible.
     rows = lookup_join(pairs, friend_means, ["user_id", "business_id"], "left", heavy_pairs)
-    rows = attach_user_features(rows, user_table, strict, heavy_users or heavy_keys(pairs, ["user_id"]))
+    rows = attach_user_features(rows, user_table, strict, heavy_users)
     return attach_business_features(rows, business_table, strict, heavy_businesses)
 
 

@@ -35,23 +35,22 @@ def mutual_friend_ratings(
 ) -> DataFrame:
     """For each distinct pair, the last rating of its business by each friend of its user.
 
-    The friend list stays one text per user up to the join, so that a pair is shuffled once and not once per friend.
-    The key (friend, business) repeats at most as often as the business has pairs, and as the friend is listed.
+    Friends who rated nothing are removed first, once per user. What is left stays one list per user up to the join, so
+    that a pair is shuffled once and not once per friend. The key (friend, business) repeats at most as often as the
+    business has pairs, and as the friend is listed.
     """
     distinct = pairs.select("user_id", "business_id").distinct()
-    if heavy_users is None:
-        heavy_users = heavy_keys(distinct, ["user_id"])
-    if heavy_businesses is None:
-        heavy_businesses = heavy_keys(distinct, ["business_id"])
-    listed = users.where(F.col("friends") != "None").select("user_id", "friends")
+    raters = latest.select(F.col("user_id").alias("friend_id")).distinct()
+    edges = friend_edges(users.where(F.col("friends") != "None")).join(raters, "friend_id", "left_semi")
+    listed = edges.groupBy("user_id").agg(F.collect_set("friend_id").alias("friend_ids"))
     befriended = lookup_join(distinct, listed, ["user_id"], heavy=heavy_users).select(
-        "user_id", "business_id", F.explode(_friends(users)).alias("friend_id")
+        "user_id", "business_id", F.explode("friend_ids").alias("friend_id")
     )
     return lookup_join(
         befriended,
         latest.select(F.col("user_id").alias("friend_id"), "business_id", "stars"),
         ["friend_id", "business_id"],
-        heavy=[popular or popular_friends(users), heavy_businesses],
+        heavy=[popular, heavy_businesses],
     ).select("user_id", "business_id", "friend_id", "stars")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starcast.operators.skew import HeavyKeys, lookup_join
+from starcast.session import materialize
 
 
 def distinct_ids(df: DataFrame, key: str) -> DataFrame:
@@ -52,6 +53,6 @@ def mark_cold(
 
 
 def split_cold(pairs: DataFrame, users: DataFrame, businesses: DataFrame, **heavy) -> tuple[DataFrame, DataFrame]:
-    """Pairs with both entity rows, and the rest."""
-    marked = mark_cold(pairs, users, businesses, **heavy)
+    """Pairs with both entity rows, and the rest; their join is written once."""
+    marked = materialize(mark_cold(pairs, users, businesses, **heavy), "marked-pairs")
     return marked.where(~F.col("is_cold")).drop("is_cold"), marked.where("is_cold").drop("is_cold")

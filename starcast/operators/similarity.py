@@ -29,8 +29,8 @@ from starcast.operators.skew import (
 )
 from starcast.session import materialize, materialize_measured, row_count
 
-# n_i * n_j * (n_i + n_j) * 100 fits a BIGINT up to this many rows; beyond it the sums are combined as DECIMAL(38,0).
-BIGINT_ROWS = 200_000
+# The sums are combined as whole numbers of this type, once per pair of businesses.
+EXACT = "decimal(38,0)"
 
 
 def cf_candidates(
@@ -125,10 +125,10 @@ def corated_sums(common: DataFrame) -> DataFrame:
     )
 
 
-def _centred(kind: str) -> tuple[Column, Column, Column]:
-    """Numerator and squared norms from the sums, computed in ``kind`` and returned as DOUBLE."""
+def _centred() -> tuple[Column, Column, Column]:
+    """Numerator and squared norms from the sums, exact up to their return as DOUBLE."""
     n_i, n_j, t_i, t_j, c, s_i, s_j, s_ii, s_jj, s_ij = (
-        F.col(name).cast(kind)
+        F.col(name).cast(EXACT)
         for name in ["n_i", "n_j", "t_i", "t_j", "common", "s_i", "s_j", "s_ii", "s_jj", "s_ij"]
     )
     dot = (n_i * n_j * s_ij - n_i * t_j * s_i) - (n_j * t_i * s_j - t_i * t_j * c)
@@ -139,10 +139,7 @@ def _centred(kind: str) -> tuple[Column, Column, Column]:
 
 def similarity_column() -> Column:
     """Correlation from the six sums and the totals ``n_i, t_i, n_j, t_j``; 1 if either side does not vary."""
-    small = F.greatest("n_i", "n_j") <= BIGINT_ROWS
-    dot, square_i, square_j = (
-        F.when(small, short).otherwise(long) for short, long in zip(_centred("bigint"), _centred("decimal(38,0)"))
-    )
+    dot, square_i, square_j = _centred()
     return F.when((square_i == 0) | (square_j == 0), F.lit(1.0)).otherwise(dot / (F.sqrt(square_i) * F.sqrt(square_j)))
 
 

@@ -5,8 +5,9 @@
 and the one matching row is copied to each block. ``blocked_join`` joins two sides that both repeat keys: the left rows
 of a heavy key are cut into L blocks, the right rows into R, and each of the L x R cells is a separate join group.
 
-Keys missing from the list of heavy keys are joined in the ordinary way, so results never depend on the list. If no key
-is heavy, both are plain joins.
+All keys over the block size are listed, in a written table that is joined without a hint: Spark broadcasts a short list
+and shuffles a long one. Results never depend on the list. Without one, both are plain joins, which adaptive execution
+balances as far as it can; nothing is counted unless a caller asks for it.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starcast.session import materialize, materialize_measured, row_count
+
 ROWS_PER_LOOKUP_BLOCK = 500_000
+# Both sides of a many-to-many join are cut, so a task never pairs more than the square of this for one key.
 ROWS_PER_JOIN_BLOCK = 20_000
-# A list of heavy keys is fetched and broadcast, so its length is bounded: every key past this rank holds less than
-# 1/MAX_HEAVY_KEYS of all rows and needs no cutting for balance.
-MAX_HEAVY_KEYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class HeavyKeys:
         listed = self.table.select(*[F.col(key).alias(f"__{key}") for key in self.keys], blocks.alias(name))
         # A missing key can be heavy too: it matches nothing, but a left join has to shuffle its rows.
         same = [F.col(key).eqNullSafe(F.col(f"__{key}")) for key in self.keys]
-        return df.join(F.broadcast(listed), same, "left").select(*df.columns, F.coalesce(name, F.lit(1)).alias(name))
+        return df.join(listed, same, "left").select(*df.columns, F.coalesce(name, F.lit(1)).alias(name))
 
 
 def heavy_from_counts(
@@ -64,15 +65,9 @@ def heavy_from_counts(
     """
     if most is not None and most <= rows_per_block:
         return HeavyKeys(tuple(keys), rows_per_block, None)
-    ranked = (
-        counts.where(F.col(rows) > rows_per_block)
-        .orderBy(F.desc(rows), *keys)
-        .limit(MAX_HEAVY_KEYS)
-        .select(*keys, F.col(rows).cast("long").alias("rows"))
-    )
-    listed = ranked.collect()
-    table = counts.sparkSession.createDataFrame(listed, ranked.schema) if listed else None
-    return HeavyKeys(tuple(keys), rows_per_block, table)
+    listed = counts.where(F.col(rows) > rows_per_block).select(*keys, F.col(rows).cast("long").alias("rows"))
+    table, measured = materialize_measured(listed, "heavy-keys", total=row_count())
+    return HeavyKeys(tuple(keys), rows_per_block, table if measured["total"] else None)
 
 
 def heavy_keys(
@@ -96,16 +91,30 @@ def heavy_in_each(df: DataFrame, columns: Sequence[str], rows_per_block: int, to
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     heavy = heavy_from_counts(counts, ["column", "id"], "rows", rows_per_block).table
+    if heavy is None:
+        return [HeavyKeys((column,), rows_per_block, None) for column in columns]
     return [
         HeavyKeys(
-            (column,),
-            rows_per_block,
-            None if heavy is None else heavy.where(F.col("column") == i).select(F.col("id").alias(column), "rows"),
+            (column,), rows_per_block, heavy.where(F.col("column") == i).select(F.col("id").alias(column), "rows")
         )
         for i, column in enumerate(columns)
     ]
 
 
+def heavy_in_pairs(df: DataFrame, keys: Sequence[str], total: int) -> list[HeavyKeys]:
+    """The heavy keys of each of two columns and of both together, from one count of the pairs."""
+    lists = [[key] for key in keys] + [list(keys)]
+    if total <= ROWS_PER_LOOKUP_BLOCK:
+        return [HeavyKeys(tuple(own), ROWS_PER_LOOKUP_BLOCK, None) for own in lists]
+    counts = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), "pair-counts")
+    return [
+        heavy_from_counts(
+            counts.groupBy(*own).agg(F.sum("rows").alias("rows")), own, "rows", ROWS_PER_LOOKUP_BLOCK
+        )
+        for own in lists
+    ]
+
+
 def _deal(df: DataFrame, blocks: str) -> Column:
     """A block number for each row, the same if the task that reads the row is run again.
 
@@ -124,20 +133,17 @@ def lookup_join(
     dim: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    heavy: HeavyKeys | Sequence[HeavyKeys] | None = None,
+    heavy: HeavyKeys | Sequence[HeavyKeys | None] | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``dim``, which holds at most one row per key.
 
-    ``heavy`` defaults to the heavy keys of ``fact``. Pass it when ``fact`` is costly to count, or has been counted
-    already. Several lists, each on a part of ``keys``, mean that a key is cut only if every list cuts it, and into
-    the smallest number of blocks: each list bounds the rows of a key from above.
+    Without ``heavy`` this is the plain join. Several lists, each on a part of ``keys``, mean that a key is cut only if
+    every list cuts it, and into the smallest number of blocks: each list bounds the rows of a key from above.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    if heavy is None:
-        heavy = heavy_keys(fact, keys)
-    lists = [heavy] if isinstance(heavy, HeavyKeys) else list(heavy)
-    if any(heavy_list.table is None for heavy_list in lists):
+    lists = [heavy] if heavy is None or isinstance(heavy, HeavyKeys) else list(heavy)
+    if any(heavy_list is None or heavy_list.table is None for heavy_list in lists):
         return fact.join(dim, list(keys), how)
 
     names = [f"__blocks_{i}" for i in range(len(lists))]
@@ -158,15 +164,11 @@ def blocked_join(
     left_heavy: HeavyKeys | None = None,
     right_heavy: HeavyKeys | None = None,
 ) -> DataFrame:
-    """Inner join of two sides that may both repeat a key many times."""
-    if left_heavy is None:
-        left_heavy = heavy_keys(left, keys, ROWS_PER_JOIN_BLOCK)
-    if right_heavy is None:
-        right_heavy = heavy_keys(right, keys, ROWS_PER_JOIN_BLOCK)
+    """Inner join of two sides that may both repeat a key many times. A side without a list is not cut."""
     cuts = {
         side: heavy
         for side, heavy in [("__left", left_heavy), ("__right", right_heavy)]
-        if heavy.table is not None
+        if heavy is not None and heavy.table is not None
     }
 
     def cut(df: DataFrame, own: str) -> DataFrame:

@@ -33,7 +33,7 @@ from starcast.operators.features import (
 from starcast.operators.friends import mutual_friend_mean, popular_friends
 from starcast.operators.ids import mark_cold, prune_entities
 from starcast.operators.ratings import global_mean, latest_rating
-from starcast.operators.skew import HeavyKeys, heavy_keys
+from starcast.operators.skew import HeavyKeys, heavy_in_pairs
 from starcast.session import materialize, materialize_measured, row_count
 
 DEPTH_A_STACKED, TREES_B_STACKED = 6, 700
@@ -49,10 +49,7 @@ class Heavy:
 
 
 def count_heavy(pairs: DataFrame, total: int) -> Heavy:
-    return Heavy(*[
-        heavy_keys(pairs, keys, total=total)
-        for keys in (["user_id"], ["business_id"], ["user_id", "business_id"])
-    ])
+    return Heavy(*heavy_in_pairs(pairs, ["user_id", "business_id"], total))
 
 
 @dataclass(frozen=True)
@@ -130,7 +127,7 @@ def prepare(
         users=users,
         businesses=businesses,
         labels=category_labels(businesses, categories),
-        latest=latest_rating(ratings, order_cols),
+        latest=materialize(latest_rating(ratings, order_cols), "latest"),
         heavy_ratings=count_heavy(ratings, of_ratings["total"]),
         heavy_pairs=count_heavy(pairs, of_pairs["total"]),
         popular=popular_friends(users),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,36 +37,56 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables and checkpoints.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver and executors are one process,
-    gets a temporary folder of its own.
+    gets a temporary folder of its own; ``local-cluster`` does not.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="starcast-"))
     return context.getCheckpointDir()
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below :func:`shared_dir`."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+# The paths handed out, job by job: the last list belongs to the innermost scope.
+_scopes: list[list[str]] = [[]]
 
 
-_written: list[str] = []
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below :func:`shared_dir`, for a table that is needed as long as the current job."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scopes[-1].append(path)
+    return path
 
 
-def discard_intermediates(spark: SparkSession) -> int:
-    """Delete the intermediate tables written so far, once the results that read them are stored."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     configuration = spark.sparkContext._jsc.hadoopConfiguration()
     deleted = 0
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         deleted += path.getFileSystem(configuration).delete(path, True)
     return deleted
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """A job: what is written to :func:`shared_path` inside is deleted at the end, once the results are stored. Tables
+    of other jobs stay."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes[:] = [scope for scope in _scopes if scope is not own]
+        _delete(spark, own)
+
+
+def discard_intermediates(spark: SparkSession) -> int:
+    """Delete what the current job has written so far, once the results that read it are stored."""
+    return _delete(spark, _scopes[-1])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 
@@ -77,7 +100,6 @@ def materialize_measured(df: DataFrame, label: str, **measures: Column) -> tuple
     """As :func:`materialize`; also returns aggregates of the written rows, which cost no further pass."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    _written.append(path)
     observed: dict = {}
     if measures:
         observation = Observation()

@@ -1,16 +1,29 @@
-"""Readers and writers: ratings, pairs and predictions as CSV, users and businesses as JSON lines."""
+"""Readers and writers: ratings, pairs and predictions as CSV, users and businesses as JSON lines.
+
+All readers are strict: a malformed line, a number that is none, a header with other names or another order, and a
+missing id or rating are errors, not silently missing values. They surface when the rows are computed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starcast.schemas import BUSINESS, PREDICTION, RATING, USER
 
 
+def _required(df: DataFrame, *names: str) -> DataFrame:
+    def present(name: str) -> Column:
+        missing = F.raise_error(F.lit(f"a row without {name}")).cast(df.schema[name].dataType)
+        return F.when(F.col(name).isNull(), missing).otherwise(F.col(name)).alias(name)
+
+    return df.select(*[present(name) if name in names else F.col(name) for name in df.columns])
+
+
 def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    # A malformed row or number is an error, not a silently missing value.
-    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST")
+    rows = spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", enforceSchema=False)
+    return _required(rows, *schema.names)
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
@@ -20,7 +33,8 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """The pairs to score. A third, usually empty, field is ignored."""
-    return spark.read.csv(path, header=True).select("user_id", "business_id")
+    rows = spark.read.csv(path, header=True, mode="FAILFAST", enforceSchema=False)
+    return _required(rows.select("user_id", "business_id"), "user_id", "business_id")
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -29,16 +43,17 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """``user_id, business_id, prediction`` as :func:`write_predictions` leaves them."""
-    return _read_csv(spark, path, PREDICTION)
+    """``user_id, business_id, prediction`` as :func:`write_predictions` leaves them. A prediction may be missing."""
+    rows = spark.read.csv(path, schema=PREDICTION, header=True, mode="FAILFAST", enforceSchema=False)
+    return _required(rows, "user_id", "business_id")
 
 
 def read_users(spark: SparkSession, path: str, schema: T.StructType = USER) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return _required(spark.read.json(path, schema=schema, mode="FAILFAST"), "user_id")
 
 
 def read_businesses(spark: SparkSession, path: str, schema: T.StructType = BUSINESS) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return _required(spark.read.json(path, schema=schema, mode="FAILFAST"), "business_id")
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

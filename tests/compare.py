@@ -13,7 +13,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
-from starcast.session import local_session  # noqa: E402
+from starcast.session import intermediates, local_session  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -44,8 +44,9 @@ TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "s
 
 def difference(spark, engine, name: str, sf_dir: str) -> str | None:
     """What differs between the query and its SQL, or None."""
-    df = entry.queries()[name](spark, sf_dir)
-    rows = [tuple(row) for row in df.collect()]
+    with intermediates(spark):
+        df = entry.queries()[name](spark, sf_dir)
+        rows = [tuple(row) for row in df.collect()]
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return None if rows else "no rows"

@@ -6,6 +6,8 @@ import __spark_entry__ as entry
 import pytest
 from compare import difference, sql_engine
 
+from starcast.checks import views
+
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CHECKED = list(entry.oracle_sql())
 
@@ -28,4 +30,5 @@ def test_query_equals_sql(spark, engine, name):
 
 def test_entry(spark):
     result = entry.entry(spark)
-    assert result.columns == ["user_id", "business_id", "prediction"] and result.count() == 115
+    scored = views.pairs(spark, "/root/testdata/sf0.001").count()
+    assert result.columns == ["user_id", "business_id", "prediction"] and result.count() == scored > 1_000

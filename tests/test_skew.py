@@ -3,7 +3,8 @@ import random
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from starcast.operators.skew import blocked_join, heavy_in_each, heavy_keys, lookup_join, repeat_rows
+from starcast.operators import skew
+from starcast.operators.skew import blocked_join, heavy_in_each, heavy_in_pairs, heavy_keys, lookup_join, repeat_rows
 
 
 def skewed(spark, n, name, seed):
@@ -90,3 +91,30 @@ def test_rows_without_a_key_are_spread_too(spark):
     dealt = heavy.attach(fact, "blocks").where("k is null")
     assert dealt.select("blocks").distinct().first()[0] == 6
     assert dealt.select(_deal(fact, "blocks")).distinct().count() > 1
+
+
+def test_any_number_of_heavy_keys_is_listed(spark):
+    df = spark.range(400_000).select((F.col("id") % 150_000).alias("k"))
+    heavy = heavy_keys(df, ["k"], 2)
+    assert heavy.table.count() == 100_000
+    left, right = df.where("k % 1000 = 0"), df.where("k % 2000 = 0").withColumn("b", F.lit(1))
+    lists = heavy_keys(left, ["k"], 1), heavy_keys(right, ["k"], 1)
+    assert blocked_join(left, right, ["k"], *lists).count() == left.join(right, "k").count()
+
+
+def test_heavy_keys_of_pairs_and_of_their_columns(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_LOOKUP_BLOCK", 3)
+    df = spark.createDataFrame([(1, 1)] * 4 + [(1, 2)] * 2 + [(2, 2)] * 3, "u long, b long")
+    users, businesses, pairs = heavy_in_pairs(df, ["u", "b"], 9)
+    assert rows_of(users.table) == [(1, 6)] and rows_of(businesses.table) == [(1, 4), (2, 5)]
+    assert rows_of(pairs.table) == [(1, 1, 4)]
+    assert [heavy.table for heavy in heavy_in_pairs(df, ["u", "b"], 3)] == [None] * 3
+
+
+def test_joins_without_a_list_start_no_job(spark):
+    fact, dim = skewed(spark, 50, "a", 5), spark.createDataFrame([(1, 5)], "k long, b long")
+    spark.sparkContext.setJobGroup("counted", "jobs of the joins")
+    joined = [lookup_join(fact, dim, ["k"]), blocked_join(fact, fact.withColumnRenamed("a", "b"), ["k"])]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("counted")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 0 and all(df.count() for df in joined)

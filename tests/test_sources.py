@@ -3,7 +3,7 @@ import pytest
 from conftest import rows_of
 
 from starcast.schemas import BUSINESS
-from starcast.session import discard_intermediates, materialize, materialize_measured, row_count, shared_dir
+from starcast.session import discard_intermediates, intermediates, materialize, materialize_measured, row_count, shared_dir
 from starcast.sources import files
 
 
@@ -66,3 +66,55 @@ def test_intermediates_can_be_discarded(spark):
     assert written.count() == 5
     assert discard_intermediates(spark) == 1
     assert discard_intermediates(spark) == 0
+
+
+@pytest.mark.parametrize(
+    ("read", "text"),
+    [
+        (files.read_pairs, "user_id,business_id,stars\nu1,\n"),
+        (files.read_pairs, "user_id,business_id,stars\nu1\n"),
+        (files.read_ratings, "user_id,business_id,stars\nu1,b1,\n"),
+        (files.read_ratings, "user_id,business_id,stars\n,b1,3\n"),
+        (files.read_ratings, "business_id,user_id,stars\nb1,u1,3\n"),
+        (files.read_truth, "user_id,business_id,stars\nu1,b1,\n"),
+        (files.read_predictions, "user_id,business_id,prediction\nu1,,3\n"),
+        (files.read_users, "not json at all\n"),
+        (files.read_users, '{"user_id": "u1", "average_stars": "junk"}\n'),
+        (files.read_users, '{"average_stars": 3.5}\n'),
+        (files.read_businesses, '{"business_id": "b1", "stars": "junk"}\n'),
+        (files.read_businesses, '{"business_id": "b1"\n'),
+    ],
+)
+def test_bad_lines_are_errors(spark, tmp_path, read, text):
+    path = tmp_path / "bad"
+    path.write_text(text)
+    with pytest.raises(Exception):
+        read(spark, str(path)).collect()
+
+
+def test_a_job_deletes_its_own_tables_only(spark):
+    outer = materialize(spark.range(3), "outer")
+    with intermediates(spark):
+        inner = materialize(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert outer.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(inner.inputFiles()[0]).count()
+
+
+def test_only_a_local_master_gets_a_folder_of_its_own(monkeypatch):
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
