@@ -265,6 +265,24 @@ def _single(slope: str) -> str:
     )
 
 
+# A booster on one feature with few values, whose leaves may hold a single row.
+_VALUE_MEANS = with_views(
+    "single",
+    """SELECT s.user_id, s.business_id, round(m.mean, 5) AS prediction
+       FROM single s JOIN (SELECT x, avg(y) AS mean FROM single GROUP BY x) m ON s.x = m.x""",
+)
+# The same in a whole job: pairs with both entity rows, and the cold-start rule for the others.
+_VALUE_MEANS_AND_COLD = with_views(
+    "train_features users businesses cold_scored",
+    """SELECT c.user_id, c.business_id,
+              round(CASE WHEN u.user_id IS NOT NULL AND b.business_id IS NOT NULL
+                         THEN least(5, greatest(1, m.mean)) ELSE c.prediction END, 5) AS prediction
+       FROM cold_scored c LEFT JOIN users u ON c.user_id = u.user_id
+       LEFT JOIN businesses b ON c.business_id = b.business_id
+       LEFT JOIN (SELECT u_average_stars AS x, avg(stars) AS mean FROM train_features GROUP BY u_average_stars) m
+         ON u.average_stars = m.x""",
+)
+
 _SOFT = "sign(m.sxy) * greatest(abs(m.sxy) - {}, 0)"
 
 ORACLE = {
@@ -559,6 +577,28 @@ ORACLE = {
     "ridge_single": _single("m.sxy * m.n / (m.sxx * m.n + 50000)"),
     "lasso_single": _single(_SOFT.format("0.001") + " / m.sxx"),
     "elastic_net_single": _single(_SOFT.format("0.002 * 0.4") + " / (m.sxx + 0.002 * 0.6)"),
+    "robust_scaled_single": with_views(
+        "single moments",
+        """, r AS (SELECT quantile_disc(x, 0.75) - quantile_disc(x, 0.25) AS width FROM single)
+           SELECT s.user_id, s.business_id,
+                  round(m.my + m.sxy * m.n / (m.sxx * m.n + 50000 * r.width * r.width) * (s.x - m.mx), 5) AS prediction
+           FROM single s, moments m, r""",
+    ),
+    "save_and_load_single": _single("m.sxy / m.sxx"),
+    "gbt_a_single": _VALUE_MEANS,
+    "gbt_b_single": _VALUE_MEANS,
+    "stacked_single": _VALUE_MEANS,
+    "hybrid_recommender_single": _VALUE_MEANS_AND_COLD,
+    "stacked_recommender_single": _VALUE_MEANS_AND_COLD,
+    "linear_recommender_single": with_views(
+        "ratings pairs users",
+        """, t AS (SELECT CAST(r.stars AS DOUBLE) AS y, coalesce(u.average_stars, 2.5) AS x
+                   FROM ratings r LEFT JOIN users u ON r.user_id = u.user_id),
+             m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / var_pop(x) AS slope FROM t)
+           SELECT p.user_id, p.business_id,
+                  round(m.my + m.slope * (coalesce(u.average_stars, 2.5) - m.mx), 5) AS prediction
+           FROM pairs p LEFT JOIN users u ON p.user_id = u.user_id, m""",
+    ),
     "item_cf_predictions": with_views(
         "cf", "SELECT user_id, business_id, round(prediction, 6) AS prediction FROM cf"
     ),

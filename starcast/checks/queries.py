@@ -711,6 +711,9 @@ def _single(name: str, fit: Callable) -> None:
 
 
 SINGLE_RIDGE, SINGLE_LASSO, SINGLE_NET = 50_000.0, 0.001, (0.002, 0.4)
+# One feature with few values, and leaves that may be as small as a row: a booster is the mean label of each value.
+ONE_COLUMN = ["u_average_stars"]
+ONE_COLUMN_TREES = {"maxIter": 3, "maxDepth": 8, "minInstancesPerNode": 1}
 _single("linear_single", fit_linear)
 _single("ridge_single", lambda train, names: fit_ridge(train, names, alpha=SINGLE_RIDGE))
 _single("lasso_single", lambda train, names: fit_lasso(train, names, alpha=SINGLE_LASSO))
@@ -718,6 +721,48 @@ _single(
     "elastic_net_single",
     lambda train, names: fit_elastic_net(train, names, alpha=SINGLE_NET[0], l1_ratio=SINGLE_NET[1]),
 )
+_single(
+    "robust_scaled_single",
+    lambda train, names: robust_scaled(
+        train, names, lambda scaled: ridge(train, "stars", alpha=SINGLE_RIDGE, features=scaled)
+    ),
+)
+_single("gbt_a_single", lambda train, names: fit_gbt_a(train, names, **ONE_COLUMN_TREES))
+_single("gbt_b_single", lambda train, names: fit_gbt_b(train, names, **ONE_COLUMN_TREES))
+_single("stacked_single", lambda train, names: fit_stacked(train, names, gbt_b(**ONE_COLUMN_TREES)))
+
+
+@query
+def save_and_load_single(d: Inputs) -> DataFrame:
+    train = materialize(
+        lookup_join(d.ratings.select(*PAIR, "stars"), d.users.select("user_id", "average_stars"), ["user_id"]), "single"
+    )
+    path = shared_path(d.spark, "model")
+    save_model(fit_linear(train, ["average_stars"]), path)
+    return load_model(path).transform(train).select(*PAIR, F.round("prediction", 5).alias("prediction"))
+
+
+@query
+def linear_recommender_single(d: Inputs) -> DataFrame:
+    scored = recommenders.linear_recommender(d.ratings, d.users, d.businesses, d.pairs, columns=ONE_COLUMN)
+    return scored.select(*PAIR, F.round("prediction", 5).alias("prediction"))
+
+
+@query
+def hybrid_recommender_single(d: Inputs) -> DataFrame:
+    scored = recommenders.hybrid_recommender(
+        d.ratings, d.users, d.businesses, d.pairs, views.RATING_ORDER, ONE_COLUMN_TREES, ONE_COLUMN_TREES,
+        columns=ONE_COLUMN,
+    )
+    return scored.select(*PAIR, F.round("prediction", 5).alias("prediction"))
+
+
+@query
+def stacked_recommender_single(d: Inputs) -> DataFrame:
+    scored = recommenders.stacked_recommender(
+        d.ratings, d.users, d.businesses, d.pairs, views.RATING_ORDER, *[ONE_COLUMN_TREES] * 3, columns=ONE_COLUMN
+    )
+    return scored.select(*PAIR, F.round("prediction", 5).alias("prediction"))
 
 
 def _model(name: str, fit: Callable) -> None:

@@ -70,8 +70,8 @@ def attribute_columns(attrs: Column, on_unknown: str = "null") -> dict[str, Colu
         "price": price_range(attrs),
         "noise": noise_code(attrs, on_unknown),
         "alcohol": alcohol_flag(attrs),
-        "drive_thru": true_false_flag(attrs, DRIVE_THRU_KEY, on_unknown),
-        "kids": true_false_flag(attrs, KIDS_KEY, on_unknown),
+        "drive_thru": true_false_flag(attrs, DRIVE_THRU_KEY),
+        "kids": true_false_flag(attrs, KIDS_KEY),
     }
 
 

@@ -11,7 +11,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, RobustScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,25 +64,29 @@ def _regression(label: str, prediction: str, features: str, alpha: float, l1_rat
 
 
 def label_scale(train: DataFrame, label: str) -> tuple[float, int]:
-    """Population standard deviation and number of the labels."""
+    """Population standard deviation and number of the labels: one pass, to be shared by the models of a table."""
     row = train.agg(F.stddev_pop(label).alias("scale"), F.count(label).alias("rows")).first()
     return row["scale"], row["rows"]
 
 
 def ridge(train: DataFrame, label: str, alpha: float = RIDGE_ALPHA, prediction: str = "prediction",
-          features: str = "features") -> LinearRegression:
-    scale, rows = label_scale(train, label)
+          features: str = "features", scale: tuple[float, int] | None = None) -> LinearRegression:
+    """``scale``: the :func:`label_scale` of ``train``, if known."""
+    scale, rows = scale or label_scale(train, label)
     return _regression(label, prediction, features, alpha * scale / rows, 0.0)
 
 
 def lasso(train: DataFrame, label: str, alpha: float = LASSO_ALPHA, prediction: str = "prediction",
-          features: str = "features") -> LinearRegression:
+          features: str = "features", scale: tuple[float, int] | None = None) -> LinearRegression:
+    """``scale`` is not needed; it is here so that the linear models take the same arguments."""
     return _regression(label, prediction, features, alpha, 1.0)
 
 
 def elastic_net(train: DataFrame, label: str, alpha: float = ELASTIC_NET_ALPHA, l1_ratio: float = ELASTIC_NET_L1,
-                prediction: str = "prediction", features: str = "features") -> LinearRegression:
-    scale, _ = label_scale(train, label)
+                prediction: str = "prediction", features: str = "features",
+                scale: tuple[float, int] | None = None) -> LinearRegression:
+    """``scale``: the :func:`label_scale` of ``train``, if known."""
+    scale, _ = scale or label_scale(train, label)
     total = alpha * l1_ratio + scale * alpha * (1 - l1_ratio)
     return _regression(label, prediction, features, total, alpha * l1_ratio / total if total else 0.0)
 
@@ -105,23 +110,15 @@ def fit_elastic_net(train: DataFrame, features: Sequence[str], label: str = "sta
 
 
 def robust_scaling(train: DataFrame, features: Sequence[str], output: str = "scaled") -> PipelineModel:
-    """Columns minus their median, over their interquartile range where that is not 0."""
+    """Columns minus their median, over their interquartile range where that is not 0, in the order of ``features``."""
     raw = assembler(features, f"{output}_raw")
-    ranges = RobustScaler(inputCol=raw.getOutputCol(), outputCol=output).fit(raw.transform(train)).range
-    spread = [c for c, width in zip(features, ranges) if width > 0]
-    flat = [c for c, width in zip(features, ranges) if not width > 0]
-    stages, parts = [], []
-    for name, cols, scaled in [("spread", spread, True), ("flat", flat, False)]:
-        if cols:
-            part = f"{output}_{name}"
-            stages += [
-                assembler(cols, f"{part}_raw"),
-                RobustScaler(
-                    inputCol=f"{part}_raw", outputCol=part, withCentering=True, withScaling=scaled
-                ),
-            ]
-            parts.append(part)
-    return Pipeline(stages=[*stages, assembler(parts, output)]).fit(train)
+    centred = f"{output}_centred"
+    fitted = RobustScaler(inputCol=raw.getOutputCol(), outputCol=centred, withCentering=True).fit(raw.transform(train))
+    # The fit gives medians and ranges; columns without a range are only centred.
+    factors = [1 / width if width > 0 else 1.0 for width in fitted.range]
+    fitted.set(fitted.withScaling, False)
+    scale = ElementwiseProduct(inputCol=centred, outputCol=output, scalingVec=Vectors.dense(factors))
+    return PipelineModel(stages=[raw, fitted, scale])
 
 
 def robust_scaled(

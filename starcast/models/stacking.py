@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starcast.models.linear import elastic_net, lasso, ridge, robust_scaled, robust_scaling
+from starcast.models.linear import elastic_net, label_scale, lasso, ridge, robust_scaling
 from starcast.models.trees import fit_trees
 from starcast.session import materialize
 
@@ -28,8 +28,9 @@ def linear_bases(train: DataFrame, features: Sequence[str], label: str, prefix:
     scaling = robust_scaling(train, features, f"{prefix}scaled")
     scaled = scaling.transform(train)
     stages: list[Model] = [scaling]
+    scale = label_scale(train, label)
     for i, build in enumerate((elastic_net, ridge, lasso)):
-        estimator = build(train, label, prediction=f"{prefix}{i}", features=f"{prefix}scaled")
+        estimator = build(train, label, prediction=f"{prefix}{i}", features=f"{prefix}scaled", scale=scale)
         stages.append(estimator.fit(scaled))
     return PipelineModel(stages=stages)
 
@@ -45,17 +46,19 @@ def fit_stacked(
     out_of_fold: bool = False,
     folds: int = 5,
     keys: Sequence[str] = ("user_id", "business_id"),
+    fold: str | None = None,
 ) -> PipelineModel:
     """Base models and the meta model as one pipeline.
 
     The meta model sees base predictions of the rows the bases were fitted on, or, with ``out_of_fold``, of rows left
-    out of their fit. ``train`` is read many times and should be a written table.
+    out of their fit. ``fold`` names a column with the fold of each row, from 0 on; by default it follows from ``keys``.
+    ``train`` is read many times and should be a written table.
     """
     fitted = bases(train, features, label, prefix)
     predictions = [f"{prefix}{i}" for i in range(base_count)]
     columns = [*train.columns, *predictions]
     if out_of_fold:
-        numbered = train.withColumn(FOLD, fold_column(keys, folds))
+        numbered = train.withColumn(FOLD, F.col(fold).cast("int") if fold else fold_column(keys, folds))
         parts = []
         for fold in range(folds):
             held_out = bases(numbered.where(F.col(FOLD) != fold), features, label, prefix)
@@ -67,5 +70,3 @@ def fit_stacked(
     meta_model = fit_trees(level_two, [*features, *predictions], meta)
     return PipelineModel(stages=[fitted, meta_model])
 
-
-__all__ = ["fit_stacked", "fold_column", "linear_bases", "robust_scaled"]

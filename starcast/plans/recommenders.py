@@ -83,6 +83,7 @@ class Prepared:
     heavy_ratings: Heavy
     heavy_pairs: Heavy
     popular: HeavyKeys
+    on_unknown: str
 
     def features(self, rows: DataFrame, heavy: Heavy) -> DataFrame:
         """``rows`` of users and businesses, those with both entity rows, with the features of the tree models."""
@@ -90,7 +91,7 @@ class Prepared:
         return assemble_pair_features(
             rows,
             user_features(self.users),
-            business_features(self.businesses, self.labels),
+            business_features(self.businesses, self.labels, self.on_unknown),
             friends,
             False,
             heavy.users,
@@ -113,6 +114,7 @@ def prepare(
     pairs: DataFrame,
     order_cols: Sequence[str] = (),
     categories: int = TOP_CATEGORIES,
+    on_unknown: str = "error",
 ) -> Prepared:
     ratings, of_ratings = materialize_measured(
         ratings.select("user_id", "business_id", "stars", *order_cols), "train", total=row_count()
@@ -131,6 +133,7 @@ def prepare(
         heavy_ratings=count_heavy(ratings, of_ratings["total"]),
         heavy_pairs=count_heavy(pairs, of_pairs["total"]),
         popular=popular_friends(users),
+        on_unknown=on_unknown,
     )
 
 
@@ -141,9 +144,15 @@ def pair_features(
     pairs: DataFrame,
     order_cols: Sequence[str] = (),
     categories: int = TOP_CATEGORIES,
+    columns: Sequence[str] | None = None,
+    on_unknown: str = "error",
 ) -> PairFeatures:
-    """Everything the tree models train on and score."""
-    made = prepare(ratings, users, businesses, pairs, order_cols, categories)
+    """Everything the tree models train on and score.
+
+    ``columns`` are the features to learn from, by default all. A noise label that is not known raises, or counts as
+    missing with ``on_unknown='null'``.
+    """
+    made = prepare(ratings, users, businesses, pairs, order_cols, categories, on_unknown)
     train = materialize(made.train_features(), "train-features")
     known = materialize(made.known_features(), "pair-features")
     heavy = made.heavy_pairs
@@ -152,13 +161,23 @@ def pair_features(
         train=train,
         known=known,
         cold=materialize(marked.where("is_cold").drop("is_cold"), "cold-pairs"),
-        names=feature_names(train),
+        names=chosen_features(train, columns),
         users=made.users,
         businesses=made.businesses,
         mean_stars=global_mean(made.ratings).first()[0],
     )
 
 
+def chosen_features(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
+    """All feature columns, or those of ``columns``, which must exist."""
+    names = feature_names(df)
+    if columns is None:
+        return names
+    if unknown := sorted(set(columns) - set(names)):
+        raise ValueError(f"no such features: {', '.join(unknown)}")
+    return [name for name in names if name in columns]
+
+
 def missing_columns(features: DataFrame, names: Sequence[str]) -> list[str]:
     """The feature columns that lack a value in some row."""
     lacking = features.agg(*[F.expr(f"max(`{c}` is null or isnan(`{c}`)) as `{c}`") for c in names]).first()
@@ -193,8 +212,10 @@ def linear_recommender(
     businesses: DataFrame,
     pairs: DataFrame,
     categories: int = TOP_CATEGORIES,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Least squares on the linear views; a user or business without a row gets the default row. Not clipped."""
+    """Least squares on the linear views, or on ``columns`` of them; a user or business without a row gets the default
+    row. Not clipped."""
     ratings, of_ratings = materialize_measured(
         ratings.select("user_id", "business_id", "stars"), "train", total=row_count()
     )
@@ -209,8 +230,7 @@ def linear_recommender(
         attach_with_defaults(ratings, users, businesses, labels, in_train.users, in_train.businesses), "linear-train"
     )
     scored = attach_with_defaults(pairs, users, businesses, labels, in_pairs.users, in_pairs.businesses)
-    names = feature_names(train)
-    imputer = mean_imputer(train, names)
+    imputer = mean_imputer(train, chosen_features(train, columns))
     model = fit_linear(imputer.transform(train), imputer.columns)
     return model.transform(imputer.transform(scored)).select("user_id", "business_id", "prediction")
 
@@ -230,6 +250,13 @@ def fit_boosters(
     return a, b
 
 
+def error_per_tree(model: PipelineModel, vectors: DataFrame) -> list[float]:
+    """The RMSE of a booster with its first tree, its first two trees, and so on."""
+    trees = model.stages[-1]
+    rows = vectors.withColumnRenamed("features", trees.getFeaturesCol())
+    return [error**0.5 for error in trees.evaluateEachIteration(rows, "squared")]
+
+
 def hybrid_recommender(
     ratings: DataFrame,
     users: DataFrame,
@@ -238,9 +265,13 @@ def hybrid_recommender(
     order_cols: Sequence[str] = (),
     params_a: Mapping | None = None,
     params_b: Mapping | None = None,
+    columns: Sequence[str] | None = None,
+    on_unknown: str = "error",
 ) -> DataFrame:
     """The clipped mean of two boosters for known pairs, and the cold-start rule for the rest."""
-    features = pair_features(ratings, users, businesses, pairs, order_cols)
+    features = pair_features(
+        ratings, users, businesses, pairs, order_cols, columns=columns, on_unknown=on_unknown
+    )
     inputs = tree_input(features)
     a, b = fit_boosters(inputs, training_vectors(inputs), params_a, params_b)
     scored = b.transform(a.transform(inputs.known))
@@ -259,6 +290,8 @@ def stacked_recommender(
     params_meta: Mapping | None = None,
     stats_from: str = "train",
     out_of_fold: bool = False,
+    columns: Sequence[str] | None = None,
+    on_unknown: str = "error",
 ) -> DataFrame:
     """The clipped mean of two boosters and a stacked model for known pairs, and the cold-start rule for the rest.
 
@@ -267,7 +300,9 @@ def stacked_recommender(
     """
     if stats_from not in ("train", "self"):
         raise ValueError("stats_from must be 'train' or 'self'")
-    features = pair_features(ratings, users, businesses, pairs, order_cols)
+    features = pair_features(
+        ratings, users, businesses, pairs, order_cols, columns=columns, on_unknown=on_unknown
+    )
     inputs = tree_input(features)
     a, b = fit_boosters(
         inputs,
@@ -295,11 +330,13 @@ def stacked_recommender(
 
 @dataclass(frozen=True)
 class TrainReport:
-    """Where the fitted boosters are, and the result of each parameter search."""
+    """Where the fitted boosters are, the result of each parameter search, and each booster's RMSE on its training rows
+    after every tree."""
 
     path_a: str
     path_b: str
     searches: dict[str, tuple[dict, float]]
+    errors: dict[str, list[float]]
 
 
 def train_job(
@@ -315,9 +352,13 @@ def train_job(
     grid_b: Mapping[str, Sequence] | None = GBT_B_GRID,
     folds: int = 5,
     parallelism: int = 2,
+    columns: Sequence[str] | None = None,
+    on_unknown: str = "error",
 ) -> TrainReport:
     """Fit and save both boosters, then search their parameters. A grid of None skips its search."""
-    inputs = tree_input(pair_features(ratings, users, businesses, pairs, order_cols))
+    inputs = tree_input(
+        pair_features(ratings, users, businesses, pairs, order_cols, columns=columns, on_unknown=on_unknown)
+    )
     vectors = training_vectors(inputs)
     a, b = fit_boosters(inputs, vectors, params_a, params_b)
     paths = [f"{model_dir.rstrip('/')}/gbt_{name}" for name in ("a", "b")]
@@ -329,4 +370,4 @@ def train_job(
             continue
         best, score, _ = grid_search(vectors, trees(**(params or {})), grid, folds=folds, parallelism=parallelism)
         searches[name] = (best, score)
-    return TrainReport(*paths, searches)
+    return TrainReport(*paths, searches, {"gbt_a": error_per_tree(a, vectors), "gbt_b": error_per_tree(b, vectors)})

@@ -1,6 +1,10 @@
 import data
 import numpy as np
 import pytest
+
+from starcast.models.search import grid_search
+
+from starcast.models.linear import assembler, lasso, robust_scaling
 from conftest import rows_of
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -168,4 +172,33 @@ def test_train_job(spark):
         {**SMALL, "minInstancesPerNode": 1}, {"maxDepth": [1, 2]}, None, folds=2,
     )
     assert set(report.searches) == {"gbt_a"} and report.searches["gbt_a"][1] < 0
+    for errors in report.errors.values():
+        assert len(errors) == SMALL["maxIter"] and errors == sorted(errors, reverse=True)
     assert store.load_model(report.path_a).stages and store.load_model(report.path_b).stages
+
+
+def test_feature_columns_can_be_chosen(spark):
+    with pytest.raises(ValueError, match="no such features: junk"):
+        recommenders.linear_recommender(*inputs(spark), columns=["junk"])
+
+
+def test_folds_can_be_chosen(spark):
+    rows = spark.createDataFrame(
+        [(float(i), float(2 * i + i % 3), i % 4) for i in range(24)], "x double, stars double, part int"
+    )
+    vectors = assembler(["x"]).transform(rows)
+    best, score, fitted = grid_search(vectors, lasso(vectors, "stars"), [{"regParam": 0.0}], folds=4, fold="part")
+    errors = []
+    for part in range(4):
+        train, test = (np.array(rows.where(f"part {op} {part}").select("x", "stars").collect()) for op in ("<>", "="))
+        slope, shift = np.polyfit(train[:, 0], train[:, 1], 1)
+        errors.append(np.sqrt(np.mean((slope * test[:, 0] + shift - test[:, 1]) ** 2)))
+    assert score == pytest.approx(-np.mean(errors), abs=1e-6)
+
+
+def test_one_scaler_fit_keeps_the_order_of_columns(spark):
+    rows = spark.createDataFrame([(1.0, 5.0, 10.0), (2.0, 5.0, 30.0), (3.0, 5.0, 20.0), (4.0, 5.0, 0.0)], "a double, b double, c double")
+    scaled = robust_scaling(rows, ["a", "b", "c"]).transform(rows).select("scaled").collect()
+    assert [list(r.scaled)[1] for r in scaled] == [0.0] * 4
+    a = np.array([list(r.scaled)[0] for r in scaled])
+    assert np.allclose(np.diff(sorted(a)), np.diff(sorted(a))[0]) and len(set(a)) == 4
