@@ -1,18 +1,17 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Features are words, and the beginnings of longer words, that labelled toxic texts hold far more often than others: by
-the likelihood ratio test, at most ``most_features`` of them. An example or a document is the vector of its features
-with weights (1 + ln tf) * idf. Documents without any feature have no neighbours; their score is the share of toxic
-ones among examples without features.
+Features are all words of the examples, and the beginnings of longer words, toxic or not. An example or a document is
+the vector of its features with weights (1 + ln tf) * idf; what no example holds has no idf and does not count. Only
+documents without any feature have no neighbours; their score is the share of toxic ones among examples without features.
 
-The index holds the examples feature by feature in blocks, with the largest weight of each block. A document adds up
-these maxima for every block, opens the blocks from the best bound down, and stops when no block left can beat its
-k-th neighbour: the neighbours are exact. Their labels vote with the weight 1 / (distance + 0.05), where the distance
-is 1 - cosine; the share of toxic votes is turned into a score by the rates that the examples show when each is scored
-by the others. The neighbours are the evidence.
+The index holds the weights of common features in one matrix, with which a batch of documents is multiplied, and of all
+other features the list of examples. Every example that shares a feature is scored: no bound is used, and the neighbours
+are exact. Their labels vote with the weight 1 / (distance + 0.05), where the distance is 1 - cosine; the share of toxic
+votes is turned into a score by the rates that the examples show when each is scored by the others. The neighbours are
+the evidence.
 
-Bounds: ``most_examples`` examples (distinct texts with the smallest hashes) and ``most_features`` features, so the
-index that each task gets is bounded. All else covers all rows.
+Bound: ``most_examples`` examples (distinct texts with the smallest hashes), so the index that each task gets is bounded
+by their texts. All else covers all rows.
 
 Null and empty texts are scored like texts without features. Repeated rows get equal scores. Labels of 0 or 1 count,
 others and null are left out; if a document is labelled twice, the larger label counts; if equal texts are, each
@@ -22,22 +21,26 @@ counts once per label. Without labelled examples of both kinds every score is th
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from starcast.llm.common import append_columns
 from starcast.session import materialize
 
 K = 15
-BLOCK = 64
+# Documents multiplied at a time.
+BATCH = 64
 SHORTEST, LONGEST = 3, 8
-MOST_EXAMPLES, MOST_FEATURES = 20_000, 4_096
-LEAST_RATIO = 40.0
+# Features that more than one in so many examples hold are common.
+COMMON = 4
+MOST_EXAMPLES = 20_000
 STRIPPED = ".,;:!?*#%$&|\"'()[]{}<>"
 
 
@@ -90,58 +93,79 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most: int) -> D
     return texts.select("text", "toxic").distinct()
 
 
-def select_features(examples: DataFrame, most: int) -> pd.DataFrame:
-    """``feature`` and ``df``, the number of examples that have it, of the features that speak for label 1."""
+def features_in(examples: DataFrame) -> pd.DataFrame:
+    """``feature`` and ``df``, the number of examples that have it, of all features of the examples."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = Counts(None)
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for text, toxic in zip(batch["text"], batch["toxic"]):
-                for feature in counts(text):
-                    own = seen.setdefault(feature, [0, 0])
-                    own[0] += 1
-                    own[1] += toxic
+            seen: Counter = Counter()
+            for text in batch["text"]:
+                seen.update(counts(text).keys())
                 if len(seen) > 200_000:
                     yield _counts_frame(seen)
-                    seen = {}
+                    seen = Counter()
             yield _counts_frame(seen)
 
     n, toxic = examples.agg(F.count("toxic"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
         return pd.DataFrame({"feature": [], "df": []})
-    counted = examples.mapInPandas(run, "feature string, df long, pos long").groupBy("feature").agg(
-        F.sum("df").alias("df"), F.sum("pos").alias("pos")
-    )
-    expected, neg = F.col("df") * toxic / n, F.col("df") - F.col("pos")
-    ratio = 2 * (
-        F.col("pos") * F.log(F.col("pos") / expected)
-        + F.when(neg > 0, neg * F.log(neg / (F.col("df") - expected))).otherwise(0)
-    )
-    chosen = counted.where((F.col("pos") > expected) & (ratio >= LEAST_RATIO))
-    return chosen.orderBy(F.desc(ratio), "feature").limit(most).select("feature", "df").toPandas()
+    counted = examples.select("text").mapInPandas(run, "feature string, df long").groupBy("feature")
+    table = counted.agg(F.sum("df").alias("df")).toArrow()
+    return table.sort_by("feature").to_pandas()
 
 
-def _counts_frame(seen: dict[str, list[int]]) -> pd.DataFrame:
-    rows = [(feature, *own) for feature, own in seen.items()]
-    return pd.DataFrame(rows, columns=["feature", "df", "pos"])
+def _counts_frame(seen: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"feature": list(seen.keys()), "df": list(seen.values())}).astype({"feature": object, "df": "int64"})
+
+
+def _places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
 
 
 @dataclass
 class Index:
-    """Labelled examples by feature, in blocks of ``BLOCK`` examples."""
+    """Labelled examples: common features as a matrix, all others feature by feature."""
 
     known: dict[str, int]
     idf: np.ndarray
     labels: np.ndarray
-    #: Per block the examples' weights, one row per feature that occurs in it.
-    blocks: list[tuple[dict[int, int], np.ndarray]]
-    #: Per feature and block the largest weight.
-    largest: np.ndarray
+    #: What codes stand for, 1 + ln of it, and each example's length.
+    tf: np.ndarray
+    gains: np.ndarray
+    norms: np.ndarray
+    #: The examples of a feature, and codes: from ``starts[feature]`` on.
+    starts: np.ndarray
+    examples: np.ndarray
+    codes: np.ndarray
+    #: Number among the common features, or -1.
+    common: np.ndarray
     bare_rate: float
     edges: np.ndarray
     rates: np.ndarray
 
+    def __post_init__(self) -> None:
+        #: Weights by number of the common feature and example.
+        often = np.flatnonzero(self.common >= 0)
+        self.table = np.zeros((len(often), len(self.labels)))
+        for number, f in enumerate(often.tolist()):
+            places = slice(*self.starts[f : f + 2])
+            own = self.examples[places]
+            self.table[number, own] = self.gains[self.codes[places]] * self.idf[f] / self.norms[own]
+
+    def __getstate__(self) -> dict:
+        """Without the table, and features as one string: to pickle each takes more memory than the rest. None holds
+        white space.
+        """
+        return {k: v for k, v in self.__dict__.items() if k != "table"} | {"known": "\n".join(self.known)}
+
+    def __setstate__(self, state: dict) -> None:
+        names = state["known"].split("\n") if state["known"] else []
+        self.__dict__.update(state, known={f: i for i, f in enumerate(names)})
+        self.__post_init__()
+
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         features = np.fromiter(sorted(counts), np.int64, len(counts))
         tf = np.fromiter((counts[f] for f in features.tolist()), np.float64, len(counts))
@@ -150,62 +174,117 @@ class Index:
 
     def nearest(self, counts: dict[int, int], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples with the largest cosine, and the cosine; of equal ones those that come first."""
-        features, weights = self.vector(counts)
-        bounds = weights @ self.largest[features]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-9:
-                break
-            rows, table = self.blocks[block]
-            here = [(rows[f], w) for f, w in zip(features.tolist(), weights.tolist()) if f in rows]
-            scores = np.array([w for _, w in here]) @ table[[r for r, _ in here]]
-            own = [(-round(float(s), 9), block * BLOCK + i) for i, s in enumerate(scores) if s > 0]
-            best = sorted(best + [e for e in own if e[1] != without])[:k]
+        return self.nearest_of([counts], k, [without])[0]
+
+    def nearest_of(self, batch: list[dict[int, int]], k: int, without: list[int]) -> list[list[tuple[float, int]]]:
+        """``nearest`` for each of a batch."""
+        vectors = [self.vector(counts) for counts in batch]
+        queries = np.zeros((len(batch), len(self.table)))
+        for query, (features, weights) in zip(queries, vectors):
+            numbers = self.common[features]
+            query[numbers[numbers >= 0]] = weights[numbers >= 0]
+        return [
+            self._best(scores, features, weights, k, own)
+            for scores, (features, weights), own in zip(queries @ self.table, vectors, without)
+        ]
+
+    def _best(self, scores: np.ndarray, features: np.ndarray, weights: np.ndarray, k: int, without: int) -> list:
+        rare = self.common[features] < 0
+        features, weights = features[rare], weights[rare]
+        starts, ends = self.starts[features], self.starts[features + 1]
+        places = _places(starts, ends)
+        parts = np.repeat(weights * self.idf[features], ends - starts) * self.gains[self.codes[places]]
+        scores = scores + np.bincount(self.examples[places], parts, len(self.labels)) / self.norms
+        if without >= 0:
+            scores[without] = 0
+        # Cosines compare by nine digits, so more than k may stand as high as the k-th.
+        least = np.partition(scores, -k)[-k] - 2e-9 if len(scores) > k else 0.0
+        high = np.flatnonzero((scores > 0) & (scores >= least))
+        best = sorted((-round(s, 9), e) for s, e in zip(scores[high].tolist(), high.tolist()))[:k]
         return [(example, -negative) for negative, example in best]
 
     def votes(self, neighbours: list[tuple[int, float]]) -> float:
         weights = np.array([1 / (1.05 - cosine) for _, cosine in neighbours])
         return float(weights @ self.labels[[e for e, _ in neighbours]] / weights.sum())
 
-    def score(self, counts: dict[int, int], k: int) -> tuple[float, list[tuple[int, float]]]:
-        neighbours = self.nearest(counts, k) if counts else []
-        if not neighbours:
-            return self.bare_rate, []
-        return float(self.rates[np.searchsorted(self.edges, self.votes(neighbours), side="right")]), neighbours
+    def scores(self, batch: list[dict[int, int]], k: int) -> list[tuple[float, list[tuple[int, float]]]]:
+        results: list[tuple[float, list[tuple[int, float]]]] = [(self.bare_rate, [])] * len(batch)
+        filled = [i for i, counts in enumerate(batch) if counts]
+        for start in range(0, len(filled), BATCH):
+            some = filled[start : start + BATCH]
+            for i, neighbours in zip(some, self.nearest_of([batch[i] for i in some], k, [-1] * len(some))):
+                if neighbours:
+                    place = np.searchsorted(self.edges, self.votes(neighbours), side="right")
+                    results[i] = float(self.rates[place]), neighbours
+        return results
 
 
 def build(examples: list[tuple[str, int]], features: pd.DataFrame, k: int) -> Index:
     """The index of a bounded number of examples, with its calibration."""
-    known = {f: i for i, f in enumerate(features["feature"])}
-    idf = np.log(1 + len(examples) / features["df"].to_numpy(np.float64)) if known else np.empty(0)
-    counts = Counts(known)
-    vectors = [(counts(text), toxic) for text, toxic in examples]
-    filled = [(own, toxic) for own, toxic in vectors if own]
-    bare = [toxic for own, toxic in vectors if not own]
-    labels = np.array([toxic for _, toxic in filled], np.float64)
-    index = Index(known, idf, labels, [], np.zeros((len(known), -(-len(filled) // BLOCK))), 0.0, np.empty(0), np.empty(1))
-    for start in range(0, len(filled), BLOCK):
-        block = [own for own, _ in filled[start : start + BLOCK]]
-        rows = {f: i for i, f in enumerate(sorted({f for own in block for f in own}))}
-        table = np.zeros((len(rows), len(block)))
-        for place, own in enumerate(block):
-            names, weights = index.vector(own)
-            table[[rows[f] for f in names.tolist()], place] = weights
-        index.blocks.append((rows, table))
-        index.largest[list(rows), start // BLOCK] = table.max(axis=1)
-    index.bare_rate = (sum(bare) + 0.5) / (len(bare) + 1) if vectors else 0.0
-    _calibrate(index, [own for own, _ in filled], k)
+    index = gather(examples, features)
+    calibrate(index, shares_of(index, range(len(index.labels)), k))
     return index
 
 
-def _calibrate(index: Index, counts: list[dict[int, int]], k: int) -> None:
+def gather(texts: Iterable[tuple[str, int]], features: pd.DataFrame) -> Index:
+    """The index before its calibration. The texts are read once, one at a time."""
+    known = {f: i for i, f in enumerate(features["feature"])}
+    counts = Counts(known)
+    names, times, labels, bare, seen = [], [], [], [], set()
+    for text, toxic in texts:
+        own = counts(text)
+        if not own:
+            bare.append(toxic)
+            continue
+        names.append(np.fromiter(own.keys(), np.int32, len(own)))
+        times.append(np.fromiter(own.values(), np.int32, len(own)))
+        seen.update(own.values())
+        labels.append(toxic)
+    n, df = len(labels), features["df"].to_numpy(np.float64)
+    idf = np.log(1 + (n + len(bare)) / df) if known else np.empty(0)
+    tf = np.array(sorted(seen), np.int64)
+    gains = 1 + np.log(tf)
+    sizes = np.zeros(len(known), np.int64)
+    for own in names:
+        sizes[own] += 1
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    example, codes = np.empty(starts[-1], np.min_scalar_type(n)), np.empty(starts[-1], np.min_scalar_type(len(tf)))
+    norms, free = np.empty(n), starts[:-1].copy()
+    for number in range(n):
+        own, code = names[number], np.searchsorted(tf, times[number])
+        norms[number] = np.linalg.norm(gains[code] * idf[own])
+        example[free[own]], codes[free[own]] = number, code
+        free[own] += 1
+        names[number] = times[number] = None
+    common = np.full(len(known), -1, np.int32)
+    often = np.flatnonzero(df * COMMON > n + len(bare))
+    common[often] = np.arange(len(often))
+    bare_rate = (sum(bare) + 0.5) / (len(bare) + 1) if bare or labels else 0.0
+    labels = np.array(labels, np.float64)
+    edges, rates = np.empty(0), np.empty(1)
+    return Index(known, idf, labels, tf, gains, norms, starts, example, codes, common, bare_rate, edges, rates)
+
+
+def shares_of(index: Index, examples: Sequence[int], k: int) -> list[float | None]:
+    """The share of toxic votes among the other examples, or None without neighbours."""
+    order = np.argsort(index.examples, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(index.examples, minlength=len(index.labels)))])
+    shares: list[float | None] = []
+    for start in range(0, len(examples), BATCH):
+        some, batch = list(examples[start : start + BATCH]), []
+        for example in some:
+            places = order[slice(*starts[example : example + 2])]
+            features = np.searchsorted(index.starts, places, side="right") - 1
+            batch.append(dict(zip(features.tolist(), index.tf[index.codes[places]].tolist())))
+        found = index.nearest_of(batch, k, some)
+        shares += [index.votes(neighbours) if neighbours else None for neighbours in found]
+    return shares
+
+
+def calibrate(index: Index, found: list[float | None]) -> None:
     """Shares of votes to scores: rates in ranges of the share, made to rise by pooling neighbouring ranges."""
-    shares, labels = [], []
-    for i, own in enumerate(counts):
-        neighbours = index.nearest(own, k, without=i)
-        if neighbours:
-            shares.append(index.votes(neighbours))
-            labels.append(index.labels[i])
+    shares = [share for share in found if share is not None]
+    labels = [label for share, label in zip(found, index.labels) if share is not None]
     edges = np.linspace(0, 1, 21)[1:-1]
     place = np.searchsorted(edges, np.array(shares), side="right") if shares else np.empty(0, np.int64)
     middle = (np.arange(20) + 0.5) / 20
@@ -228,29 +307,43 @@ def with_scores(
     usable: Column | None = None,
     k: int = K,
     most_examples: int = MOST_EXAMPLES,
-    most_features: int = MOST_FEATURES,
 ) -> DataFrame:
     """``docs`` plus ``llm_score`` and ``llm_evidence``, the label and the cosine of the nearest examples."""
     usable = F.lit(True) if usable is None else usable
     examples = materialize(labelled(docs, labels, usable, most_examples), "examples")
-    features = select_features(examples, most_features)
-    rows = sorted((row.text, row.toxic) for row in _with_features_only(examples, features))
-    index = build(rows, features, k)
+    features = features_in(examples)
+    rows = examples.select("text", "toxic").coalesce(1).sortWithinPartitions("text", "toxic")
+    index = gather(rows.toLocalIterator(), features)
+    del features
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    calibrate(index, _shares(docs.sparkSession, shared, len(index.labels), k))
+    edges, rates = index.edges, index.rates
 
     def compute() -> Callable[[list[str]], list[list]]:
+        index = shared.value
+        index.edges, index.rates = edges, rates
         counts, remembered = Counts(index.known), {}
 
         def run(texts: list[str]) -> list[list]:
-            results = []
             if len(remembered) > 100_000:
                 remembered.clear()
+            keys, waiting = [], {}
+
+            def work() -> None:
+                for key, (score, neighbours) in zip(waiting, index.scores(list(waiting.values()), k)):
+                    remembered[key] = score, [(int(index.labels[e]), c) for e, c in neighbours]
+                waiting.clear()
+
             for text in texts:
                 own = counts(text)
-                key = tuple(sorted(own.items()))
+                key = xxh3_128_digest(np.array(sorted(own.items()), np.int64).tobytes())
+                keys.append(key)
                 if key not in remembered:
-                    score, neighbours = index.score(own, k)
-                    remembered[key] = score, [(int(index.labels[e]), c) for e, c in neighbours]
-                results.append(remembered[key])
+                    waiting[key] = own
+                if len(waiting) >= BATCH:
+                    work()
+            work()
+            results = [remembered[key] for key in keys]
             return [[score for score, _ in results], [evidence for _, evidence in results]]
 
         return run
@@ -259,19 +352,19 @@ def with_scores(
     return append_columns(docs, [("llm_score", "double"), ("llm_evidence", kind)], compute)
 
 
-def _with_features_only(examples: DataFrame, features: pd.DataFrame) -> list:
-    """The examples, a bounded number, with what the index needs of their texts: the words that have features."""
-    known = set(features["feature"])
+def _shares(spark: SparkSession, shared: Broadcast, n: int, k: int) -> list[float | None]:
+    """``shares_of`` all examples, in tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = [
-                " ".join(w for w in text.lower().split() if any(f in known for f in features_of(w)))
-                for text in batch["text"]
-            ]
-            yield batch.assign(text=kept)
-
-    return examples.mapInPandas(run, "text string, toxic int").collect()
+        numbers = [number for batch in batches for number in batch["id"].tolist()]
+        if numbers:
+            yield pd.DataFrame({"id": numbers, "share": np.array(shares_of(shared.value, numbers, k), np.float64)})
+
+    found = spark.range(0, n).mapInPandas(run, "id long, share double").collect()
+    shares: list[float | None] = [None] * n
+    for number, share in found:
+        shares[number] = None if share is None or share != share else share
+    return shares
 
 
 def held_out() -> Column:

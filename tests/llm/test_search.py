@@ -348,6 +348,37 @@ def test_neighbours_are_exact(spark, monkeypatch):
         assert [i for i, _ in found] == [i for _, i in best]
 
 
+def test_few_labelled_rows_have_neighbours(spark):
+    """About 70 labelled rows: too few for any test of features, so the cosine must take all words."""
+    rows, labels = labelled_documents(random.Random(4), 90)
+    df, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = toxicity.with_scores(df, known, ~toxicity.held_out()).withColumn("held", toxicity.held_out()).collect()
+    held = [r for r in found if r.held]
+    assert 60 < len(found) - len(held) < 80
+    assert all(len(r.llm_evidence) == toxicity.K for r in found)
+    toxic, clean = ([r.llm_score for r in held if labels[r.doc_id][2] == t] for t in (1, 0))
+    assert toxic and sum(toxic) / len(toxic) > sum(clean) / len(clean)
+    # Against brute force over the vectors of whole texts.
+    texts = {r[0]: collections.Counter() for r in rows}
+    for doc_id, text, *_ in rows:
+        for word in text.lower().split():
+            texts[doc_id].update(toxicity.features_of(word))
+    training = [r.doc_id for r in found if not r.held]
+    df_of = collections.Counter(f for d in training for f in texts[d])
+    idf = {f: np.log(1 + len(training) / n) for f, n in df_of.items()}
+
+    def vector(counts):
+        own = {f: (1 + np.log(n)) * idf[f] for f, n in counts.items() if f in idf}
+        length = np.sqrt(sum(w * w for w in own.values()))
+        return {f: w / length for f, w in own.items()}
+
+    vectors = {d: vector(c) for d, c in texts.items()}
+    for r in held:
+        own = vectors[r.doc_id]
+        best = sorted((sum(w * vectors[d].get(f, 0) for f, w in own.items()) for d in training), reverse=True)
+        assert [e.cosine for e in r.llm_evidence] == pytest.approx(best[: toxicity.K], abs=1e-8)
+
+
 @pytest.mark.parametrize("name", ["odd", "clashing"])
 def test_toxicity_of_odd_rows(spark, request, name):
     df = request.getfixturevalue(name)
