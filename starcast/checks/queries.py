@@ -25,7 +25,7 @@ from starcast.models.linear import (
     ridge,
     robust_scaled,
 )
-from starcast.models.search import LASSO_GRID, grid_search, search_penalties
+from starcast.models.search import ELASTIC_NET_GRID, LASSO_GRID, RIDGE_GRID, grid_search, search_penalties
 from starcast.models.stacking import fit_stacked
 from starcast.models.store import load_model, save_model
 from starcast.models.trees import fit_gbt_a, fit_gbt_b, gbt_a, gbt_b
@@ -786,7 +786,7 @@ _model("gbt_b_model", lambda rows, names: fit_gbt_b(rows, names, **SMALL_TREES))
 _model("stacked_model", lambda rows, names: fit_stacked(rows, names, gbt_b(**SMALL_TREES)))
 _model(
     "stacked_out_of_fold_model",
-    lambda rows, names: fit_stacked(rows, names, gbt_b(**SMALL_TREES), out_of_fold=True, folds=3),
+    lambda rows, names: fit_stacked(rows, names, gbt_b(**SMALL_TREES), out_of_fold=True),
 )
 
 
@@ -795,20 +795,33 @@ def _search_result(d: Inputs, results: dict[str, tuple[dict, float]]) -> DataFra
     return d.spark.createDataFrame(rows, "search string, best string, score double")
 
 
-@query
-def grid_search_lasso(d: Inputs) -> DataFrame:
+def _penalty_search(d: Inputs, kind: str, grid: dict) -> DataFrame:
     rows, names = d.model_rows
     vectors = materialize(assembler(names).transform(rows).select(*PAIR, "stars", "features"), "vectors")
-    estimator = elastic_net(vectors, "stars")
-    best, score, _ = search_penalties(vectors, estimator, "lasso", LASSO_GRID)
-    return _search_result(d, {"lasso": (best, score)})
+    best, score, _ = search_penalties(vectors, elastic_net(vectors, "stars"), kind, grid)
+    return _search_result(d, {kind: (best, score)})
+
+
+@query
+def grid_search_lasso(d: Inputs) -> DataFrame:
+    return _penalty_search(d, "lasso", LASSO_GRID)
+
+
+@query
+def grid_search_ridge(d: Inputs) -> DataFrame:
+    return _penalty_search(d, "ridge", RIDGE_GRID)
+
+
+@query
+def grid_search_elastic_net(d: Inputs) -> DataFrame:
+    return _penalty_search(d, "elastic_net", ELASTIC_NET_GRID)
 
 
 @query
 def grid_search_gbt(d: Inputs) -> DataFrame:
     rows, names = d.model_rows
     vectors = materialize(assembler(names).transform(rows).select(*PAIR, "stars", "features"), "vectors")
-    best, score, _ = grid_search(vectors, gbt_a(**SMALL_TREES), {"maxDepth": [2, 3]}, folds=2)
+    best, score, _ = grid_search(vectors, gbt_a(**SMALL_TREES), {"maxDepth": [2, 3]})
     return _search_result(d, {"gbt_a": (best, score)})
 
 
@@ -858,6 +871,6 @@ def evaluate_item_cf(d: Inputs) -> DataFrame:
 def train_job(d: Inputs) -> DataFrame:
     report = recommenders.train_job(
         d.ratings, d.users, d.businesses, d.pairs, shared_path(d.spark, "models"), views.RATING_ORDER,
-        SMALL_TREES, SMALL_TREES, {"maxDepth": [2, 3]}, {"minInstancesPerNode": [1, 10]}, folds=2,
+        SMALL_TREES, SMALL_TREES, {"maxDepth": [2, 3]}, {"minInstancesPerNode": [1, 10]},
     )
     return _search_result(d, report.searches)

@@ -1,10 +1,14 @@
+import types
+
 import data
 import numpy as np
 import pytest
 from conftest import rows_of
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import functions as F
 
+from starcast.checks import queries
 from starcast.models.linear import assembler, lasso, robust_scaling
 from starcast.models.search import grid_search
 from starcast.models import linear, search, stacking, store, trees
@@ -200,3 +204,15 @@ def test_one_scaler_fit_keeps_the_order_of_columns(spark):
     assert [list(r.scaled)[1] for r in scaled] == [0.0] * 4
     a = np.array([list(r.scaled)[0] for r in scaled])
     assert np.allclose(np.diff(sorted(a)), np.diff(sorted(a))[0]) and len(set(a)) == 4
+
+
+@pytest.mark.parametrize("name, points", [("ridge", 7), ("elastic_net", 12), ("lasso", 4)])
+def test_queries_search_full_penalty_grids(spark, monkeypatch, name, points):
+    rows = spark.range(40).selectExpr("id AS user_id", "id AS business_id", "double(id % 5 + 1) AS stars", "double(id % 7) AS x")
+    d = types.SimpleNamespace(spark=spark, model_rows=(rows, ["x"]))
+    searched = []
+    monkeypatch.setattr(search, "CrossValidator", lambda **options: searched.append(options) or CrossValidator(**options))
+    assert f"grid_search_{name}" in queries.QUERIES
+    found = getattr(queries, f"grid_search_{name}")(d).collect()
+    assert [r.search for r in found] == [name] and found[0].score < 0
+    assert [(len(o["estimatorParamMaps"]), o["numFolds"]) for o in searched] == [(points, 5)]
