@@ -87,6 +87,18 @@ def discard_intermediates(spark: SparkSession) -> int:
     return _delete(spark, _scopes[-1])
 
 
+@contextmanager
+def _own_shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside go as soon as each query ends, since its result is stored by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back.
 
@@ -101,12 +113,13 @@ def materialize_measured(df: DataFrame, label: str, **measures: Column) -> tuple
     spark = df.sparkSession
     path = shared_path(spark, label)
     observed: dict = {}
-    if measures:
-        observation = Observation()
-        df.observe(observation, *[measure.alias(name) for name, measure in measures.items()]).write.parquet(path)
-        observed = observation.get
-    else:
-        df.write.parquet(path)
+    with _own_shuffles_deleted(spark):
+        if measures:
+            observation = Observation()
+            df.observe(observation, *[measure.alias(name) for name, measure in measures.items()]).write.parquet(path)
+            observed = observation.get
+        else:
+            df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), observed
 
 
