@@ -60,4 +60,25 @@ SELECT doc_id, CAST(n_lines_removed AS BIGINT) AS n_lines_removed, CAST(length(t
 FROM kept
 """
 
-ORACLE = {"op3_line_dedup": LINE_DEDUP, "op6_url_filters": URL_FILTERS}
+SUBSTRING_DEDUP = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS content
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM cut)
+), firsts AS (
+  SELECT content, min(doc_id) AS low FROM windows GROUP BY content
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (content) WHERE low < doc_id
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM cut) a
+  ANTI JOIN gone USING (doc_id, i)
+  GROUP BY doc_id
+)
+SELECT c.doc_id, CAST(len(c.words) AS BIGINT) AS n_words, CAST(len(c.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM cut c LEFT JOIN kept k ON c.doc_id = k.doc_id
+"""
+
+ORACLE = {"op3_line_dedup": LINE_DEDUP, "op6_url_filters": URL_FILTERS, "op13_substring_dedup": SUBSTRING_DEDUP}

@@ -16,6 +16,7 @@ from starcast.llm import (
     packing,
     repeated_bytes,
     secrets,
+    substring_dedup,
     token_counts,
     toxicity,
     url_filters,
@@ -117,6 +118,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_documents(spark, sf_dir))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -130,5 +136,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_decontamination,
         op10_secret_scans,
+        op13_substring_dedup,
     )
 }
