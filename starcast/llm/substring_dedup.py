@@ -46,6 +46,8 @@ from starcast.session import materialize, materialize_measured
 WINDOW, BLOCK = 50, 25
 #: Bytes of text for each bucket of the first match, and windows for each bucket of the second.
 TEXT_PER_BUCKET, WINDOWS_PER_BUCKET = 40 << 20, 1 << 20
+#: Fewer buckets would leave executors idle, and make the rows of hits grow with the number of buckets.
+LEAST_BUCKETS = 32
 #: Bytes of probes that one task takes of a bucket.
 PROBES_PER_CELL = 64 << 20
 INDEX = "bucket int, keys binary, lows binary, load long"
@@ -289,14 +291,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named = own.where("doc_id IS NOT NULL")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = 1 + size // TEXT_PER_BUCKET
+    n_buckets = max(LEAST_BUCKETS, 1 + size // TEXT_PER_BUCKET)
     hits = _hits(named, _blocks(block), n_buckets, np.uint32, True, "blocks")
     windows, measured = materialize_measured(
         _with_hits(named, hits, "inner").mapInArrow(_candidates(window, block, n_buckets), HITS).where("length(keys) > 0"),
         "windows",
         size=F.sum(F.length("keys")),
     )
-    n_buckets = 1 + (measured["size"] or 0) // (8 * WINDOWS_PER_BUCKET)
+    n_buckets = max(LEAST_BUCKETS, 1 + (measured["size"] or 0) // (8 * WINDOWS_PER_BUCKET))
     repeats = _hits(windows, _windows, n_buckets, np.uint64, False, "windows")
     return _with_repeats(own, repeats).mapInArrow(_cut(window), RESULT)
 
