@@ -81,4 +81,91 @@ SELECT c.doc_id, CAST(len(c.words) AS BIGINT) AS n_words, CAST(len(c.words) - co
 FROM cut c LEFT JOIN kept k ON c.doc_id = k.doc_id
 """
 
-ORACLE = {"op3_line_dedup": LINE_DEDUP, "op6_url_filters": URL_FILTERS, "op13_substring_dedup": SUBSTRING_DEDUP}
+CONVERSATION_TRIE = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, n, conv_id - conv_id % 20 AS base,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, codes), lambda crc, code: list_reduce(
+           list_prepend(xor(crc, code), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+           lambda x, bit: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 4 AS h
+  FROM (SELECT conv_id, max(i) + 1 AS n,
+               list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT) AS codes
+        FROM turns GROUP BY conv_id)
+), rebuilt AS (
+  SELECT c.conv_id, t.i + 1 AS depth, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + t.i - c.h + 1, t.role, t.text
+  FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i >= c.h LEFT JOIN convs b ON b.conv_id = c.base
+), prefixes AS (
+  SELECT conv_id, depth, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY depth) AS up, key, words
+  FROM (SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+               md5(string_agg(md5(len(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key
+        FROM rebuilt)
+  UNION ALL
+  SELECT conv_id, 0, NULL, '', 0 FROM convs
+), nodes AS (
+  SELECT key, depth, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved
+  FROM prefixes GROUP BY key, depth
+), children AS (
+  SELECT up AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up
+), sums AS (
+  SELECT p.key, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum(m.saved) AS saved
+  FROM nodes m LEFT JOIN children c ON m.key = c.key JOIN prefixes p ON p.conv_id = m.conv_id AND p.depth <= m.depth
+  GROUP BY p.key
+), ends AS (
+  SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest
+  FROM (SELECT conv_id, arg_max(key, depth) AS key FROM prefixes GROUP BY conv_id) GROUP BY key
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(v.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.digest, sha256('')) AS ends_sha256
+FROM nodes v LEFT JOIN nodes u ON v.up = u.key LEFT JOIN children c ON v.key = c.key
+     JOIN sums s ON v.key = s.key LEFT JOIN ends e ON v.key = e.key
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), totals AS (
+  SELECT lang, sum(len(words)) AS n FROM cut GROUP BY lang
+), grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM cut, (VALUES (1), (2), (3), (4)) s(k))
+  GROUP BY lang, k, phrase HAVING count(*) >= 30
+), candidates AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS words FROM grams WHERE k > 1
+), inside AS (
+  SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, words, a, m, unnest(range(1, k - m + 2)) AS i FROM candidates, (VALUES (2), (3)) s(m) WHERE m < k)
+  GROUP BY ALL
+), cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(words[1:j], ' ') AS head, array_to_string(words[j + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) LEFT JOIN inside USING (lang, phrase)
+  WHERE most IS NULL OR 100 * most < 80 * a
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, min({'score': (2000000::HUGEINT * c.a) // (h.a + t.a), 'j': c.j, 'l': h.a, 'r': t.a}) AS low
+  FROM cuts c JOIN grams h ON c.lang = h.lang AND c.head = h.phrase JOIN grams t ON c.lang = t.lang AND c.tail = t.phrase
+  GROUP BY c.lang, c.phrase, c.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY low.score DESC, a DESC, phrase) AS rank FROM scored
+)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(low.l AS BIGINT) AS l, CAST(low.r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(low.score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE = {
+    "op3_line_dedup": LINE_DEDUP,
+    "op6_url_filters": URL_FILTERS,
+    "op11_conversation_trie": CONVERSATION_TRIE,
+    "op12_collocations": COLLOCATIONS,
+    "op13_substring_dedup": SUBSTRING_DEDUP,
+}

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starcast.llm import (
+    collocations,
+    conversation_trie,
     decontamination,
     fingerprints,
     line_dedup,
@@ -118,6 +120,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations share up to three first turns with the one whose id is the last multiple of 20."""
+    conv_id = F.col("conv_id")
+    shared = F.crc32(conv_id.cast("string")) % 4
+    return conversation_trie.conversation_trie(
+        read_table(spark, sf_dir, "conversations"), shared, conv_id - conv_id % 20, most=3
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.without_repeats(_documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -136,6 +151,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_decontamination,
         op10_secret_scans,
+        op11_conversation_trie,
+        op12_collocations,
         op13_substring_dedup,
     )
 }
