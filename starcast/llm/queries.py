@@ -124,9 +124,9 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations share up to three first turns with the one whose id is the last multiple of 20."""
     conv_id = F.col("conv_id")
     shared = F.crc32(conv_id.cast("string")) % 4
-    return conversation_trie.conversation_trie(
-        read_table(spark, sf_dir, "conversations"), shared, conv_id - conv_id % 20, most=3
-    )
+    conversations = read_table(spark, sf_dir, "conversations")
+    found = conversation_trie.conversation_trie(conversations, shared, conv_id - conv_id % 20, most=3)
+    return found.drop("enter", "leave")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
