@@ -539,14 +539,13 @@ ORACLE = {
     ),
     "fill_mean": with_views(
         "train_features",
-        """SELECT user_id, business_id, round(coalesce(u_yelping_since, m.since), 6) AS u_yelping_since,
-                  round(coalesce(u_average_stars, m.user_stars), 6) AS u_average_stars,
-                  round(coalesce(b_stars, m.business_stars), 6) AS b_stars,
-                  round(coalesce(friend_mean, m.user_stars), 6) AS friend_mean,
+        """SELECT user_id, business_id,
+                  round(coalesce(u_yelping_since, (SELECT avg(u_yelping_since) FROM train_features)), 6) AS u_yelping_since,
+                  round(coalesce(u_average_stars, (SELECT avg(u_average_stars) FROM train_features)), 6) AS u_average_stars,
+                  round(coalesce(b_stars, (SELECT avg(b_stars) FROM train_features)), 6) AS b_stars,
+                  round(coalesce(friend_mean, (SELECT avg(u_average_stars) FROM train_features)), 6) AS friend_mean,
                   coalesce(b_price, 0) AS b_price, coalesce(b_hours, 0) AS b_hours
-           FROM train_features, (
-             SELECT avg(u_yelping_since) AS since, avg(u_average_stars) AS user_stars, avg(b_stars) AS business_stars
-             FROM train_features) m""",
+           FROM train_features""",
     ),
     "assemble_pair_features": with_views(
         "train_features", "SELECT * REPLACE (round(friend_mean, 6) AS friend_mean) FROM train_features"
@@ -621,3 +620,58 @@ ORACLE = {
            FROM e""",
     ),
 }
+
+# The grids of the linear searches as rows: kind, alpha, share of the absolute penalty.
+_POINTS = ", ".join(
+    [f"('ridge', {a}::DOUBLE, 0::DOUBLE)" for a in ("0.0001", "0.001", "0.01", "0.1", "1", "10", "100")]
+    + [f"('lasso', {a}::DOUBLE, 1::DOUBLE)" for a in ("0.0001", "0.0003", "0.0005", "0.0007")]
+    + [
+        f"('elastic_net', {a}::DOUBLE, {l1}::DOUBLE)"
+        for a in ("0.0001", "0.0003", "0.0005", "0.0007") for l1 in ("0.3", "0.4", "0.5")
+    ]
+)
+# Each fold's fit by the closed form for one column, and its error on the rows left out.
+ORACLE["grid_search_linear_single"] = with_views(
+    "single",
+    f""", points(kind, alpha, l1) AS (VALUES {_POINTS}), folds AS (SELECT DISTINCT user_id % 5 AS fold FROM single),
+         fits AS (
+           SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS sxy, var_pop(x) AS sxx
+           FROM folds f JOIN single s ON s.user_id % 5 <> f.fold GROUP BY f.fold),
+         lines AS (
+           SELECT p.*, m.fold, m.mx, m.my,
+                  CASE WHEN kind = 'ridge' THEN m.sxy * m.n / (m.sxx * m.n + alpha)
+                       ELSE sign(m.sxy) * greatest(abs(m.sxy) - alpha * l1, 0) / (m.sxx + alpha * (1 - l1)) END AS slope
+           FROM points p, fits m),
+         errors AS (
+           SELECT kind, alpha, l1, l.fold, sqrt(avg((s.y - l.my - slope * (s.x - l.mx)) ** 2)) AS error
+           FROM lines l JOIN single s ON s.user_id % 5 = l.fold GROUP BY kind, alpha, l1, l.fold)
+         SELECT kind, alpha, l1 AS l1_ratio, round(-avg(error), 8) AS score FROM errors GROUP BY kind, alpha, l1""",
+)
+ORACLE["saved_recommender_single"] = _VALUE_MEANS_AND_COLD
+# Leaves of one row a value: the first tree is the mean of each value, and the later ones add nothing.
+ORACLE["search_boosters_single"] = with_views(
+    "single",
+    """, means AS (
+           SELECT f.fold, x, avg(y) AS mean FROM (SELECT DISTINCT user_id % 5 AS fold FROM single) f
+           JOIN single s ON s.user_id % 5 <> f.fold GROUP BY f.fold, x),
+         errors AS (
+           SELECT m.fold, sqrt(avg((s.y - m.mean) ** 2)) AS error
+           FROM single s JOIN means m ON s.user_id % 5 = m.fold AND s.x = m.x GROUP BY m.fold)
+         SELECT trees, step, round(-avg(error), 5) AS score
+         FROM errors, (VALUES (1::BIGINT), (2), (3)) a(trees), (VALUES (0.05::DOUBLE), (0.1)) b(step) GROUP BY trees, step""",
+)
+ORACLE["quarantined_ratings"] = with_views(
+    "ratings",
+    """SELECT reason, count(*) AS rows FROM (
+         SELECT CASE WHEN q % 11 = 0 THEN 'malformed' WHEN q % 13 = 0 THEN 'no user_id' WHEN q % 17 = 0 THEN 'no business_id'
+                     WHEN q % 19 = 0 THEN 'no stars' ELSE 'good' END AS reason FROM ratings) r GROUP BY reason""",
+)
+# One tree whose leaves are the values of the column: the free intercept, and residuals over rows plus penalty in each leaf.
+ORACLE["leaf_penalty_single"] = with_views(
+    "single",
+    """, leaves AS (SELECT x, count(*) AS n, avg(y) AS mean FROM single GROUP BY x),
+         penalties(l2) AS (VALUES (0.1::DOUBLE), (1), (3), (10)),
+         shifts AS (SELECT l2, sum(n / (n + l2) * mean) / sum(n / (n + l2)) AS shift FROM leaves, penalties GROUP BY l2)
+         SELECT l2, x AS average_stars, round(shift + n * (mean - shift) / (n + l2), 5) AS prediction
+         FROM leaves, shifts""",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,7 @@ from starcast.checks import views
 from starcast.functions import attributes as attrs
 from starcast.functions import text
 from starcast.functions.numeric import clip, ensemble_mean, prediction_error
+from starcast.models.leaves import L2_GRID, fit_leaf_penalties
 from starcast.models.linear import (
     assembler,
     elastic_net,
@@ -25,16 +26,24 @@ from starcast.models.linear import (
     ridge,
     robust_scaled,
 )
-from starcast.models.search import ELASTIC_NET_GRID, LASSO_GRID, RIDGE_GRID, grid_search, search_penalties
+from starcast.models.search import (
+    ELASTIC_NET_GRID,
+    LASSO_GRID,
+    RIDGE_GRID,
+    grid_search,
+    search_boosters,
+    search_penalties,
+)
 from starcast.models.stacking import fit_stacked
+from starcast.models.statistics import fold_moments, search_linear
 from starcast.models.store import load_model, save_model
-from starcast.models.trees import fit_gbt_a, fit_gbt_b, gbt_a, gbt_b
+from starcast.models.trees import fit_gbt_a, fit_gbt_b, fit_on_vectors, gbt_a, gbt_b
 from starcast.operators import errors, features, ids, ratings as r
 from starcast.operators import similarity as sim
 from starcast.operators.coldstart import append_predictions, cold_start_prediction
 from starcast.operators.friends import friend_edges, mutual_friend_mean, mutual_friend_ratings
 from starcast.operators.skew import lookup_join
-from starcast.plans import recommenders
+from starcast.plans import bundle, recommenders
 from starcast.plans.evaluation import evaluate
 from starcast.plans.item_cf import item_cf
 from starcast.session import materialize, materialize_measured, row_count, shared_path
@@ -245,6 +254,28 @@ def read_predictions(d: Inputs) -> DataFrame:
     return files.read_predictions(d.spark, path).select(*PAIR, rounded("prediction", "prediction"))
 
 
+@query
+def quarantined_ratings(d: Inputs) -> DataFrame:
+    """Ratings as CSV in which some lines are broken or lack a field: how many are good, and how many are not, by reason."""
+    path, q = shared_path(d.spark, "ratings-lines"), F.col("q").cast("long")
+    field = {name: F.col(name).cast("string") for name in (*PAIR, "stars")}
+    line = (
+        F.when(q % 11 == 0, F.concat_ws(",", field["user_id"], field["business_id"], F.lit("many stars")))
+        .when(q % 13 == 0, F.concat_ws(",", F.lit(""), field["business_id"], field["stars"]))
+        .when(q % 17 == 0, F.concat_ws(",", field["user_id"], F.lit(""), field["stars"]))
+        .when(q % 19 == 0, F.concat_ws(",", field["user_id"], field["business_id"], F.lit("")))
+        .otherwise(F.concat_ws(",", field["user_id"], field["business_id"], field["stars"]))
+    )
+    # The line is written as it is, below the header that each file begins with.
+    d.ratings.select(line.alias("user_id,business_id,stars")).write.option("header", True).option("quote", "").option(
+        "sep", "\u0001"
+    ).csv(path)
+    found = files.read_ratings_or_rejects(d.spark, path)
+    reasons = found.rejected.groupBy("reason").agg(row_count().alias("rows"))
+    good = found.good.agg(row_count().alias("rows")).select(F.lit("good").alias("reason"), "rows")
+    return good.unionByName(reasons)
+
+
 @query
 def save_and_load_model(d: Inputs) -> DataFrame:
     rows, names = d.model_rows
@@ -757,6 +788,26 @@ def hybrid_recommender_single(d: Inputs) -> DataFrame:
     return scored.select(*PAIR, F.round("prediction", 5).alias("prediction"))
 
 
+def _saved(d: Inputs, params: dict, columns: list[str] | None) -> DataFrame:
+    """Predictions of a recommender that was fitted, saved and loaded again."""
+    path = shared_path(d.spark, "recommender")
+    trained = bundle.fit_recommender(
+        d.ratings, d.users, d.businesses, d.pairs, views.RATING_ORDER, params, params, columns
+    )
+    trained.recommender.save(path)
+    return bundle.Recommender.load(path).score(d.ratings, d.users, d.businesses, d.pairs, views.RATING_ORDER)
+
+
+@query
+def saved_recommender_single(d: Inputs) -> DataFrame:
+    return _saved(d, ONE_COLUMN_TREES, ONE_COLUMN).select(*PAIR, F.round("prediction", 5).alias("prediction"))
+
+
+@query
+def saved_recommender(d: Inputs) -> DataFrame:
+    return _saved(d, SMALL_TREES, None)
+
+
 @query
 def stacked_recommender_single(d: Inputs) -> DataFrame:
     scored = recommenders.stacked_recommender(
@@ -817,6 +868,60 @@ def grid_search_elastic_net(d: Inputs) -> DataFrame:
     return _penalty_search(d, "elastic_net", ELASTIC_NET_GRID)
 
 
+LINEAR_GRIDS = {"ridge": RIDGE_GRID, "lasso": LASSO_GRID, "elastic_net": ELASTIC_NET_GRID}
+
+
+def _linear_scores(d: Inputs, moments: list) -> DataFrame:
+    rows = [
+        (kind, float(point["alpha"]), point.get("l1_ratio", 1.0 if kind == "lasso" else 0.0), score)
+        for kind, point, score in search_linear(moments, LINEAR_GRIDS)
+    ]
+    scores = d.spark.createDataFrame(rows, "kind string, alpha double, l1_ratio double, score double")
+    return scores.withColumn("score", F.round("score", 8))
+
+
+@query
+def grid_search_linear(d: Inputs) -> DataFrame:
+    """All 23 points of the linear grids in five folds, from one pass over the rows."""
+    rows, names = d.model_rows
+    return _linear_scores(d, fold_moments(rows, names))
+
+
+def _single_rows(d: Inputs) -> DataFrame:
+    rated = lookup_join(d.ratings.select(*PAIR, "stars"), d.users.select("user_id", "average_stars"), ["user_id"])
+    return rated.withColumn("fold", F.col("user_id") % 5)
+
+
+@query
+def grid_search_linear_single(d: Inputs) -> DataFrame:
+    rows = materialize(_single_rows(d), "single")
+    return _linear_scores(d, fold_moments(rows, ["average_stars"], fold="fold"))
+
+
+@query
+def search_boosters_single(d: Inputs) -> DataFrame:
+    """Boosters of one, two and three trees at two step sizes, from one fit for each step size and fold."""
+    vectors = materialize(assembler(["average_stars"]).transform(_single_rows(d)), "single")
+    grid = {"maxIter": [1, 2, 3], "stepSize": [0.05, 0.1]}
+    _, _, scores = search_boosters(vectors, gbt_a(**ONE_COLUMN_TREES), grid, fold="fold")
+    rows = [(point["maxIter"], point["stepSize"], score) for point, score in scores]
+    found = d.spark.createDataFrame(rows, "trees long, step double, score double")
+    return found.withColumn("score", F.round("score", 5))
+
+
+@query
+def leaf_penalty_single(d: Inputs) -> DataFrame:
+    """The leaf values of one tree on one column under each penalty of the grid."""
+    rows = materialize(_single_rows(d).select("stars", "average_stars"), "single")
+    booster = fit_gbt_b(rows, ["average_stars"], **(ONE_COLUMN_TREES | {"maxIter": 1}))
+    values = materialize(rows.select("average_stars").distinct(), "values")
+    parts = [
+        model.transform(values).select(F.lit(float(l2)).alias("l2"), "average_stars", F.round("prediction", 5).alias("prediction"))
+        for l2, model in zip(L2_GRID, fit_leaf_penalties(booster, rows, L2_GRID))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def grid_search_gbt(d: Inputs) -> DataFrame:
     rows, names = d.model_rows
@@ -869,8 +974,17 @@ def evaluate_item_cf(d: Inputs) -> DataFrame:
 
 @query
 def train_job(d: Inputs) -> DataFrame:
-    report = recommenders.train_job(
+    report = bundle.train_job(
         d.ratings, d.users, d.businesses, d.pairs, shared_path(d.spark, "models"), views.RATING_ORDER,
         SMALL_TREES, SMALL_TREES, {"maxDepth": [2, 3]}, {"minInstancesPerNode": [1, 10]},
     )
     return _search_result(d, report.searches)
+
+
+@query
+def training_log(d: Inputs) -> DataFrame:
+    """The RMSE of a booster on its training rows after each tree."""
+    rows, names = d.model_rows
+    vectors = materialize(assembler(names).transform(rows).select(*PAIR, "stars", "features"), "vectors")
+    errors_ = recommenders.error_per_tree(fit_on_vectors(vectors, names, gbt_a(maxIter=10, maxDepth=3)), vectors)
+    return d.spark.createDataFrame(list(enumerate(errors_, 1)), "trees long, rmse double")

@@ -113,8 +113,11 @@ def user_features(users: DataFrame, strict_years: bool = True) -> DataFrame:
     )
 
 
-def business_features(businesses: DataFrame, labels: Sequence[str], on_unknown: str = "null") -> DataFrame:
-    """``business_id`` and numeric fields, postal code point, days open, category flags and attributes, as ``b_*``."""
+def business_features(
+    businesses: DataFrame, labels: Sequence[str], on_unknown: str = "null", carry: Sequence[str] = ()
+) -> DataFrame:
+    """``business_id`` and numeric fields, postal code point, days open, category flags and attributes, as ``b_*``, and
+    the fields of ``carry`` as they are."""
     derived = {
         "postal_code": postal_code_point(F.col("postal_code")),
         "hours": days_open(F.col("hours")),
@@ -128,7 +131,7 @@ def business_features(businesses: DataFrame, labels: Sequence[str], on_unknown:
     columns |= category_flags(F.col("categories"), labels)
     columns |= attribute_columns(F.col("attributes"), on_unknown)
     return businesses.select(
-        "business_id", *[column.cast("double").alias(f"b_{name}") for name, column in columns.items()]
+        "business_id", *carry, *[column.cast("double").alias(f"b_{name}") for name, column in columns.items()]
     )
 
 

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from starcast.functions.numeric import clip, ensemble_mean
 from starcast.models.linear import assembler, fit_linear, mean_imputer
-from starcast.models.search import GBT_A_GRID, GBT_B_GRID, grid_search
 from starcast.models.stacking import fit_stacked
-from starcast.models.store import save_model
 from starcast.models.trees import fit_on_vectors, gbt_a, gbt_b
 from starcast.operators.coldstart import append_predictions, cold_start_prediction
 from starcast.operators.features import (
@@ -60,6 +58,7 @@ class PairFeatures:
     known: DataFrame
     cold: DataFrame
     names: list[str]
+    labels: list[str]
     users: DataFrame
     businesses: DataFrame
     mean_stars: float
@@ -85,13 +84,14 @@ class Prepared:
     popular: HeavyKeys
     on_unknown: str
 
-    def features(self, rows: DataFrame, heavy: Heavy) -> DataFrame:
-        """``rows`` of users and businesses, those with both entity rows, with the features of the tree models."""
+    def features(self, rows: DataFrame, heavy: Heavy, carry: Sequence[str] = ()) -> DataFrame:
+        """``rows`` of users and businesses, those with both entity rows, with the features of the tree models, and the
+        fields ``carry`` of the businesses."""
         friends = mutual_friend_mean(rows, self.users, self.latest, heavy.users, heavy.businesses, self.popular)
         return assemble_pair_features(
             rows,
             user_features(self.users),
-            business_features(self.businesses, self.labels, self.on_unknown),
+            business_features(self.businesses, self.labels, self.on_unknown, carry),
             friends,
             False,
             heavy.users,
@@ -103,8 +103,8 @@ class Prepared:
         rows = self.ratings.select("user_id", "business_id", F.col("stars").cast("double").alias("stars"))
         return self.features(rows, self.heavy_ratings)
 
-    def known_features(self) -> DataFrame:
-        return self.features(self.pairs, self.heavy_pairs)
+    def known_features(self, carry: Sequence[str] = ()) -> DataFrame:
+        return self.features(self.pairs, self.heavy_pairs, carry)
 
 
 def prepare(
@@ -115,7 +115,9 @@ def prepare(
     order_cols: Sequence[str] = (),
     categories: int = TOP_CATEGORIES,
     on_unknown: str = "error",
+    labels: Sequence[str] | None = None,
 ) -> Prepared:
+    """``labels``: the category labels to flag; by default the most frequent ones are found."""
     ratings, of_ratings = materialize_measured(
         ratings.select("user_id", "business_id", "stars", *order_cols), "train", total=row_count()
     )
@@ -128,7 +130,7 @@ def prepare(
         pairs=pairs,
         users=users,
         businesses=businesses,
-        labels=category_labels(businesses, categories),
+        labels=category_labels(businesses, categories) if labels is None else list(labels),
         latest=materialize(latest_rating(ratings, order_cols), "latest"),
         heavy_ratings=count_heavy(ratings, of_ratings["total"]),
         heavy_pairs=count_heavy(pairs, of_pairs["total"]),
@@ -162,6 +164,7 @@ def pair_features(
         known=known,
         cold=materialize(marked.where("is_cold").drop("is_cold"), "cold-pairs"),
         names=chosen_features(train, columns),
+        labels=made.labels,
         users=made.users,
         businesses=made.businesses,
         mean_stars=global_mean(made.ratings).first()[0],
@@ -326,48 +329,3 @@ def stacked_recommender(
     scored = stacked.transform(refilled)
     mixed = clip(ensemble_mean(*[F.col(f"prediction_{name}") for name in ("a", "b", "stacked")]))
     return features.with_cold(scored.select("user_id", "business_id", mixed.alias("prediction")))
-
-
-@dataclass(frozen=True)
-class TrainReport:
-    """Where the fitted boosters are, the result of each parameter search, and each booster's RMSE on its training rows
-    after every tree."""
-
-    path_a: str
-    path_b: str
-    searches: dict[str, tuple[dict, float]]
-    errors: dict[str, list[float]]
-
-
-def train_job(
-    ratings: DataFrame,
-    users: DataFrame,
-    businesses: DataFrame,
-    pairs: DataFrame,
-    model_dir: str,
-    order_cols: Sequence[str] = (),
-    params_a: Mapping | None = None,
-    params_b: Mapping | None = None,
-    grid_a: Mapping[str, Sequence] | None = GBT_A_GRID,
-    grid_b: Mapping[str, Sequence] | None = GBT_B_GRID,
-    folds: int = 5,
-    parallelism: int = 2,
-    columns: Sequence[str] | None = None,
-    on_unknown: str = "error",
-) -> TrainReport:
-    """Fit and save both boosters, then search their parameters. A grid of None skips its search."""
-    inputs = tree_input(
-        pair_features(ratings, users, businesses, pairs, order_cols, columns=columns, on_unknown=on_unknown)
-    )
-    vectors = training_vectors(inputs)
-    a, b = fit_boosters(inputs, vectors, params_a, params_b)
-    paths = [f"{model_dir.rstrip('/')}/gbt_{name}" for name in ("a", "b")]
-    for model, path in zip((a, b), paths):
-        save_model(model, path)
-    searches = {}
-    for name, trees, params, grid in [("gbt_a", gbt_a, params_a, grid_a), ("gbt_b", gbt_b, params_b, grid_b)]:
-        if grid is None:
-            continue
-        best, score, _ = grid_search(vectors, trees(**(params or {})), grid, folds=folds, parallelism=parallelism)
-        searches[name] = (best, score)
-    return TrainReport(*paths, searches, {"gbt_a": error_per_tree(a, vectors), "gbt_b": error_per_tree(b, vectors)})

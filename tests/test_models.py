@@ -12,7 +12,7 @@ from starcast.checks import queries
 from starcast.models.linear import assembler, lasso, robust_scaling
 from starcast.models.search import grid_search
 from starcast.models import linear, search, stacking, store, trees
-from starcast.plans import recommenders
+from starcast.plans import bundle, recommenders
 from starcast.session import materialize, shared_path
 
 NAMES = ["x1", "x2", "x3"]
@@ -169,7 +169,7 @@ def test_train_job(spark):
         [("u1", "b3", 4.0, 9), ("u2", "b2", 3.0, 10), ("u3", "b2", 1.0, 11)],
         "user_id string, business_id string, stars double, n int",
     )
-    report = recommenders.train_job(
+    report = bundle.train_job(
         ratings.unionByName(more), users, businesses, pairs, shared_path(spark, "models"), ["n"], SMALL,
         {**SMALL, "minInstancesPerNode": 1}, {"maxDepth": [1, 2]}, None, folds=2,
     )

@@ -1,10 +1,11 @@
 import data
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from starcast.schemas import BUSINESS
 from starcast.session import discard_intermediates, intermediates, materialize, materialize_measured, row_count, shared_dir
-from starcast.sources import files
+from starcast.sources import files, folders
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -118,3 +119,52 @@ def test_only_a_local_master_gets_a_folder_of_its_own(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_rejected_lines(spark, tmp_path):
+    path = tmp_path / "ratings.csv"
+    lines = ["u1,b1,4", "u2,b2,many", "u3,b3", ",b4,1", "u5,b5,", "u6,b6,2,extra", "u7,b7,5.0"]
+    path.write_text("\n".join(["user_id,business_id,stars", *lines]) + "\n")
+    found = files.read_ratings_or_rejects(spark, str(path))
+    assert rows_of(found.good) == [("u1", "b1", 4.0), ("u7", "b7", 5.0)]
+    reasons = {tuple(r) for r in found.rejected.select("reason", files.LINE).collect()}
+    assert reasons == {("malformed", line) for line in (lines[1], lines[2], lines[5])} | {("no user_id", None), ("no stars", None)}
+    assert (found.n_good, found.n_rejected) == (2, 5) and found.n_good + found.n_rejected == len(lines)
+
+
+def test_rejected_json_lines(spark, tmp_path):
+    path = tmp_path / "user.json"
+    path.write_text('{"user_id": "u1", "average_stars": 3.5}\n{"user_id": \n{"average_stars": 1.0}\n')
+    found = files.read_users_or_rejects(spark, str(path))
+    assert [r["user_id"] for r in found.good.collect()] == ["u1"] and files.LINE not in found.good.columns
+    assert sorted(r["reason"] for r in found.rejected.collect()) == ["malformed", "no user_id"]
+    businesses = tmp_path / "business.json"
+    businesses.write_text('{"business_id": "b1"}\n')
+    assert files.read_businesses_or_rejects(spark, str(businesses)).n_rejected == 0
+
+
+def test_a_failed_write_leaves_the_old_predictions(spark, tmp_path):
+    schema = "user_id string, business_id string, prediction double"
+    old, path = spark.createDataFrame([("u1", "b1", 3.25)], schema), str(tmp_path / "out" / "predictions")
+    files.write_predictions(old, path)
+    broken = spark.range(50).selectExpr(
+        "string(id) AS user_id", "'b' AS business_id", "IF(id = 49, raise_error('stop'), 1.0) AS prediction"
+    )
+    with pytest.raises(Exception, match="stop"):
+        files.write_predictions(broken, path)
+    assert rows_of(files.read_predictions(spark, path)) == rows_of(old)
+    new = spark.createDataFrame([("u2", "b2", 1.0)], schema)
+    files.write_predictions(new, path)
+    # A result may be made from the one that it replaces.
+    files.write_predictions(files.read_predictions(spark, path).withColumn("prediction", F.lit(2.0)), path)
+    assert rows_of(files.read_predictions(spark, path)) == [("u2", "b2", 2.0)]
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["predictions"]
+
+
+def test_a_failed_swap_puts_the_old_predictions_back(spark, tmp_path):
+    path = str(tmp_path / "predictions")
+    old = spark.createDataFrame([("u1", "b1", 3.25)], "user_id string, business_id string, prediction double")
+    files.write_predictions(old, path)
+    with pytest.raises(OSError, match="cannot take the place"):
+        folders.replace(spark, str(tmp_path / "not there"), path, str(tmp_path / "before"))
+    assert rows_of(files.read_predictions(spark, path)) == rows_of(old)
