@@ -37,7 +37,7 @@ from starcast.session import materialize, materialize_measured
 MOST, LEAST, PERCENT, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
 #: Bytes of text that are counted together, bytes of text for each bucket of pairs, and suffixes for each bucket or cell.
-SLICE, TEXT_PER_BUCKET, SUFFIXES_PER_BUCKET = 12 << 20, 24 << 20, 2 << 20
+SLICE, TEXT_PER_BUCKET, SUFFIXES_PER_BUCKET = 4 << 20, 12 << 20, 1 << 20
 #: Bits of the map of what is left: two megabytes at any size of the corpus.
 MAP_BITS = 24
 SALTS = 32
