@@ -43,7 +43,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents with an estimate of a token per four characters, the revision to exact
-    counts (committed twice, as after a failure), and the deletion of later copies."""
+    counts (committed twice, as after a failure), and the deletion of later copies. The first is folded into a snapshot."""
     docs = _documents(spark, sf_dir)
     files = {"byte_bpe_50k": RANKS, "words": ""}
     keyed = docs.withColumn("copy_of", F.xxhash64("text"))
@@ -53,6 +53,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     estimate = F.ceil(F.col("n_chars") / 4)
     store = shared_path(spark, "token_counts")
     token_counts.commit(token_counts.changes(counts, tokens=estimate), store, "insert")
+    token_counts.fold(spark, store)
     for _ in range(2):
         token_counts.commit(token_counts.revisions(counts, estimate, "n_tokens"), store, "revise")
     token_counts.commit(token_counts.changes(copies, -1), store, "delete")

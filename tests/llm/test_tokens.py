@@ -71,6 +71,44 @@ def test_empty_batch(spark, none):
     assert token_counts.totals(spark, store).count() == 0
 
 
+def changes_of(spark, n_tokens, source="a"):
+    rows = [(source, "en", "words", 1, n_tokens, 10)]
+    return spark.createDataFrame(rows, token_counts.SCHEMA)
+
+
+def test_a_retry_that_fails_half_way_leaves_the_batch(spark):
+    store = shared_path(spark, "store")
+    broken = spark.range(100).selectExpr(
+        "'a' AS source", "'en' AS lang", "'words' AS tokenizer_version", "1L AS n_docs",
+        "IF(id = 99, raise_error('stop'), 1L) AS n_tokens", "1L AS n_chars",
+    )
+    with pytest.raises(Exception, match="stop"):
+        token_counts.commit(broken, store, "1")
+    assert token_counts.totals(spark, store).count() == 0
+    assert token_counts.commit(changes_of(spark, 5), store, "1")
+    # A batch that is there stays as it is, even if a retry would fail or hold something else.
+    assert not token_counts.commit(broken, store, "1")
+    assert not token_counts.commit(changes_of(spark, 50), store, "1")
+    assert [r.n_tokens for r in token_counts.totals(spark, store).collect()] == [5]
+
+
+def test_snapshots_hold_each_batch_once(spark):
+    store = shared_path(spark, "store")
+    assert token_counts.fold(spark, store) == 0
+    for name in ("day=1/part", "../day", "day 2", "é" * 300):
+        assert token_counts.commit(changes_of(spark, 3), store, name)
+    before = token_counts.totals(spark, store)
+    assert token_counts.fold(spark, store) == 1 == token_counts.fold(spark, store)
+    assert [r.n_tokens for r in before.collect()] == [12]
+    assert not token_counts.commit(changes_of(spark, 3), store, "day 2")
+    token_counts.commit(changes_of(spark, -3), store, "gone")
+    token_counts.commit(changes_of(spark, 1, None), store, "new cell")
+    for number in (2, 2):
+        found = {r.source: (r.n_docs, r.n_tokens) for r in token_counts.totals(spark, store).collect()}
+        assert found == {"a": (5, 9), None: (1, 1)}
+        assert token_counts.fold(spark, store) == number
+
+
 def check_pieces(rows, pieces, tokenizer, window):
     ids = collections.defaultdict(list)
     for doc_id, text, *_ in rows:
