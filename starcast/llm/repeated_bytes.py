@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starcast.operators.skew import heavy_from_counts, lookup_join
 from starcast.session import materialize
 
 LENGTH, SEED, HALF = 200, 32, 128
@@ -42,6 +43,8 @@ BLOCK = 16
 #: The bytes that all strings of a block have in common.
 SHARED = LENGTH - BLOCK + 1
 PIECE = 1 << 21
+#: Rows of one name that one task joins.
+ROWS_PER_BLOCK = 20_000
 ANCHORS = "name long, context long, id long, text_key long, place long"
 BLOCKS = "name long, context long, id long, text_key long, start long, starts long, behind long, left binary, right binary"
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -141,20 +144,28 @@ def _rows(found: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(columns, joined)))
 
 
+def _spread(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with a key of ``counted``, which says in ``n`` how many each has. Those of a frequent key are spread."""
+    heavy = heavy_from_counts(counted, keys, "n", ROWS_PER_BLOCK)
+    return lookup_join(rows, counted.drop("n"), keys, heavy=heavy)
+
+
 def repeats(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Of rows with a ``name`` and the ``context`` it stands in: those whose context occurs again, and one row for each
     context whose name occurs again in another one."""
     counted = rows.groupBy("name").agg(
         F.count("context").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")
     )
-    marked = rows.join(counted.where("n > 1"), "name").withColumn("single", F.expr("low = high"))
-    marked = materialize(marked.drop("n", "low", "high"), label)
+    counted = materialize(counted.where("n > 1"), f"{label}-names")
+    marked = _spread(rows, counted, ["name"]).withColumn("single", F.expr("low = high"))
+    marked = materialize(marked.drop("low", "high"), label)
     several = marked.where("NOT single").drop("single")
     other = [c for c in several.columns if c not in ("name", "context")]
     contexts = several.groupBy("name", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(*other)).alias("one")
     )
-    again = several.join(contexts.where("n > 1").select("name", "context"), ["name", "context"])
+    contexts = materialize(contexts, f"{label}-contexts")
+    again = _spread(several, contexts.where("n > 1").select("name", "context", "n"), ["name", "context"])
     whole = marked.where("single").drop("single").unionByName(again.select(*several.columns))
     return whole, contexts.select("name", "context", "one.*")
 
@@ -221,7 +232,7 @@ def _blocks_of(data: bytes, named: np.ndarray, places: np.ndarray) -> Iterator[p
 
 def covered(docs: DataFrame) -> DataFrame:
     """``id``, ``text_key``, ``start`` and ``starts``: runs of starts of strings that occur again."""
-    whole, undecided = repeats(anchors(docs), "anchors")
+    whole, undecided = repeats(materialize(anchors(docs), "all-anchors"), "anchors")
     place = F.col("place")
     runs = whole.select(
         "id", "text_key", F.shiftright(place, 16).alias("start"), F.expr("((place >> 8) & 255) + 1").alias("starts")
@@ -241,8 +252,8 @@ def covered(docs: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("starts"),
     )
     string = ["name", "behind", "left", "right"]
-    twice = single.groupBy(*string).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return runs.unionByName(single.join(twice, string).select(*runs.columns))
+    twice = materialize(single.groupBy(*string).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "same_strings")
+    return runs.unionByName(_spread(single, twice, string).select(*runs.columns))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
