@@ -675,3 +675,47 @@ ORACLE["leaf_penalty_single"] = with_views(
          SELECT l2, x AS average_stars, round(shift + n * (mean - shift) / (n + l2), 5) AS prediction
          FROM leaves, shifts""",
 )
+# From scratch, on the ratings that are left at the end.
+ORACLE["similarity_upkeep"] = with_views(
+    "ratings item_pairs",
+    """, left_rows AS (SELECT * FROM ratings WHERE k % 7 <> 0),
+         last AS (
+           SELECT user_id, business_id, stars FROM (
+             SELECT *, row_number() OVER (PARTITION BY user_id, business_id
+                                          ORDER BY k DESC, ln DESC, sk DESC, q DESC, stars DESC) AS rn
+             FROM left_rows) t WHERE rn = 1),
+         sizes AS (SELECT business_id, count(*) AS n, CAST(sum(stars) AS BIGINT) AS s FROM left_rows GROUP BY business_id),
+         moved AS (
+           SELECT l.user_id, l.business_id, t.n * l.stars - t.s AS d FROM last l JOIN sizes t ON l.business_id = t.business_id),
+         both_rated AS (
+           SELECT DISTINCT least(item_id, other_id) AS small_id, greatest(item_id, other_id) AS large_id
+           FROM item_pairs WHERE item_id <> other_id),
+         shared AS (
+           SELECT x.small_id, x.large_id, count(*) AS common,
+                  CASE WHEN sum(a.d * a.d) = 0 OR sum(b.d * b.d) = 0 THEN CAST(1 AS DOUBLE)
+                       ELSE CAST(sum(a.d * b.d) AS DOUBLE)
+                            / (sqrt(CAST(sum(a.d * a.d) AS DOUBLE)) * sqrt(CAST(sum(b.d * b.d) AS DOUBLE))) END AS similarity
+           FROM both_rated x JOIN moved a ON x.small_id = a.business_id
+           JOIN moved b ON x.large_id = b.business_id AND a.user_id = b.user_id GROUP BY x.small_id, x.large_id)
+         SELECT x.small_id, x.large_id, coalesce(s.common, 0) AS common, round(coalesce(s.similarity, 1), 6) AS similarity
+         FROM both_rated x JOIN sizes a ON x.small_id = a.business_id JOIN sizes b ON x.large_id = b.business_id
+         LEFT JOIN shared s ON x.small_id = s.small_id AND x.large_id = s.large_id""",
+)
+# Closed forms on the column over its interquartile range, for each fold left out.
+ORACLE["out_of_fold_single"] = with_views(
+    "single",
+    """, folds AS (SELECT DISTINCT user_id % 5 AS fold FROM single),
+         m AS (
+           SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS sxy, var_pop(x) AS sxx,
+                  quantile_disc(x, 0.75) - quantile_disc(x, 0.25) AS width
+           FROM folds f JOIN single s ON s.user_id % 5 <> f.fold GROUP BY f.fold),
+         slopes AS (
+           SELECT fold, mx, my,
+                  sign(sxy) * greatest(abs(sxy / width) - 0.0001 * 0.4, 0) / (sxx / width / width + 0.0001 * 0.6) / width AS b0,
+                  sxy * n / (sxx * n + width * width) AS b1,
+                  sign(sxy) * greatest(abs(sxy / width) - 0.0001, 0) / (sxx / width / width) / width AS b2
+           FROM m)
+         SELECT s.user_id, s.business_id, round(my + b0 * (x - mx), 5) AS base_0, round(my + b1 * (x - mx), 5) AS base_1,
+                round(my + b2 * (x - mx), 5) AS base_2
+         FROM single s JOIN slopes ON s.user_id % 5 = slopes.fold""",
+)

@@ -14,6 +14,7 @@ from starcast.checks import views
 from starcast.functions import attributes as attrs
 from starcast.functions import text
 from starcast.functions.numeric import clip, ensemble_mean, prediction_error
+from starcast.models.folding import FOLD
 from starcast.models.leaves import L2_GRID, fit_leaf_penalties
 from starcast.models.linear import (
     assembler,
@@ -26,6 +27,7 @@ from starcast.models.linear import (
     ridge,
     robust_scaled,
 )
+from starcast.models.out_of_fold import out_of_fold_predictions
 from starcast.models.search import (
     ELASTIC_NET_GRID,
     LASSO_GRID,
@@ -38,7 +40,7 @@ from starcast.models.stacking import fit_stacked
 from starcast.models.statistics import fold_moments, search_linear
 from starcast.models.store import load_model, save_model
 from starcast.models.trees import fit_gbt_a, fit_gbt_b, fit_on_vectors, gbt_a, gbt_b
-from starcast.operators import errors, features, ids, ratings as r
+from starcast.operators import errors, features, ids, ratings as r, upkeep
 from starcast.operators import similarity as sim
 from starcast.operators.coldstart import append_predictions, cold_start_prediction
 from starcast.operators.friends import friend_edges, mutual_friend_mean, mutual_friend_ratings
@@ -490,6 +492,16 @@ def item_similarity(d: Inputs) -> DataFrame:
     return similar.select("item_id", "other_id", "common", rounded("similarity", "similarity"))
 
 
+@query
+def similarity_upkeep(d: Inputs) -> DataFrame:
+    """Similarities after two batches of changes: two thirds of the orders, then the rest, then a seventh taken back."""
+    rows = materialize(d.ratings.select(*PAIR, "stars", *views.RATING_ORDER), "rating-rows")
+    state = upkeep.start(rows.where("k % 3 <> 0"), d.item_pairs, views.RATING_ORDER)
+    state = upkeep.apply_changes(state, inserts=rows.where("k % 3 = 0"))
+    state = upkeep.apply_changes(state, deletes=rows.where("k % 7 = 0"))
+    return upkeep.current_similarity(state).withColumn("similarity", F.round("similarity", 6))
+
+
 @query
 def weighted_prediction(d: Inputs) -> DataFrame:
     similar = sim.item_similarity(d.item_pairs, d.tables).withColumnRenamed("item_id", "business_id")
@@ -909,6 +921,14 @@ def search_boosters_single(d: Inputs) -> DataFrame:
     return found.withColumn("score", F.round("score", 5))
 
 
+@query
+def out_of_fold_single(d: Inputs) -> DataFrame:
+    """The three base predictions of each row from the other folds, on one column."""
+    rows = _single_rows(d).select(*PAIR, "stars", "average_stars", F.col("fold").cast("int").alias(FOLD))
+    found = out_of_fold_predictions(materialize(rows, "single"), ["average_stars"], "stars", "base_", 5)
+    return found.select(*PAIR, *[F.round(f"base_{i}", 5).alias(f"base_{i}") for i in range(3)])
+
+
 @query
 def leaf_penalty_single(d: Inputs) -> DataFrame:
     """The leaf values of one tree on one column under each penalty of the grid."""

@@ -10,17 +10,13 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starcast.models.folding import FOLD, fold_column
 from starcast.models.linear import elastic_net, label_scale, lasso, ridge, robust_scaling
+from starcast.models.out_of_fold import out_of_fold_predictions
 from starcast.models.trees import fit_trees
 from starcast.session import materialize
 
 Base = Callable[[DataFrame, Sequence[str], str, str], Model]
-FOLD = "__fold"
-
-
-def fold_column(keys: Sequence[str], folds: int):
-    """A fold number from a hash of the keys: the same in every run, and one fold for all copies of a row."""
-    return F.pmod(F.xxhash64(*keys), F.lit(folds)).cast("int")
 
 
 def linear_bases(train: DataFrame, features: Sequence[str], label: str, prefix: str) -> PipelineModel:
@@ -35,6 +31,17 @@ def linear_bases(train: DataFrame, features: Sequence[str], label: str, prefix:
     return PipelineModel(stages=stages)
 
 
+def fitted_without_each_fold(
+    numbered: DataFrame, features: Sequence[str], label: str, bases: Base, prefix: str, folds: int
+) -> DataFrame:
+    """The rows of each fold with the predictions of bases fitted on all others: a fit for each fold, for any bases."""
+    parts = []
+    for fold in range(folds):
+        held_out = bases(numbered.where(F.col(FOLD) != fold), features, label, prefix)
+        parts.append(held_out.transform(numbered.where(F.col(FOLD) == fold)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit_stacked(
     train: DataFrame,
     features: Sequence[str],
@@ -51,7 +58,7 @@ def fit_stacked(
     """Base models and the meta model as one pipeline.
 
     The meta model sees base predictions of the rows the bases were fitted on, or, with ``out_of_fold``, of rows left
-    out of their fit. ``fold`` names a column with the fold of each row, from 0 on; by default it follows from ``keys``.
+    out of their fit; those of the linear bases come from two passes. ``fold`` names a column with the fold of each row, from 0 on; by default it follows from ``keys``.
     ``train`` is read many times and should be a written table.
     """
     fitted = bases(train, features, label, prefix)
@@ -59,14 +66,12 @@ def fit_stacked(
     columns = [*train.columns, *predictions]
     if out_of_fold:
         numbered = train.withColumn(FOLD, F.col(fold).cast("int") if fold else fold_column(keys, folds))
-        parts = []
-        for fold in range(folds):
-            held_out = bases(numbered.where(F.col(FOLD) != fold), features, label, prefix)
-            parts.append(held_out.transform(numbered.where(F.col(FOLD) == fold)).select(*columns))
-        level_two = reduce(DataFrame.unionByName, parts)
+        if bases is linear_bases:
+            level_two = out_of_fold_predictions(numbered, features, label, prefix, folds).select(*columns)
+        else:
+            level_two = fitted_without_each_fold(numbered, features, label, bases, prefix, folds).select(*columns)
     else:
         level_two = fitted.transform(train).select(*columns)
     level_two = materialize(level_two, "stacked")
     meta_model = fit_trees(level_two, [*features, *predictions], meta)
     return PipelineModel(stages=[fitted, meta_model])
-

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starcast.models.stacking import FOLD, fold_column
+from starcast.models.folding import FOLD, fold_column
 
 # A sweep of coordinate descent that moves no fitted value's scale by more than this is the last.
 TOLERANCE, MOST_SWEEPS = 1e-11, 100_000

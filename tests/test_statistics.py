@@ -5,7 +5,9 @@ import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
-from starcast.models import leaves, linear, search, statistics, store, trees
+from starcast.models import leaves, linear, search, stacking, statistics, store, trees
+from starcast.models.folding import FOLD
+from starcast.models.out_of_fold import out_of_fold_predictions
 from starcast.session import materialize, shared_path
 
 NAMES = ["x1", "x2", "x3", "flat", "year"]
@@ -134,3 +136,14 @@ def test_leaf_penalty_shrinks_a_booster_and_is_saved(spark, sample):
     again = store.load_model(path).transform(sample).select("user_id", F.col("prediction").alias("again"))
     both = weak.transform(sample).join(again, "user_id").agg(F.max(F.abs(F.col("prediction") - F.col("again"))))
     assert both.first()[0] == 0
+
+
+def test_out_of_fold_predictions_equal_a_fit_for_each_fold(sample):
+    numbered = materialize(sample.withColumn(FOLD, F.col("part").cast("int")), "numbered")
+    names = ["x1", "x2", "x3", "year"]
+    found = out_of_fold_predictions(numbered, names, "stars", "base_", 4).toPandas().set_index("user_id")
+    each = stacking.fitted_without_each_fold(numbered, names, "stars", stacking.linear_bases, "base_", 4)
+    each = each.select("user_id", "base_0", "base_1", "base_2").toPandas().set_index("user_id")
+    assert len(found) == 400 and set(numbered.columns) < {*found.columns, "user_id"}
+    for name in ("base_0", "base_1", "base_2"):
+        assert found[name].to_numpy() == pytest.approx(each.loc[found.index, name].to_numpy(), abs=2e-4)
