@@ -7,11 +7,13 @@ documents without any feature have no neighbours; their score is the share of to
 The index holds the weights of common features in one matrix, with which a batch of documents is multiplied, and of all
 other features the list of examples. Every example that shares a feature is scored: no bound is used, and the neighbours
 are exact. Their labels vote with the weight 1 / (distance + 0.05), where the distance is 1 - cosine; the share of toxic
-votes is turned into a score by the rates that the examples show when each is scored by the others. The neighbours are
-the evidence.
+votes is turned into a score by the rates that the examples show when each is scored by the others. So is the number of
+neighbours that vote chosen: the one of ``neighbours`` with the least logarithmic loss on the examples. The first ``k``
+neighbours are the evidence.
 
-Bound: ``most_examples`` examples (distinct texts with the smallest hashes), so the index that each task gets is bounded
-by their texts. All else covers all rows.
+Bound: ``most_examples`` examples, at most half of them of either label (distinct texts with the smallest hashes), so the
+index that each task gets is bounded by their texts. Where a label has more texts than that, its examples count for as many
+texts as they stand for when rates are taken. All else covers all rows.
 
 Null and empty texts are scored like texts without features. Repeated rows get equal scores. Labels of 0 or 1 count,
 others and null are left out; if a document is labelled twice, the larger label counts; if equal texts are, each
@@ -35,12 +37,14 @@ from starcast.llm.common import append_columns
 from starcast.session import materialize
 
 K = 15
+#: How many neighbours may vote.
+NEIGHBOURS = (15, 31, 61)
 # Documents multiplied at a time.
 BATCH = 64
 SHORTEST, LONGEST = 3, 8
 # Features that more than one in so many examples hold are common.
 COMMON = 4
-MOST_EXAMPLES = 20_000
+MOST_EXAMPLES = 3_000
 STRIPPED = ".,;:!?*#%$&|\"'()[]{}<>"
 
 
@@ -74,10 +78,11 @@ class Counts:
         return totals
 
 
-def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most: int) -> DataFrame:
-    """Distinct texts with their label, ``toxic``, of the rows that ``usable``, a condition on ``doc_id``, admits.
+def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most: int) -> tuple[DataFrame, dict[int, float]]:
+    """Distinct texts with their label, ``toxic``, of the rows that ``usable``, a condition on ``doc_id``, admits, and for
+    how many texts each one of a label stands.
 
-    Of more than ``most``, those with the smallest hashes (their lower halves first).
+    Of more than ``most // 2`` of a label, those with the smallest hashes (their lower halves first).
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -85,12 +90,17 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most: int) -> D
     hashed = rows.select("doc_id", F.xxhash64("text").alias("hash")).join(known, "doc_id")
     # One document for each text and label; only ids and hashes are shuffled.
     single = materialize(hashed.groupBy("hash", "toxic").agg(F.min("doc_id").alias("doc_id")), "labelled")
-    share = min(1.0, 2 * most / max(1, single.count()))
-    low = single.where(F.pmod("hash", F.lit(1 << 32)) <= int(share * (1 << 32)))
-    chosen = low.orderBy(F.pmod("hash", F.lit(1 << 32)), "hash", "toxic").limit(most)
+    sizes = {row["toxic"]: row["count"] for row in single.groupBy("toxic").count().collect()}
+    low = F.pmod("hash", F.lit(1 << 32))
+    parts = []
+    for toxic in (0, 1):
+        share = min(1.0, 2 * (most // 2) / max(1, sizes.get(toxic, 0)))
+        own = single.where((F.col("toxic") == toxic) & (low <= int(share * (1 << 32))))
+        parts.append(own.orderBy(low, "hash").limit(most // 2))
     # At most ``most`` rows of three numbers, so the texts need no shuffle.
+    chosen = parts[0].unionByName(parts[1])
     texts = rows.join(F.broadcast(chosen), (rows["doc_id"] == chosen["doc_id"]) & (F.xxhash64("text") == chosen["hash"]))
-    return texts.select("text", "toxic").distinct()
+    return texts.select("text", "toxic").distinct(), {t: max(1.0, n / (most // 2)) for t, n in sizes.items()}
 
 
 def features_in(examples: DataFrame) -> pd.DataFrame:
@@ -145,6 +155,8 @@ class Index:
     bare_rate: float
     edges: np.ndarray
     rates: np.ndarray
+    #: How many neighbours vote.
+    voters: int = K
 
     def __post_init__(self) -> None:
         #: Weights by number of the common feature and example.
@@ -208,25 +220,27 @@ class Index:
         return float(weights @ self.labels[[e for e, _ in neighbours]] / weights.sum())
 
     def scores(self, batch: list[dict[int, int]], k: int) -> list[tuple[float, list[tuple[int, float]]]]:
+        """The score of each of a batch, and its first ``k`` neighbours."""
         results: list[tuple[float, list[tuple[int, float]]]] = [(self.bare_rate, [])] * len(batch)
         filled = [i for i, counts in enumerate(batch) if counts]
         for start in range(0, len(filled), BATCH):
             some = filled[start : start + BATCH]
-            for i, neighbours in zip(some, self.nearest_of([batch[i] for i in some], k, [-1] * len(some))):
+            found = self.nearest_of([batch[i] for i in some], max(k, self.voters), [-1] * len(some))
+            for i, neighbours in zip(some, found):
                 if neighbours:
-                    place = np.searchsorted(self.edges, self.votes(neighbours), side="right")
-                    results[i] = float(self.rates[place]), neighbours
+                    place = np.searchsorted(self.edges, self.votes(neighbours[: self.voters]), side="right")
+                    results[i] = float(self.rates[place]), neighbours[:k]
         return results
 
 
 def build(examples: list[tuple[str, int]], features: pd.DataFrame, k: int) -> Index:
     """The index of a bounded number of examples, with its calibration."""
-    index = gather(examples, features)
-    calibrate(index, shares_of(index, range(len(index.labels)), k))
+    index = gather(examples, features, {})
+    calibrate(index, (k,), shares_of(index, range(len(index.labels)), (k,)), {})
     return index
 
 
-def gather(texts: Iterable[tuple[str, int]], features: pd.DataFrame) -> Index:
+def gather(texts: Iterable[tuple[str, int]], features: pd.DataFrame, stands_for: dict[int, float]) -> Index:
     """The index before its calibration. The texts are read once, one at a time."""
     known = {f: i for i, f in enumerate(features["feature"])}
     counts = Counts(known)
@@ -259,46 +273,61 @@ def gather(texts: Iterable[tuple[str, int]], features: pd.DataFrame) -> Index:
     common = np.full(len(known), -1, np.int32)
     often = np.flatnonzero(df * COMMON > n + len(bare))
     common[often] = np.arange(len(often))
-    bare_rate = (sum(bare) + 0.5) / (len(bare) + 1) if bare or labels else 0.0
+    weights = [stands_for.get(toxic, 1.0) for toxic in bare]
+    bare_rate = (sum(w for w, toxic in zip(weights, bare) if toxic) + 0.5) / (sum(weights) + 1) if bare or labels else 0.0
     labels = np.array(labels, np.float64)
     edges, rates = np.empty(0), np.empty(1)
     return Index(known, idf, labels, tf, gains, norms, starts, example, codes, common, bare_rate, edges, rates)
 
 
-def shares_of(index: Index, examples: Sequence[int], k: int) -> list[float | None]:
-    """The share of toxic votes among the other examples, or None without neighbours."""
+def shares_of(index: Index, examples: Sequence[int], ks: Sequence[int]) -> list[list[float] | None]:
+    """For each number of neighbours the share of toxic votes among the other examples; None without neighbours."""
     order = np.argsort(index.examples, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(index.examples, minlength=len(index.labels)))])
-    shares: list[float | None] = []
+    shares: list[list[float] | None] = []
     for start in range(0, len(examples), BATCH):
         some, batch = list(examples[start : start + BATCH]), []
         for example in some:
             places = order[slice(*starts[example : example + 2])]
             features = np.searchsorted(index.starts, places, side="right") - 1
             batch.append(dict(zip(features.tolist(), index.tf[index.codes[places]].tolist())))
-        found = index.nearest_of(batch, k, some)
-        shares += [index.votes(neighbours) if neighbours else None for neighbours in found]
+        found = index.nearest_of(batch, max(ks), some)
+        shares += [[index.votes(neighbours[:k]) for k in ks] if neighbours else None for neighbours in found]
     return shares
 
 
-def calibrate(index: Index, found: list[float | None]) -> None:
-    """Shares of votes to scores: rates in ranges of the share, made to rise by pooling neighbouring ranges."""
-    shares = [share for share in found if share is not None]
-    labels = [label for share, label in zip(found, index.labels) if share is not None]
+def calibrate(
+    index: Index, ks: Sequence[int], found: list[list[float] | None], stands_for: dict[int, float]
+) -> None:
+    """Shares of votes to scores, by the number of neighbours that tells the examples apart best."""
+    used = [i for i, shares in enumerate(found) if shares is not None]
+    labels = index.labels[used] if used else np.empty(0)
+    weights = np.where(labels == 1, stands_for.get(1, 1.0), stands_for.get(0, 1.0))
     edges = np.linspace(0, 1, 21)[1:-1]
-    place = np.searchsorted(edges, np.array(shares), side="right") if shares else np.empty(0, np.int64)
+    least = np.inf
+    for number, k in enumerate(ks):
+        shares = np.array([found[i][number] for i in used])
+        place = np.searchsorted(edges, shares, side="right") if used else np.empty(0, np.int64)
+        rates = _rising_rates(place, labels, weights)
+        own = rates[place]
+        loss = -float(weights @ np.log(np.where(labels == 1, own, 1 - own)))
+        if loss < least:
+            least, index.edges, index.rates, index.voters = loss, edges, rates, k
+
+
+def _rising_rates(place: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rates in ranges of the share, made to rise by pooling neighbouring ranges."""
     middle = (np.arange(20) + 0.5) / 20
     # Each range starts with one example of its own share, so empty ranges keep it.
-    weight = np.bincount(place, minlength=20) + 1.0
-    rate = (np.bincount(place, weights=np.array(labels), minlength=20) if shares else np.zeros(20)) + middle
+    weight = np.bincount(place, weights=weights, minlength=20) + 1.0
+    rate = np.bincount(place, weights=weights * labels, minlength=20) + middle
     pools: list[list[float]] = []
     for total, n in zip(rate, weight):
         pools.append([total, n, 1])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    index.edges = edges
-    index.rates = np.concatenate([np.full(int(n), total / w) for total, w, n in pools])
+    return np.concatenate([np.full(int(n), total / w) for total, w, n in pools])
 
 
 def with_scores(
@@ -307,21 +336,23 @@ def with_scores(
     usable: Column | None = None,
     k: int = K,
     most_examples: int = MOST_EXAMPLES,
+    neighbours: Sequence[int] = NEIGHBOURS,
 ) -> DataFrame:
-    """``docs`` plus ``llm_score`` and ``llm_evidence``, the label and the cosine of the nearest examples."""
+    """``docs`` plus ``llm_score`` and ``llm_evidence``, the label and the cosine of the ``k`` nearest examples."""
     usable = F.lit(True) if usable is None else usable
-    examples = materialize(labelled(docs, labels, usable, most_examples), "examples")
+    texts, stands_for = labelled(docs, labels, usable, most_examples)
+    examples = materialize(texts, "examples")
     features = features_in(examples)
     rows = examples.select("text", "toxic").coalesce(1).sortWithinPartitions("text", "toxic")
-    index = gather(rows.toLocalIterator(), features)
+    index = gather(rows.toLocalIterator(), features, stands_for)
     del features
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    calibrate(index, _shares(docs.sparkSession, shared, len(index.labels), k))
-    edges, rates = index.edges, index.rates
+    calibrate(index, neighbours, _shares(docs.sparkSession, shared, len(index.labels), neighbours), stands_for)
+    edges, rates, voters = index.edges, index.rates, index.voters
 
     def compute() -> Callable[[list[str]], list[list]]:
         index = shared.value
-        index.edges, index.rates = edges, rates
+        index.edges, index.rates, index.voters = edges, rates, voters
         counts, remembered = Counts(index.known), {}
 
         def run(texts: list[str]) -> list[list]:
@@ -352,18 +383,17 @@ def with_scores(
     return append_columns(docs, [("llm_score", "double"), ("llm_evidence", kind)], compute)
 
 
-def _shares(spark: SparkSession, shared: Broadcast, n: int, k: int) -> list[float | None]:
+def _shares(spark: SparkSession, shared: Broadcast, n: int, ks: Sequence[int]) -> list[list[float] | None]:
     """``shares_of`` all examples, in tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = [number for batch in batches for number in batch["id"].tolist()]
         if numbers:
-            yield pd.DataFrame({"id": numbers, "share": np.array(shares_of(shared.value, numbers, k), np.float64)})
+            yield pd.DataFrame({"id": numbers, "shares": shares_of(shared.value, numbers, ks)})
 
-    found = spark.range(0, n).mapInPandas(run, "id long, share double").collect()
-    shares: list[float | None] = [None] * n
-    for number, share in found:
-        shares[number] = None if share is None or share != share else share
+    shares: list[list[float] | None] = [None] * n
+    for number, found in spark.range(0, n).mapInPandas(run, "id long, shares array<double>").collect():
+        shares[number] = found
     return shares
 
 
