@@ -1,17 +1,20 @@
 """Deletes runs of lines that occurred before, found by winnowing over line hashes.
 
-The *window* of a line is the shortest run of whole lines from it on that holds at least ``min_words`` words; near the
-end of a text a line has none. Lines compare without the white space around them, and blank lines do not count. Of each
-window the line with the smallest hash, the rightmost of equal ones, is its fingerprint. Equal windows have equal
-fingerprints at equal places, so each repetition of at least ``min_words`` words in whole lines is found:
+A run of whole lines with at least ``min_words`` words goes if the same lines stand at an earlier place, in this or another
+document; that is, a line goes exactly if it lies in such a run, however far the run reaches. Lines compare without the white
+space around them, and blank lines do not count.
 
-1. Fingerprints are counted over all documents. Only windows around one that occurs again stay.
-2. Their positions are joined on the content of the window. The first, by document id and line, is the original.
-3. All lines of the other windows are deleted. Since every line in a run starts or lies in such a window, this extends
-   each match both ways as far as it goes.
+A *window* is a shortest such run: from a line on, or up to a line. Of each window the line with the smallest hash, the
+rightmost of equal ones, is selected as its fingerprint. Equal windows have equal fingerprints at equal places.
 
-So a line goes exactly if it lies in a window whose equal stands earlier, in this or another document. Documents are
-taken in the order of their ids, missing ids first.
+1. Fingerprints are counted over all documents. Only windows whose fingerprint occurs again stay.
+2. Their positions are joined on the content of the window. The first, by document id and line, is the original; the others
+   are matches.
+3. Each match is extended both ways. Take any line of a repeated run: if enough words of the run follow it, the window from
+   it on is repeated; if enough stand before it, so is the window up to it; else the window from the start of the run holds it.
+   So the matched windows of both kinds together are the whole run, up to its first and last line, and all their lines go.
+
+Documents are taken in the order of their ids, missing ids first.
 
 Null or empty texts have no lines and stay. Rows that repeat both id and text are one document and get the same result.
 Rows with the same id and other texts are ordered by a hash of the text. Long texts are handled whole; a window is kept
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from starcast.llm.common import text_key, texts
+from starcast.session import materialize
 
 MIN_WORDS = 20
 WINDOWS = "doc_id long, text_key long, line int, n_lines int, fingerprint long, content binary"
@@ -42,18 +46,31 @@ def windows_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes
     lines = [(i, line.strip()) for i, line in enumerate(text.split("\n"))]
     lines = [(i, line.encode(), len(line.split())) for i, line in lines if line]
     hashes = [xxh3_64_intdigest(line) for _, line, _ in lines]
-    end = words = 0
-    for start, (number, _, own) in enumerate(lines):
-        while words < min_words and end < len(lines):
-            words += lines[end][2]
-            end += 1
-        if words < min_words:
-            return
-        # Windows are short: at most min_words lines.
-        fingerprint = min(reversed(hashes[start:end]))
-        content = xxh3_128_digest(b"\n".join(line for _, line, _ in lines[start:end]))
-        yield number, lines[end - 1][0] - number + 1, _signed(fingerprint), content
-        words -= own
+    start = words = 0
+    ends_from = [-1] * len(lines)
+    for end, (_, _, own) in enumerate(lines):
+        words += own
+        while words - lines[start][2] >= min_words:
+            # The window from a line on ends where its words first suffice.
+            if ends_from[start] < 0:
+                ends_from[start] = end
+            words -= lines[start][2]
+            start += 1
+        if words >= min_words:
+            if ends_from[start] < 0:
+                ends_from[start] = end
+            yield _window(lines, hashes, start, end)
+    for start, end in enumerate(ends_from):
+        # Windows up to a line were found above; those from a line on are others if a later start would do.
+        if end >= 0 and sum(own for _, _, own in lines[start + 1 : end + 1]) >= min_words:
+            yield _window(lines, hashes, start, end)
+
+
+def _window(lines: list[tuple], hashes: list[int], start: int, end: int) -> tuple[int, int, int, bytes]:
+    # Windows are short: at most min_words lines.
+    fingerprint = min(reversed(hashes[start : end + 1]))
+    content = xxh3_128_digest(b"\n".join(line for _, line, _ in lines[start : end + 1]))
+    return lines[start][0], lines[end][0] - lines[start][0] + 1, _signed(fingerprint), content
 
 
 def windows(docs: DataFrame, min_words: int) -> DataFrame:
@@ -79,7 +96,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Counts and first places are combined before the shuffle, and each later window is joined with one first place only,
     so a run that stands in very many documents makes as many rows as it has places.
     """
-    found = windows(docs, min_words)
+    found = materialize(windows(docs, min_words), "windows")
     again = found.groupBy("fingerprint").agg(F.count("line").alias("places")).where("places > 1")
     candidates = found.join(again, "fingerprint", "left_semi")
     place = F.struct("doc_id", "text_key", "line")

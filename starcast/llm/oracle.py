@@ -42,6 +42,10 @@ WITH cut AS (
   FROM counted a JOIN counted b
     ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 19 AND b.upto - b.words - (a.upto - a.words) < 20
   GROUP BY a.doc_id, a.line HAVING sum(b.words) >= 20
+  UNION
+  SELECT a.doc_id, min(b.line), a.line, string_agg(b.content, chr(10) ORDER BY b.line)
+  FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k - 19 AND a.k AND a.upto - b.upto < 20
+  GROUP BY a.doc_id, a.line HAVING sum(b.words) >= 20
 ), later AS (
   SELECT doc_id, line, last,
          row_number() OVER (PARTITION BY content ORDER BY doc_id, line) AS place

@@ -14,7 +14,8 @@ def unique_documents(rows):
     return sorted({(row[0], row[1] or "") for row in rows}, key=lambda d: (d[0] is not None, d[0] or 0))
 
 
-def windows(text, min_words):
+def runs(text, min_words):
+    """All runs of lines with enough words: first line, last line, content."""
     lines = [(i, line.strip()) for i, line in enumerate(text.split("\n")) if line.strip()]
     for start in range(len(lines)):
         words = 0
@@ -22,14 +23,13 @@ def windows(text, min_words):
             words += len(lines[end][1].split())
             if words >= min_words:
                 yield lines[start][0], lines[end][0], tuple(line for _, line in lines[start : end + 1])
-                break
 
 
 def expected_lines(rows, min_words):
     """Places are compared by document first, so only texts under different ids are checked here."""
     first, gone = {}, collections.defaultdict(set)
     for doc_id, text in unique_documents(rows):
-        for start, end, content in windows(text, min_words):
+        for start, end, content in runs(text, min_words):
             if content in first:
                 gone[doc_id].update(range(start, end + 1))
             else:
@@ -40,6 +40,13 @@ def expected_lines(rows, min_words):
     }
 
 
+def test_a_match_is_extended_both_ways(spark):
+    long, short, other = (" ".join(f"{name}{i}" for i in range(n)) for name, n in (("l", 30), ("s", 5), ("o", 4)))
+    rows = [(1, f"{long}\n{short}"), (2, f"{long}\n\n {short}\n{other}"), (3, f"{other}\n{long}\n{short}"), (4, short)]
+    found = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 20)
+    assert {r.doc_id: r.llm_kept_text.strip() for r in found.collect()} == {1: rows[0][1], 2: other, 3: other, 4: short}
+
+
 @pytest.mark.parametrize("min_words", [1, 8, 20])
 def test_repeated_lines(docs, min_words):
     found = line_dedup.without_repeated_lines(docs, min_words).collect()
@@ -109,6 +116,13 @@ def test_near_duplicates_of_odd_rows(request, name):
     assert all(r.component_id is None and r.kept for r in rows if r.doc_id is None)
 
 
+def test_each_text_of_an_id_has_its_links(spark):
+    words = [f"a{i}" for i in range(60)]
+    rows = [(5, " ".join(words)), (5, " ".join(f"b{i}" for i in range(500))), (9, " ".join(words[:58])), (7, "c " * 9)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(5, 5), (5, 5), (7, 7), (9, 5)]
+
+
 def chained_copies(n):
     """Each text is close to the next one, and far from those that are further away."""
     words = [f"a{i}" for i in range(200)]
