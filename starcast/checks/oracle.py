@@ -719,3 +719,4 @@ ORACLE["out_of_fold_single"] = with_views(
                 round(my + b2 * (x - mx), 5) AS base_2
          FROM single s JOIN slopes ON s.user_id % 5 = slopes.fold""",
 )
+ORACLE["mutual_friends_filtered"] = ORACLE["mutual_friends"]

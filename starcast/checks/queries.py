@@ -43,7 +43,7 @@ from starcast.models.trees import fit_gbt_a, fit_gbt_b, fit_on_vectors, gbt_a, g
 from starcast.operators import errors, features, ids, ratings as r, upkeep
 from starcast.operators import similarity as sim
 from starcast.operators.coldstart import append_predictions, cold_start_prediction
-from starcast.operators.friends import friend_edges, mutual_friend_mean, mutual_friend_ratings
+from starcast.operators.friends import friend_edges, mutual_friend_mean, mutual_friend_ratings, rater_filters
 from starcast.operators.skew import lookup_join
 from starcast.plans import bundle, recommenders
 from starcast.plans.evaluation import evaluate
@@ -400,6 +400,14 @@ def mutual_friends(d: Inputs) -> DataFrame:
     return mutual_friend_ratings(table, d.users, d.latest, heavy.users, heavy.businesses)
 
 
+@query
+def mutual_friends_filtered(d: Inputs) -> DataFrame:
+    """As ``mutual_friends``, with friends who cannot have rated the business taken out of the lists first."""
+    table, heavy = d.pair_table
+    filters = materialize(rater_filters(d.latest), "rater-filters")
+    return mutual_friend_ratings(table, d.users, d.latest, heavy.users, heavy.businesses, filters=filters)
+
+
 @query
 def cf_candidates(d: Inputs) -> DataFrame:
     return sim.cf_candidates(d.pairs, d.latest).select(*PAIR, "other_id", "stars")
