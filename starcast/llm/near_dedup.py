@@ -1,8 +1,8 @@
 """Groups near-duplicate documents: SuperMinHash signatures, banding, verification on whole sets, union-find.
 
 1. One pass over the texts gives each document its shingle set's size, its SuperMinHash signature cut into bands, and
-   a hash of its words. Documents with the same words are one class, represented by its smallest id.
-2. Representatives that agree in a band are candidates. Each is linked to the smallest one of its band's bucket, so
+   a hash of its words. Documents with the same words are one class, numbered by that hash.
+2. Classes that agree in a band are candidates. Each is linked to the smallest one of its band's bucket, so
    buckets become clusters without a pair being listed.
 3. The whole sets of a cluster's members, of 64-bit shingle hashes, are compared in cells: small clusters share one, and
    a large one is cut into blocks of about ``CELL`` members, with a cell for each two blocks. A cell counts what its
@@ -273,9 +273,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     """One row per row of ``docs``: ``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` and ``kept``."""
     signed = materialize(signatures(docs, k), "signatures")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    same_words = filled.groupBy("words_a", "words_b").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.any_value("bands").alias("bands")
+    )
+    # A class is numbered by its words, since an id may have several texts.
     classes = materialize(
-        filled.groupBy("words_a", "words_b").agg(
-            F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")
+        same_words.select(
+            "words_a", "words_b", F.xxhash64("words_a", "words_b").alias("rep"), "first.doc_id", "first.text_key", "bands"
         ),
         "classes",
     )
@@ -283,7 +287,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = materialize(banded.join(full, "bucket").select("bucket", "rep"), "buckets")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(_sets_of(named, members, filled, classes, k), "sets")
+    sets = materialize(_sets_of(named, members, classes, k), "sets")
 
     least = members.groupBy("bucket").agg(F.min("rep").alias("b"))
     stars = members.join(least, "bucket").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
@@ -296,8 +300,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     shared = ids.join(lowest, "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     grouped = components(similar.unionByName(shared))
     located = classes.join(grouped, F.col("rep") == F.col("node"), "left").select(
-        "words_a", "words_b", F.coalesce("component", "rep").alias("component_id")
+        "words_a", "words_b", "doc_id", F.coalesce("component", "rep").alias("component")
     )
+    smallest = located.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    located = located.join(smallest, "component").select("words_a", "words_b", "component_id")
     rows = signed.join(
         located.withColumn("known", F.lit(True)),
         (signed["words_a"] == located["words_a"]) & (signed["words_b"] == located["words_b"])
@@ -311,12 +317,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     )
 
 
-def _sets_of(named: DataFrame, members: DataFrame, filled: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """The shingle sets of the representatives that share a bucket with others."""
-    needed = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("words_a", "words_b", "rep")
-    rows = filled.join(needed, ["words_a", "words_b"]).where("doc_id = rep").select("rep", "text_key").distinct()
+def _sets_of(named: DataFrame, members: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """The shingle sets of the classes that share a bucket with others."""
+    needed = classes.join(members.select("rep").distinct(), "rep", "left_semi")
+    needed = needed.select("rep", F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
     keyed = named.where("text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
-    chosen = keyed.join(rows, (keyed["doc_id"] == rows["rep"]) & (keyed["text_key"] == rows["text_key"]), "left_semi")
-    sets = shingle_sets(chosen.select("doc_id", "text"), k)
-    # An id with several texts has the shingles of the one with the most.
-    return sets.groupBy("rep").agg(F.max_by("shingles", F.size("shingles")).alias("shingles"))
+    chosen = keyed.join(needed, (F.col("doc_id") == F.col("first_id")) & (F.col("text_key") == F.col("first_key")))
+    # Rows that repeat id and text give the same set.
+    sets = shingle_sets(chosen.select(F.col("rep").alias("doc_id"), "text"), k)
+    return sets.groupBy("rep").agg(F.any_value("shingles").alias("shingles"))
