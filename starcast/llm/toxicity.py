@@ -54,6 +54,10 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in range(SHORTEST, min(LONGEST, len(word) - 1) + 1))] if word else []
 
 
+#: Known features in ascending order, and how often a text has each.
+Counted = tuple[np.ndarray, np.ndarray]
+
+
 class Counts:
     """Counts of known features in texts. What a word stands for is remembered up to a bound."""
 
@@ -66,16 +70,26 @@ class Counts:
             if len(self.words) > 100_000:
                 self.words.clear()
             names = features_of(word)
-            found = tuple(names if self.known is None else (self.known[n] for n in names if n in self.known))
+            if self.known is None:
+                found = tuple(names)
+            else:
+                found = np.array([self.known[n] for n in names if n in self.known], np.int64)
             self.words[word] = found
         return found
 
-    def __call__(self, text: str) -> dict:
-        totals: dict = {}
-        for word, n in Counter(text.lower().split()).items():
-            for feature in self.of_word(word):
-                totals[feature] = totals.get(feature, 0) + n
-        return totals
+    def names(self, text: str) -> set[str]:
+        """The features of a text, whether or not they are known."""
+        return {name for word in set(text.lower().split()) for name in self.of_word(word)}
+
+    def __call__(self, text: str) -> Counted:
+        words = Counter(text.lower().split())
+        parts = [self.of_word(word) for word in words]
+        features = np.concatenate([np.empty(0, np.int64), *parts])
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(part) for part in parts])
+        order = np.argsort(features, kind="stable")
+        features = features[order]
+        starts = np.flatnonzero(np.append(True, features[1:] != features[:-1])) if len(features) else np.empty(0, np.int64)
+        return features[starts], np.add.reduceat(times[order], starts) if len(starts) else np.empty(0, np.int64)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, usable: Column, most: int) -> tuple[DataFrame, dict[int, float]]:
@@ -111,7 +125,7 @@ def features_in(examples: DataFrame) -> pd.DataFrame:
         for batch in batches:
             seen: Counter = Counter()
             for text in batch["text"]:
-                seen.update(counts(text).keys())
+                seen.update(counts.names(text))
                 if len(seen) > 200_000:
                     yield _counts_frame(seen)
                     seen = Counter()
@@ -178,17 +192,16 @@ class Index:
         self.__dict__.update(state, known={f: i for i, f in enumerate(names)})
         self.__post_init__()
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        features = np.fromiter(sorted(counts), np.int64, len(counts))
-        tf = np.fromiter((counts[f] for f in features.tolist()), np.float64, len(counts))
+    def vector(self, counts: Counted) -> tuple[np.ndarray, np.ndarray]:
+        features, tf = counts
         weights = (1 + np.log(tf)) * self.idf[features]
         return features, weights / np.linalg.norm(weights)
 
-    def nearest(self, counts: dict[int, int], k: int, without: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, counts: Counted, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The ``k`` examples with the largest cosine, and the cosine; of equal ones those that come first."""
         return self.nearest_of([counts], k, [without])[0]
 
-    def nearest_of(self, batch: list[dict[int, int]], k: int, without: list[int]) -> list[list[tuple[float, int]]]:
+    def nearest_of(self, batch: list[Counted], k: int, without: list[int]) -> list[list[tuple[float, int]]]:
         """``nearest`` for each of a batch."""
         vectors = [self.vector(counts) for counts in batch]
         queries = np.zeros((len(batch), len(self.table)))
@@ -219,10 +232,10 @@ class Index:
         weights = np.array([1 / (1.05 - cosine) for _, cosine in neighbours])
         return float(weights @ self.labels[[e for e, _ in neighbours]] / weights.sum())
 
-    def scores(self, batch: list[dict[int, int]], k: int) -> list[tuple[float, list[tuple[int, float]]]]:
+    def scores(self, batch: list[Counted], k: int) -> list[tuple[float, list[tuple[int, float]]]]:
         """The score of each of a batch, and its first ``k`` neighbours."""
         results: list[tuple[float, list[tuple[int, float]]]] = [(self.bare_rate, [])] * len(batch)
-        filled = [i for i, counts in enumerate(batch) if counts]
+        filled = [i for i, (features, _) in enumerate(batch) if len(features)]
         for start in range(0, len(filled), BATCH):
             some = filled[start : start + BATCH]
             found = self.nearest_of([batch[i] for i in some], max(k, self.voters), [-1] * len(some))
@@ -246,13 +259,13 @@ def gather(texts: Iterable[tuple[str, int]], features: pd.DataFrame, stands_for:
     counts = Counts(known)
     names, times, labels, bare, seen = [], [], [], [], set()
     for text, toxic in texts:
-        own = counts(text)
-        if not own:
+        own, tf = counts(text)
+        if not len(own):
             bare.append(toxic)
             continue
-        names.append(np.fromiter(own.keys(), np.int32, len(own)))
-        times.append(np.fromiter(own.values(), np.int32, len(own)))
-        seen.update(own.values())
+        names.append(own.astype(np.int32))
+        times.append(tf.astype(np.int32))
+        seen.update(np.unique(tf).tolist())
         labels.append(toxic)
     n, df = len(labels), features["df"].to_numpy(np.float64)
     idf = np.log(1 + (n + len(bare)) / df) if known else np.empty(0)
@@ -290,7 +303,7 @@ def shares_of(index: Index, examples: Sequence[int], ks: Sequence[int]) -> list[
         for example in some:
             places = order[slice(*starts[example : example + 2])]
             features = np.searchsorted(index.starts, places, side="right") - 1
-            batch.append(dict(zip(features.tolist(), index.tf[index.codes[places]].tolist())))
+            batch.append((features, index.tf[index.codes[places]]))
         found = index.nearest_of(batch, max(ks), some)
         shares += [[index.votes(neighbours[:k]) for k in ks] if neighbours else None for neighbours in found]
     return shares
@@ -367,7 +380,7 @@ def with_scores(
 
             for text in texts:
                 own = counts(text)
-                key = xxh3_128_digest(np.array(sorted(own.items()), np.int64).tobytes())
+                key = xxh3_128_digest(np.concatenate(own).tobytes())
                 keys.append(key)
                 if key not in remembered:
                     waiting[key] = own
