@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,8 +43,8 @@ NEIGHBOURS = (15, 31, 61)
 # Documents multiplied at a time.
 BATCH = 64
 SHORTEST, LONGEST = 3, 8
-# Features that more than one in so many examples hold are common.
-COMMON = 4
+# Features that more than one in so many examples hold are common: a product of matrices is cheaper than their lists.
+COMMON = 10
 MOST_EXAMPLES = 3_000
 STRIPPED = ".,;:!?*#%$&|\"'()[]{}<>"
 
@@ -58,35 +59,43 @@ def features_of(word: str) -> list[str]:
 Counted = tuple[np.ndarray, np.ndarray]
 
 
+class Remembered(dict):
+    """What ``of_word`` gives for each word, kept."""
+
+    def __init__(self, of_word: Callable[[str], Sequence]):
+        self.of_word = of_word
+
+    def __missing__(self, word: str) -> Sequence:
+        self[word] = found = self.of_word(word)
+        return found
+
+
 class Counts:
     """Counts of known features in texts. What a word stands for is remembered up to a bound."""
 
     def __init__(self, known: dict[str, int] | None):
-        self.known, self.words = known, {}
-
-    def of_word(self, word: str) -> tuple:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > 100_000:
-                self.words.clear()
-            names = features_of(word)
-            if self.known is None:
-                found = tuple(names)
-            else:
-                found = np.array([self.known[n] for n in names if n in self.known], np.int64)
-            self.words[word] = found
-        return found
+        self.known = known
+        self.words = Remembered(features_of if known is None else self._known_of)
+
+    def _known_of(self, word: str) -> np.ndarray:
+        return np.array([self.known[n] for n in features_of(word) if n in self.known], np.int64)
+
+    def _of_words(self, words: Iterable[str]) -> list[Sequence]:
+        if len(self.words) > 100_000:
+            self.words.clear()
+        return list(map(self.words.__getitem__, words))
 
     def names(self, text: str) -> set[str]:
         """The features of a text, whether or not they are known."""
-        return {name for word in set(text.lower().split()) for name in self.of_word(word)}
+        return set(chain.from_iterable(self._of_words(set(text.lower().split()))))
 
     def __call__(self, text: str) -> Counted:
         words = Counter(text.lower().split())
-        parts = [self.of_word(word) for word in words]
+        parts = self._of_words(words)
         features = np.concatenate([np.empty(0, np.int64), *parts])
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(part) for part in parts])
-        order = np.argsort(features, kind="stable")
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), lengths)
+        order = np.argsort(features)
         features = features[order]
         starts = np.flatnonzero(np.append(True, features[1:] != features[:-1])) if len(features) else np.empty(0, np.int64)
         return features[starts], np.add.reduceat(times[order], starts) if len(starts) else np.empty(0, np.int64)
@@ -173,19 +182,22 @@ class Index:
     voters: int = K
 
     def __post_init__(self) -> None:
-        #: Weights by number of the common feature and example.
+        #: Each posting's share of the cosine for a query weight of 1.
+        idf = np.repeat(self.idf, np.diff(self.starts))
+        self.parts = self.gains[self.codes] * idf / self.norms[self.examples] if len(self.codes) else np.empty(0)
+        #: The same by number of the common feature and example.
         often = np.flatnonzero(self.common >= 0)
         self.table = np.zeros((len(often), len(self.labels)))
         for number, f in enumerate(often.tolist()):
             places = slice(*self.starts[f : f + 2])
-            own = self.examples[places]
-            self.table[number, own] = self.gains[self.codes[places]] * self.idf[f] / self.norms[own]
+            self.table[number, self.examples[places]] = self.parts[places]
 
     def __getstate__(self) -> dict:
-        """Without the table, and features as one string: to pickle each takes more memory than the rest. None holds
-        white space.
+        """Without what follows from the rest, and features as one string: to pickle each takes more memory than the
+        rest. None holds white space.
         """
-        return {k: v for k, v in self.__dict__.items() if k != "table"} | {"known": "\n".join(self.known)}
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("table", "parts")}
+        return kept | {"known": "\n".join(self.known)}
 
     def __setstate__(self, state: dict) -> None:
         names = state["known"].split("\n") if state["known"] else []
@@ -218,15 +230,16 @@ class Index:
         features, weights = features[rare], weights[rare]
         starts, ends = self.starts[features], self.starts[features + 1]
         places = _places(starts, ends)
-        parts = np.repeat(weights * self.idf[features], ends - starts) * self.gains[self.codes[places]]
-        scores = scores + np.bincount(self.examples[places], parts, len(self.labels)) / self.norms
+        parts = np.repeat(weights, ends - starts) * self.parts[places]
+        scores = scores + np.bincount(self.examples[places], parts, len(self.labels))
         if without >= 0:
             scores[without] = 0
         # Cosines compare by nine digits, so more than k may stand as high as the k-th.
         least = np.partition(scores, -k)[-k] - 2e-9 if len(scores) > k else 0.0
         high = np.flatnonzero((scores > 0) & (scores >= least))
-        best = sorted((-round(s, 9), e) for s, e in zip(scores[high].tolist(), high.tolist()))[:k]
-        return [(example, -negative) for negative, example in best]
+        cosines = np.round(scores[high], 9)
+        best = np.argsort(-cosines, kind="stable")[:k]
+        return list(zip(high[best].tolist(), cosines[best].tolist()))
 
     def votes(self, neighbours: list[tuple[int, float]]) -> float:
         weights = np.array([1 / (1.05 - cosine) for _, cosine in neighbours])
