@@ -75,6 +75,8 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule`` and ``verdict`` of every row."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     best = best_rules(parsed.select("host", "path").distinct(), rules)
-    return parsed.join(best, ["host", "path"], "left").select(
+    # URLs without a host fit no rule, and may be many: they are dealt out by their page instead of their one key.
+    parsed = parsed.withColumn("dealt", F.when(F.col("host") == "", F.xxhash64("page_id")).otherwise(0))
+    return parsed.join(best.withColumn("dealt", F.lit(0).cast("long")), ["host", "path", "dealt"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")
     )
