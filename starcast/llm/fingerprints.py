@@ -1,9 +1,10 @@
 """Winnowed fingerprints of whole texts, and how they change when a text is edited. DataFrame functions only.
 
-The tokens of a text are its runs without white space, cut every ``TOKEN_CHARS`` characters. Each ``k`` tokens in a row
-have a hash, and of each ``window`` hashes in a row the smallest, of equal ones the rightmost, is selected. Whatever two
-texts share over ``k + window - 1`` tokens, they share a selected hash for. The fingerprint is the selected hashes with
-their positions (the number of the first token).
+The tokens of a text are its runs without white space of up to ``TOKEN_CHARS`` characters, and each character of longer
+ones (text in scripts without spaces, encoded data, minified code), so that no token depends on where a long run starts.
+Each ``k`` tokens in a row have a hash, and of each ``window`` hashes in a row the smallest, of equal ones the rightmost,
+is selected. Whatever two texts share over ``k + window - 1`` tokens, they share a selected hash for. The fingerprint is
+the selected hashes with their positions (the number of the first token).
 
 Likeness is the Jaccard similarity of the sets of selected hashes; two empty fingerprints are alike (1.0).
 
@@ -28,7 +29,7 @@ LAST_POSITION = (1 << POSITION_BITS) - 1
 
 def selected(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """The selected hashes with their positions, as numbers, in the order of the text."""
-    tokens = F.regexp_extract_all(text, F.lit(rf"\S{{1,{TOKEN_CHARS}}}"), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?<!\S)\S{{1,{TOKEN_CHARS}}}(?!\S)|\S"), F.lit(0))
 
     def numbered(value: Column, position: Column) -> Column:
         return F.shiftleft(F.shiftrightunsigned(value, 64 - HASH_BITS), POSITION_BITS) + (

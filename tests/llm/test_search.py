@@ -46,7 +46,7 @@ def test_winnowing_selects_the_rightmost_minimum_of_each_window(spark, docs):
         "xxhash64(words[i], words[i + 1], words[i + 2], words[i + 3]), 25))"
     )
     df = docs.select("doc_id", fingerprints.fingerprint(fingerprints.selected(F.col("text"))).alias("f"), "text")
-    df = df.withColumn("words", F.expr(r"regexp_extract_all(text, '\\S{1,32}', 0)"))
+    df = df.withColumn("words", F.expr(r"regexp_extract_all(text, '(?<!\\S)\\S{1,32}(?!\\S)|\\S', 0)"))
     for r in df.where("size(words) >= 4").withColumn("hashes", hashes).collect():
         chosen = []
         for start in range(max(1, len(r.hashes) - 7)):
@@ -57,6 +57,21 @@ def test_winnowing_selects_the_rightmost_minimum_of_each_window(spark, docs):
         assert parsed(r.f) == [(f"{r.hashes[i]:010x}", i) for i in chosen]
 
 
+def test_fingerprints_do_not_depend_on_where_a_run_starts(spark):
+    rng = random.Random(5)
+    alphabets = {1: range(0x4E00, 0x5600), 2: range(0x61, 0x7B), 3: range(0x1F300, 0x1F5F0)}
+    texts = {n: "".join(chr(rng.choice(letters)) for _ in range(3000)) for n, letters in alphabets.items()}
+    rows = [(n, t, front + t) for n, t in texts.items() for front in ("x", "xyz" * 11, "x y ")]
+    df = spark.createDataFrame(rows, "n long, text string, shifted string")
+    chosen = [fingerprints.selected(F.col(c)) for c in ("text", "shifted")]
+    assert all(r.near > 0.98 for r in df.select(fingerprints.likeness(*chosen).alias("near")).collect())
+    # A run of 32 characters is one token, one of 33 is as many as it has characters.
+    sizes = spark.createDataFrame([("a" * 32,), ("a" * 33,)], "text string").select(
+        F.size(fingerprints.selected(F.col("text"), 1, 1)).alias("n")
+    )
+    assert [r.n for r in sizes.collect()] == [1, 33]
+
+
 @pytest.mark.parametrize("name", ["odd", "clashing"])
 def test_fingerprints_of_odd_rows(request, name):
     rows = fingerprints.edit_report(request.getfixturevalue(name)).collect()
