@@ -151,3 +151,41 @@ def test_huge_rater_counts_stay_exact(spark):
     names = ["n_i", "t_i", "n_j", "t_j", "common", "s_i", "s_j", "s_ii", "s_jj", "s_ij"]
     df = spark.createDataFrame([row], ", ".join(f"{name} long" for name in names))
     assert df.select(sim.similarity_column().alias("s")).first()["s"] == pytest.approx(-1.0)
+
+
+def common_raters(rows, pairs):
+    latest = {(u, b): s for u, b, s in rows}
+    raters = {b: {u for u, i in latest if i == b} for _, b, _ in rows}
+    return sorted(
+        ((i, j, u, 2 * latest[u, i], 2 * latest[u, j]) for i, j in pairs for u in raters[i] & raters[j]), key=repr
+    )
+
+
+@pytest.mark.parametrize("walked", [None, True, False])
+def test_common_raters_either_way(spark, monkeypatch, walked):
+    rows = list({(u, b): (u, b, s) for u, b, s in random_rows(3)[0]}.values())
+    names = sorted({b for _, b, _ in rows})
+    # Either business may come first, and a pair may hold one business twice.
+    pairs = [(i, j) for n, i in enumerate(names) for j in names[n % 3 :: 3]]
+    tables = sim.rating_tables(frame(spark, rows), ["n"])
+    asked = sim.item_pairs_table(spark.createDataFrame(pairs, "small_id string, large_id string"))
+    if walked is not None:
+        forced = sim.Routes(tables.users.select("user_id", F.lit(walked).alias("walked")), walked, not walked)
+        monkeypatch.setattr(sim, "corated_routes", lambda *_: forced)
+    assert rows_of(sim.corated(asked, tables)) == common_raters(rows, pairs)
+
+
+def test_pairs_without_a_common_rater_are_not_expanded(spark):
+    # Ten users of two ratings each; every pair of businesses is asked for. A user of many ratings is probed instead.
+    rows = [(f"u{n}", f"b{n}{side}", 3) for n in range(10) for side in "xy"]
+    names = [b for _, b, _ in rows]
+    pairs = [(i, j) for i in names for j in names if i < j]
+    long = [("long", f"c{n}", 3) for n in range(40)]
+    tables = sim.rating_tables(frame(spark, [*rows, *long]), ["n"])
+    asked = sim.item_pairs_table(spark.createDataFrame([*pairs, ("c1", "c2")], "small_id string, large_id string"))
+    found = sim.corated_routes(asked, tables)
+    assert (found.any_walked, found.any_probing) == (True, True)
+    walked = {row["user_id"]: row["walked"] for row in found.users.collect()}
+    # b9x and b9y share a rater whose ratings begin one pair, and the pairs of that history are three.
+    assert walked == {f"u{n}": n < 9 for n in range(10)} | {"long": False}
+    assert len(rows_of(sim.corated(asked, tables))) == 11
