@@ -216,3 +216,14 @@ def test_queries_search_full_penalty_grids(spark, monkeypatch, name, points):
     found = getattr(queries, f"grid_search_{name}")(d).collect()
     assert [r.search for r in found] == [name] and found[0].score < 0
     assert [(len(o["estimatorParamMaps"]), o["numFolds"]) for o in searched] == [(points, 5)]
+
+
+def test_errors_of_a_booster_before_and_after_it_scored(spark, sample):
+    rows, _, y = sample
+    vectors = assembler(NAMES).transform(rows).select("stars", "features")
+    model = trees.fit_on_vectors(vectors, NAMES, trees.gbt_a(prediction="p", **SMALL))
+    fresh = recommenders.error_per_tree(model, vectors)
+    predicted = [row["p"] for row in model.transform(rows).orderBy("user_id").select("p").collect()]
+    actual = [row["stars"] for row in rows.orderBy("user_id").select("stars").collect()]
+    assert fresh[-1] == pytest.approx(np.sqrt(np.mean((np.array(predicted) - actual) ** 2)))
+    assert len(fresh) == SMALL["maxIter"] and recommenders.error_per_tree(model, vectors) == pytest.approx(fresh)
