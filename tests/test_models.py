@@ -12,6 +12,7 @@ from starcast.checks import queries
 from starcast.models.linear import assembler, lasso, robust_scaling
 from starcast.models.search import grid_search
 from starcast.models import linear, search, stacking, store, trees
+from starcast import session
 from starcast.plans import bundle, recommenders
 from starcast.session import materialize, shared_path
 
@@ -227,3 +228,18 @@ def test_errors_of_a_booster_before_and_after_it_scored(spark, sample):
     actual = [row["stars"] for row in rows.orderBy("user_id").select("stars").collect()]
     assert fresh[-1] == pytest.approx(np.sqrt(np.mean((np.array(predicted) - actual) ** 2)))
     assert len(fresh) == SMALL["maxIter"] and recommenders.error_per_tree(model, vectors) == pytest.approx(fresh)
+
+
+def test_a_booster_reads_a_bounded_number_of_rows_a_task(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TRAINING_FILE", 10)
+    rows = spark.range(0, 95, 1, 1).selectExpr("double(id % 7) AS x", "double(id % 7 % 3) AS stars")
+    train = session.materialize_training(rows, "train")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with session.a_task_per_file(spark):
+        sizes = [n for n in train.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert sum(sizes) == 95 and max(sizes) == 10
+    seen = []
+    fit = trees.Pipeline.fit
+    monkeypatch.setattr(trees.Pipeline, "fit", lambda own, df: seen.append(df.rdd.getNumPartitions()) or fit(own, df))
+    trees.fit_gbt_b(train, ["x"], **SMALL)
+    assert seen == [10] and spark.conf.get("spark.sql.files.openCostInBytes") == before
