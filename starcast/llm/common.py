@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 # The split before the merges of the public byte-level vocabularies (fixed value).
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Texts that are turned into strings, and sent back, at a time: a batch of Arrow data may hold many more.
+ROWS_AT_A_TIME = 1_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,8 +48,8 @@ def append_columns(
 ) -> DataFrame:
     """``docs`` with all its rows and columns, and columns computed from the texts, a null text being empty.
 
-    ``compute`` is called once per task and returns a function from the texts of a batch to the values of each added
-    column. The other columns pass through as Arrow data, so no type or null changes. ``added`` holds names and types.
+    ``compute`` is called once per task and returns a function from some texts, at most ``ROWS_AT_A_TIME`` of a batch, to
+    the values of each added column. The other columns pass through as Arrow data, so no type or null changes. ``added`` holds names and types.
     """
     new_fields = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in added))
     schema = StructType([*docs.schema.fields, *new_fields.fields])
@@ -56,8 +59,10 @@ def append_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = compute()
         for batch in batches:
-            values = function([text or "" for text in batch.column(place).to_pylist()])
-            new = [pa.array(column, field.type) for column, field in zip(values, types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+            for first in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                part = batch.slice(first, ROWS_AT_A_TIME)
+                values = function([text or "" for text in part.column(place).to_pylist()])
+                new = [pa.array(column, field.type) for column, field in zip(values, types)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -46,6 +46,10 @@ SHORTEST, LONGEST = 3, 8
 # Features that more than one in so many examples hold are common: a product of matrices is cheaper than their lists.
 COMMON = 10
 MOST_EXAMPLES = 3_000
+# Features whose postings are weighted at a time.
+PIECE = 20_000
+# Scores remembered in a task, for texts with equal counts.
+REMEMBERED = 20_000
 STRIPPED = ".,;:!?*#%$&|\"'()[]{}<>"
 
 
@@ -71,14 +75,24 @@ class Remembered(dict):
 
 
 class Counts:
-    """Counts of known features in texts. What a word stands for is remembered up to a bound."""
+    """Counts of known features in texts. What a word stands for is remembered up to a bound.
+
+    ``known`` holds, as :func:`features_in` finds them, all shorter beginnings of each beginning.
+    """
 
     def __init__(self, known: dict[str, int] | None):
         self.known = known
         self.words = Remembered(features_of if known is None else self._known_of)
 
-    def _known_of(self, word: str) -> np.ndarray:
-        return np.array([self.known[n] for n in features_of(word) if n in self.known], np.int64)
+    def _known_of(self, word: str) -> tuple[int, ...]:
+        known, word = self.known, word.strip(STRIPPED)
+        found = [known[word]] if word in known else []
+        for n in range(SHORTEST, min(LONGEST, len(word) - 1) + 1):
+            number = known.get(word[:n] + "-")
+            if number is None:
+                break
+            found.append(number)
+        return tuple(found)
 
     def _of_words(self, words: Iterable[str]) -> list[Sequence]:
         if len(self.words) > 100_000:
@@ -92,8 +106,8 @@ class Counts:
     def __call__(self, text: str) -> Counted:
         words = Counter(text.lower().split())
         parts = self._of_words(words)
-        features = np.concatenate([np.empty(0, np.int64), *parts])
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        features = np.fromiter(chain.from_iterable(parts), np.int64, lengths.sum())
         times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), lengths)
         order = np.argsort(features)
         features = features[order]
@@ -182,9 +196,14 @@ class Index:
     voters: int = K
 
     def __post_init__(self) -> None:
-        #: Each posting's share of the cosine for a query weight of 1.
-        idf = np.repeat(self.idf, np.diff(self.starts))
-        self.parts = self.gains[self.codes] * idf / self.norms[self.examples] if len(self.codes) else np.empty(0)
+        #: Each posting's share of the cosine for a query weight of 1. Each task has its own, so it is made in pieces.
+        self.parts = np.empty(len(self.codes))
+        sizes = np.diff(self.starts)
+        for first in range(0, len(sizes), PIECE):
+            some = slice(first, first + PIECE)
+            places = slice(self.starts[first], self.starts[min(first + PIECE, len(sizes))])
+            idf = np.repeat(self.idf[some], sizes[some])
+            self.parts[places] = self.gains[self.codes[places]] * idf / self.norms[self.examples[places]]
         #: The same by number of the common feature and example.
         often = np.flatnonzero(self.common >= 0)
         self.table = np.zeros((len(often), len(self.labels)))
@@ -382,7 +401,7 @@ def with_scores(
         counts, remembered = Counts(index.known), {}
 
         def run(texts: list[str]) -> list[list]:
-            if len(remembered) > 100_000:
+            if len(remembered) > REMEMBERED:
                 remembered.clear()
             keys, waiting = [], {}
 

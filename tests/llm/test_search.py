@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from samples import awkward, documents, frame, prose, with_clashes
-from starcast.llm import decontamination, fingerprints, secrets, toxicity, url_filters
+from starcast.llm import common, decontamination, fingerprints, secrets, toxicity, url_filters
 
 
 def parsed(fingerprint):
@@ -411,3 +411,34 @@ def test_empty_tables(spark, none):
     assert decontamination.with_matches(none, benchmark).count() == 0
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.with_scores(none, labels).count() == 0
+
+
+def test_toxicity_looks_up_no_beginning_after_one_that_is_unknown():
+    examples = ["boundless abcd- (abcde) ab- ABCDEFGHIJ", "bound, bounded"]
+    names = sorted({name for text in examples for word in text.lower().split() for name in toxicity.features_of(word)})
+    asked = []
+
+    class Known(dict):
+        def get(self, key):
+            asked.append(key)
+            return super().get(key)
+
+    counts = toxicity.Counts(Known((name, i) for i, name in enumerate(names)))
+    words = ["boundary", "abcdefghijk", "abcx", "abc-", "abcd-", "zzzzzzzzz", "ab", "a", "()", "bounds!"]
+    for word in words:
+        assert list(counts.words[word]) == [names.index(name) for name in toxicity.features_of(word) if name in names]
+    assert [key for key in asked if key.startswith("z")] == ["zzz-"]
+    features, times = counts("Bounds bounds zzzzzzzzz ab")
+    assert [(names[f], t) for f, t in zip(features, times)] == [("bou-", 2), ("boun-", 2), ("bound-", 2)]
+
+
+def test_texts_of_a_large_batch_are_scored_part_by_part(spark):
+    sizes = common.ROWS_AT_A_TIME * 2 + 5
+    df = spark.range(0, sizes, 1, 1).selectExpr("id AS doc_id", "if(id % 7 = 0, null, string(id)) AS text")
+
+    def compute():
+        return lambda texts: [[len(text) for text in texts], [len(texts)] * len(texts)]
+
+    found = common.append_columns(df, [("length", "long"), ("together", "long")], compute).collect()
+    assert [r.doc_id for r in found] == list(range(sizes))
+    assert all(r.length == len(r.text or "") and r.together <= common.ROWS_AT_A_TIME for r in found)
