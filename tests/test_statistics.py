@@ -147,3 +147,29 @@ def test_out_of_fold_predictions_equal_a_fit_for_each_fold(sample):
     assert len(found) == 400 and set(numbered.columns) < {*found.columns, "user_id"}
     for name in ("base_0", "base_1", "base_2"):
         assert found[name].to_numpy() == pytest.approx(each.loc[found.index, name].to_numpy(), abs=2e-4)
+
+
+def test_weighted_rows_have_the_moments_of_all_rows(sample):
+    numbered = linear.assembler(NAMES).transform(sample).withColumn(statistics.FOLD, F.expr("int(user_id % 2)"))
+    for number, moments in enumerate(statistics.vector_moments(numbered, "features", "stars", 2)):
+        own = numbered.where(F.col(statistics.FOLD) == number).select(*NAMES, "stars").toPandas().to_numpy(float)
+        few, weight = statistics.rows_with(moments)
+        assert len(few) == len(NAMES) + 2 and weight * len(few) == pytest.approx(len(own))
+        assert few.mean(0) == pytest.approx(own.mean(0))
+        assert np.cov(few.T, bias=True) == pytest.approx(np.cov(own.T, bias=True))
+
+
+def test_a_penalty_search_reads_its_rows_once_and_finds_what_fits_on_all_rows_find(sample, monkeypatch):
+    vectors = linear.assembler(NAMES).transform(sample)
+    estimator, read = linear.elastic_net(vectors, "stars"), []
+    plain = search.grid_search
+    monkeypatch.setattr(search, "grid_search", lambda train, *a, **o: read.append(train.count()) or plain(train, *a, **o))
+    for kind, grid in (("ridge", search.RIDGE_GRID), ("elastic_net", search.ELASTIC_NET_GRID)):
+        best, score, fitted = search.search_penalties(vectors, estimator, kind, grid)
+        scale, rows = linear.label_scale(vectors, "stars")
+        points = search.penalty_grid(kind, grid, scale, rows * 4 // 5)
+        found, other, slow = plain(vectors, estimator, points)
+        assert found == best and other == pytest.approx(score, abs=1e-7)
+        assert fitted.avgMetrics == pytest.approx(slow.avgMetrics, abs=1e-7)
+        assert list(fitted.bestModel.coefficients) == pytest.approx(list(slow.bestModel.coefficients), abs=1e-6)
+    assert read == [5 * (len(NAMES) + 2)] * 2
