@@ -1,11 +1,13 @@
 import math
 import random
+import types
 from collections import defaultdict
 
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from starcast.checks import queries
 from starcast.operators import similarity as sim
 from starcast.operators import skew
 from starcast.operators.ratings import business_mean, latest_rating, rating_facts
@@ -189,3 +191,15 @@ def test_pairs_without_a_common_rater_are_not_expanded(spark):
     # b9x and b9y share a rater whose ratings begin one pair, and the pairs of that history are three.
     assert walked == {f"u{n}": n < 9 for n in range(10)} | {"long": False}
     assert len(rows_of(sim.corated(asked, tables))) == 11
+
+
+def test_means_are_looked_up_before_pairs_meet_the_ratings_of_their_user(spark):
+    ratings = frame(spark, GOLDEN + [("U1", "I1", 4), ("U5", "I5", 3)])
+    pairs = pairs_frame(spark, [("U1", "I3"), ("U2", "I3"), ("U1", "new"), ("ghost", "I1"), ("U5", "I1")])
+    # There is no table of candidates here.
+    d = types.SimpleNamespace(ratings=ratings, pair_table=(pairs, None), tables=sim.rating_tables(ratings, ["n"]))
+    means = {"I1": 3.5, "I2": 2.666667, "I3": 2.666667, "I4": 2.666667, "I5": 3.0}
+    asked = {("I3", other) for other in ("I1", "I2", "I4", "I3")} | {("I1", "I5")}
+    expected = sorted((item, other, means[item], means[other]) for item, other in asked)
+    assert queries.average_lookup(d).columns == ["item_id", "other_id", "item_mean", "other_mean"]
+    assert rows_of(queries.average_lookup(d)) == expected
