@@ -22,6 +22,7 @@ counts once per label. Without labelled examples of both kinds every score is th
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from starcast.llm.common import append_columns
 from starcast.session import materialize
@@ -50,6 +51,8 @@ MOST_EXAMPLES = 3_000
 PIECE = 20_000
 # Scores remembered in a task, for texts with equal counts.
 REMEMBERED = 20_000
+# Words, and longest beginnings of words, whose features are remembered in a task.
+WORDS = 50_000
 STRIPPED = ".,;:!?*#%$&|\"'()[]{}<>"
 
 
@@ -63,6 +66,29 @@ def features_of(word: str) -> list[str]:
 Counted = tuple[np.ndarray, np.ndarray]
 
 
+class Names:
+    """The numbers of features, which are their places in a list, by hashes of 64 bits.
+
+    Each task has all names of the index, and a dictionary of strings takes many times as much memory.
+    """
+
+    def __init__(self, names: Iterable[str]):
+        hashes = np.fromiter(map(xxh3_64_intdigest, names), np.uint64)
+        self.numbers = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.numbers]
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def numbers_of(self, names: list[str]) -> list[int]:
+        """The number of each name, -1 if it is not known."""
+        if not len(self):
+            return [-1] * len(names)
+        hashes = np.fromiter(map(xxh3_64_intdigest, names), np.uint64, len(names))
+        places = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        return np.where(self.hashes[places] == hashes, self.numbers[places], -1).tolist()
+
+
 class Remembered(dict):
     """What ``of_word`` gives for each word, kept."""
 
@@ -80,11 +106,15 @@ class Counts:
     ``known`` holds, as :func:`features_in` finds them, all shorter beginnings of each beginning.
     """
 
-    def __init__(self, known: dict[str, int] | None):
+    def __init__(self, known: Names | dict[str, int] | None):
         self.known = known
         self.words = Remembered(features_of if known is None else self._known_of)
+        self.beginnings: dict[str, tuple[int, ...]] = {}
 
     def _known_of(self, word: str) -> tuple[int, ...]:
+        if isinstance(self.known, Names):
+            self._look_up([word])
+            return self.words[word]
         known, word = self.known, word.strip(STRIPPED)
         found = [known[word]] if word in known else []
         for n in range(SHORTEST, min(LONGEST, len(word) - 1) + 1):
@@ -94,9 +124,31 @@ class Counts:
             found.append(number)
         return tuple(found)
 
+    def _look_up(self, words: list[str]) -> None:
+        """Remembers the known features of words. Names are looked up many at a time, and the beginnings of words that
+        begin alike once.
+        """
+        wholes = [word.strip(STRIPPED) for word in words]
+        numbers = self.known.numbers_of(wholes)
+        longest = [whole[: min(LONGEST, len(whole) - 1)] if len(whole) > SHORTEST else "" for whole in wholes]
+        new = list(set(longest).difference(self.beginnings))
+        names = [start[:n] + "-" for start in new for n in range(SHORTEST, len(start) + 1)]
+        found, place = self.known.numbers_of(names), 0
+        for start in new:
+            end = place + max(0, len(start) - SHORTEST + 1)
+            own = found[place:end]
+            self.beginnings[start] = tuple(own[: own.index(-1)] if -1 in own else own)
+            place = end
+        for word, number, start in zip(words, numbers, longest):
+            self.words[word] = (number, *self.beginnings[start]) if number >= 0 else self.beginnings[start]
+
     def _of_words(self, words: Iterable[str]) -> list[Sequence]:
-        if len(self.words) > 100_000:
+        if len(self.words) > WORDS:
             self.words.clear()
+        if len(self.beginnings) > WORDS:
+            self.beginnings.clear()
+        if isinstance(self.known, Names):
+            self._look_up([word for word in words if word not in self.words])
         return list(map(self.words.__getitem__, words))
 
     def names(self, text: str) -> set[str]:
@@ -176,7 +228,7 @@ def _places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Index:
     """Labelled examples: common features as a matrix, all others feature by feature."""
 
-    known: dict[str, int]
+    known: Names
     idf: np.ndarray
     labels: np.ndarray
     #: What codes stand for, 1 + ln of it, and each example's length.
@@ -212,15 +264,11 @@ class Index:
             self.table[number, self.examples[places]] = self.parts[places]
 
     def __getstate__(self) -> dict:
-        """Without what follows from the rest, and features as one string: to pickle each takes more memory than the
-        rest. None holds white space.
-        """
-        kept = {k: v for k, v in self.__dict__.items() if k not in ("table", "parts")}
-        return kept | {"known": "\n".join(self.known)}
+        """Without what follows from the rest."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "parts")}
 
     def __setstate__(self, state: dict) -> None:
-        names = state["known"].split("\n") if state["known"] else []
-        self.__dict__.update(state, known={f: i for i, f in enumerate(names)})
+        self.__dict__.update(state)
         self.__post_init__()
 
     def vector(self, counts: Counted) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +335,7 @@ def build(examples: list[tuple[str, int]], features: pd.DataFrame, k: int) -> In
 
 def gather(texts: Iterable[tuple[str, int]], features: pd.DataFrame, stands_for: dict[int, float]) -> Index:
     """The index before its calibration. The texts are read once, one at a time."""
-    known = {f: i for i, f in enumerate(features["feature"])}
+    known = Names(features["feature"])
     counts = Counts(known)
     names, times, labels, bare, seen = [], [], [], [], set()
     for text, toxic in texts:
@@ -300,7 +348,7 @@ def gather(texts: Iterable[tuple[str, int]], features: pd.DataFrame, stands_for:
         seen.update(np.unique(tf).tolist())
         labels.append(toxic)
     n, df = len(labels), features["df"].to_numpy(np.float64)
-    idf = np.log(1 + (n + len(bare)) / df) if known else np.empty(0)
+    idf = np.log(1 + (n + len(bare)) / df) if len(known) else np.empty(0)
     tf = np.array(sorted(seen), np.int64)
     gains = 1 + np.log(tf)
     sizes = np.zeros(len(known), np.int64)
@@ -407,7 +455,9 @@ def with_scores(
 
             def work() -> None:
                 for key, (score, neighbours) in zip(waiting, index.scores(list(waiting.values()), k)):
-                    remembered[key] = score, [(int(index.labels[e]), c) for e, c in neighbours]
+                    # As arrays: pairs of numbers take several times as much.
+                    toxic = bytes(int(index.labels[e]) for e, _ in neighbours)
+                    remembered[key] = score, toxic, array("d", [c for _, c in neighbours])
                 waiting.clear()
 
             for text in texts:
@@ -420,7 +470,7 @@ def with_scores(
                     work()
             work()
             results = [remembered[key] for key in keys]
-            return [[score for score, _ in results], [evidence for _, evidence in results]]
+            return [[score for score, _, _ in results], [list(zip(toxic, cosines)) for _, toxic, cosines in results]]
 
         return run
 

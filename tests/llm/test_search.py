@@ -5,9 +5,11 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from samples import awkward, documents, frame, prose, with_clashes
+
 from starcast.llm import common, decontamination, fingerprints, secrets, toxicity, url_filters
 
 
@@ -432,6 +434,23 @@ def test_toxicity_looks_up_no_beginning_after_one_that_is_unknown():
     assert [(names[f], t) for f, t in zip(features, times)] == [("bou-", 2), ("boun-", 2), ("bound-", 2)]
 
 
+def test_names_of_an_index_take_few_bytes_and_no_text():
+    import pickle
+
+    words = ["boundless", "bounded", "abcde", "ab", "()", "a!", "zzz", "boundary", "abcd", "\u00dcberma\u00df", ""]
+    names = sorted({name for word in words[:6] + words[-2:] for name in toxicity.features_of(word.lower())})
+    plain = toxicity.Counts({name: i for i, name in enumerate(names)})
+    small = toxicity.Counts(toxicity.Names(names))
+    for text in [*words, " ".join(words), "boundless Boundless, bounds ab ab", ""]:
+        assert [part.tolist() for part in small(text)] == [part.tolist() for part in plain(text)]
+    assert toxicity.Counts(toxicity.Names([]))("bounds")[0].tolist() == []
+    many = [f"name-{i}" for i in range(20_000)]
+    index = toxicity.gather([(name, i % 2) for i, name in enumerate(many)], pd.DataFrame({"feature": many, "df": 1}), {})
+    assert isinstance(index.known, toxicity.Names)
+    assert index.known.hashes.nbytes + index.known.numbers.nbytes == 12 * len(many)
+    assert pickle.loads(pickle.dumps(index)).known.numbers_of(["name-7", "name-x"]) == [7, -1]
+
+
 def test_texts_of_a_large_batch_are_scored_part_by_part(spark):
     sizes = common.ROWS_AT_A_TIME * 2 + 5
     df = spark.range(0, sizes, 1, 1).selectExpr("id AS doc_id", "if(id % 7 = 0, null, string(id)) AS text")
