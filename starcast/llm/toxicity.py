@@ -26,7 +26,7 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -47,8 +47,6 @@ SHORTEST, LONGEST = 3, 8
 # Features that more than one in so many examples hold are common: a product of matrices is cheaper than their lists.
 COMMON = 10
 MOST_EXAMPLES = 3_000
-# Features whose postings are weighted at a time.
-PIECE = 20_000
 # Scores remembered in a task, for texts with equal counts.
 REMEMBERED = 20_000
 # Words, and longest beginnings of words, whose features are remembered in a task.
@@ -80,13 +78,86 @@ class Names:
     def __len__(self) -> int:
         return len(self.numbers)
 
-    def numbers_of(self, names: list[str]) -> list[int]:
+    def found(self, names: list[str]) -> np.ndarray:
         """The number of each name, -1 if it is not known."""
         if not len(self):
-            return [-1] * len(names)
+            return np.full(len(names), -1, np.int32)
         hashes = np.fromiter(map(xxh3_64_intdigest, names), np.uint64, len(names))
         places = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
-        return np.where(self.hashes[places] == hashes, self.numbers[places], -1).tolist()
+        return np.where(self.hashes[places] == hashes, self.numbers[places], np.int32(-1))
+
+    def numbers_of(self, names: list[str]) -> list[int]:
+        """As :func:`found`."""
+        return self.found(names).tolist()
+
+
+class Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+    def since(self, n: int) -> list[str]:
+        """The keys from number ``n`` on."""
+        return list(islice(reversed(self), len(self) - n))[::-1]
+
+
+class Vocabulary:
+    """The known features of words, as arrays: of each word its own feature, or -1, and the number of its longest beginning;
+    of each beginning the features of it and of its own beginnings.
+
+    New words wait until all texts of a batch are split, so they are looked up many at a time, and once for all texts.
+    """
+
+    def __init__(self, known: Names):
+        self.known = known
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.beginnings = Numbered(), Numbered()
+        self.wholes, self.longest = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.ends, self.features = np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def look_up(self) -> None:
+        """Finds the features of all words that are new."""
+        wholes = [word.strip(STRIPPED) for word in self.words.since(len(self.wholes))]
+        if not wholes:
+            return
+        longest = [whole[: min(LONGEST, len(whole) - 1)] if len(whole) > SHORTEST else "" for whole in wholes]
+        longest = np.fromiter(map(self.beginnings.__getitem__, longest), np.int32, len(longest))
+        self.wholes = np.concatenate([self.wholes, self.known.found(wholes)])
+        self.longest = np.concatenate([self.longest, longest])
+        starts = self.beginnings.since(len(self.ends) - 1)
+        lengths = np.fromiter(map(len, starts), np.int64, len(starts))
+        left, places, found = np.arange(len(starts)), [], []
+        for n in range(SHORTEST, LONGEST + 1):
+            left = left[lengths[left] >= n]
+            features = self.known.found([starts[place][:n] + "-" for place in left.tolist()])
+            # What follows a beginning that is not known is not known either.
+            left, features = left[features >= 0], features[features >= 0]
+            places.append(left)
+            found.append(features)
+        places = np.concatenate(places)
+        order = np.argsort(places, kind="stable")
+        self.features = np.concatenate([self.features, np.concatenate(found)[order]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(places, minlength=len(starts)))])
+
+    def counted(self, numbers: np.ndarray) -> Counted:
+        """The features of a text, given the numbers of its words."""
+        words, times = np.unique(numbers, return_counts=True)
+        wholes, longest = self.wholes[words], self.longest[words]
+        starts, ends = self.ends[longest], self.ends[longest + 1]
+        own = wholes >= 0
+        features = np.concatenate([wholes[own], self.features[_places(starts, ends)]]).astype(np.int64)
+        # Numbers of features and counts are sorted as one number.
+        both = np.sort(features << 32 | np.concatenate([times[own], np.repeat(times, ends - starts)]))
+        features = both >> 32
+        firsts = np.flatnonzero(np.diff(features, prepend=-1))
+        return features[firsts], np.add.reduceat(both & 0xFFFFFFFF, firsts) if len(firsts) else np.empty(0, np.int64)
 
 
 class Remembered(dict):
@@ -108,13 +179,10 @@ class Counts:
 
     def __init__(self, known: Names | dict[str, int] | None):
         self.known = known
+        self.vocabulary = Vocabulary(known) if isinstance(known, Names) else None
         self.words = Remembered(features_of if known is None else self._known_of)
-        self.beginnings: dict[str, tuple[int, ...]] = {}
 
     def _known_of(self, word: str) -> tuple[int, ...]:
-        if isinstance(self.known, Names):
-            self._look_up([word])
-            return self.words[word]
         known, word = self.known, word.strip(STRIPPED)
         found = [known[word]] if word in known else []
         for n in range(SHORTEST, min(LONGEST, len(word) - 1) + 1):
@@ -124,31 +192,9 @@ class Counts:
             found.append(number)
         return tuple(found)
 
-    def _look_up(self, words: list[str]) -> None:
-        """Remembers the known features of words. Names are looked up many at a time, and the beginnings of words that
-        begin alike once.
-        """
-        wholes = [word.strip(STRIPPED) for word in words]
-        numbers = self.known.numbers_of(wholes)
-        longest = [whole[: min(LONGEST, len(whole) - 1)] if len(whole) > SHORTEST else "" for whole in wholes]
-        new = list(set(longest).difference(self.beginnings))
-        names = [start[:n] + "-" for start in new for n in range(SHORTEST, len(start) + 1)]
-        found, place = self.known.numbers_of(names), 0
-        for start in new:
-            end = place + max(0, len(start) - SHORTEST + 1)
-            own = found[place:end]
-            self.beginnings[start] = tuple(own[: own.index(-1)] if -1 in own else own)
-            place = end
-        for word, number, start in zip(words, numbers, longest):
-            self.words[word] = (number, *self.beginnings[start]) if number >= 0 else self.beginnings[start]
-
     def _of_words(self, words: Iterable[str]) -> list[Sequence]:
         if len(self.words) > WORDS:
             self.words.clear()
-        if len(self.beginnings) > WORDS:
-            self.beginnings.clear()
-        if isinstance(self.known, Names):
-            self._look_up([word for word in words if word not in self.words])
         return list(map(self.words.__getitem__, words))
 
     def names(self, text: str) -> set[str]:
@@ -156,6 +202,19 @@ class Counts:
         return set(chain.from_iterable(self._of_words(set(text.lower().split()))))
 
     def __call__(self, text: str) -> Counted:
+        return self.of_texts([text])[0]
+
+    def of_texts(self, texts: Iterable[str]) -> list[Counted]:
+        """The counts of each text; with :class:`Names` new words are looked up once for all of them."""
+        if self.vocabulary is None:
+            return list(map(self._of_text, texts))
+        if len(self.vocabulary.words) > WORDS:
+            self.vocabulary.clear()
+        numbers = [self.vocabulary.numbers(text.lower().split()) for text in texts]
+        self.vocabulary.look_up()
+        return list(map(self.vocabulary.counted, numbers))
+
+    def _of_text(self, text: str) -> Counted:
         words = Counter(text.lower().split())
         parts = self._of_words(words)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -248,24 +307,17 @@ class Index:
     voters: int = K
 
     def __post_init__(self) -> None:
-        #: Each posting's share of the cosine for a query weight of 1. Each task has its own, so it is made in pieces.
-        self.parts = np.empty(len(self.codes))
-        sizes = np.diff(self.starts)
-        for first in range(0, len(sizes), PIECE):
-            some = slice(first, first + PIECE)
-            places = slice(self.starts[first], self.starts[min(first + PIECE, len(sizes))])
-            idf = np.repeat(self.idf[some], sizes[some])
-            self.parts[places] = self.gains[self.codes[places]] * idf / self.norms[self.examples[places]]
-        #: The same by number of the common feature and example.
+        #: Each common feature's share of the cosine for a query weight of 1, by its number and example.
         often = np.flatnonzero(self.common >= 0)
         self.table = np.zeros((len(often), len(self.labels)))
         for number, f in enumerate(often.tolist()):
             places = slice(*self.starts[f : f + 2])
-            self.table[number, self.examples[places]] = self.parts[places]
+            examples = self.examples[places]
+            self.table[number, examples] = self.gains[self.codes[places]] * self.idf[f] / self.norms[examples]
 
     def __getstate__(self) -> dict:
         """Without what follows from the rest."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("table", "parts")}
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -297,8 +349,9 @@ class Index:
         features, weights = features[rare], weights[rare]
         starts, ends = self.starts[features], self.starts[features + 1]
         places = _places(starts, ends)
-        parts = np.repeat(weights, ends - starts) * self.parts[places]
-        scores = scores + np.bincount(self.examples[places], parts, len(self.labels))
+        # Each task has its own index, and weights of all postings would take more memory than the postings.
+        parts = np.repeat(weights * self.idf[features], ends - starts) * self.gains[self.codes[places]]
+        scores = scores + np.bincount(self.examples[places], parts, len(self.labels)) / self.norms
         if without >= 0:
             scores[without] = 0
         # Cosines compare by nine digits, so more than k may stand as high as the k-th.
@@ -460,14 +513,14 @@ def with_scores(
                     remembered[key] = score, toxic, array("d", [c for _, c in neighbours])
                 waiting.clear()
 
-            for text in texts:
-                own = counts(text)
-                key = xxh3_128_digest(np.concatenate(own).tobytes())
-                keys.append(key)
-                if key not in remembered:
-                    waiting[key] = own
-                if len(waiting) >= BATCH:
-                    work()
+            for first in range(0, len(texts), BATCH):
+                for own in counts.of_texts(texts[first : first + BATCH]):
+                    key = xxh3_128_digest(np.concatenate(own).tobytes())
+                    keys.append(key)
+                    if key not in remembered:
+                        waiting[key] = own
+                    if len(waiting) >= BATCH:
+                        work()
             work()
             results = [remembered[key] for key in keys]
             return [[score for score, _, _ in results], [list(zip(toxic, cosines)) for _, toxic, cosines in results]]

@@ -451,6 +451,38 @@ def test_names_of_an_index_take_few_bytes_and_no_text():
     assert pickle.loads(pickle.dumps(index)).known.numbers_of(["name-7", "name-x"]) == [7, -1]
 
 
+def test_words_of_many_texts_are_looked_up_together():
+    rng = np.random.default_rng(5)
+    letters = list("abc")
+    words = ["".join(rng.choice(letters, rng.integers(1, 13))) + str(rng.choice(["", "!", "-"])) for _ in range(400)]
+    names = sorted({name for word in words[:150] for name in toxicity.features_of(word)})
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(50)]
+    plain = toxicity.Counts({name: i for i, name in enumerate(names)})
+    asked = []
+
+    class Known(toxicity.Names):
+        def found(self, names):
+            asked.append(names)
+            return super().found(names)
+
+    counts = toxicity.Counts(Known(names))
+    for batch in (texts[:30], texts[20:], []):
+        found = counts.of_texts(batch)
+        assert [[part.tolist() for part in own] for own in found] == [[part.tolist() for part in plain(text)] for text in batch]
+    # One search for whole words and one for beginnings of each length, not some for each text.
+    assert len(asked) <= 2 * (2 + toxicity.LONGEST - toxicity.SHORTEST)
+
+
+def test_a_loaded_index_holds_no_weight_for_each_posting():
+    rng = np.random.default_rng(6)
+    names = [f"w{i}" for i in range(3_000)]
+    examples = [(" ".join(rng.choice(names, 200)), i % 2) for i in range(300)]
+    df = collections.Counter(name for text, _ in examples for name in set(text.split()))
+    index = toxicity.gather(examples, pd.DataFrame({"feature": names, "df": [max(1, df[n]) for n in names]}), {})
+    large = [k for k, v in vars(index).items() if getattr(v, "nbytes", 0) >= 8 * len(index.codes) and k != "table"]
+    assert large == [] and index.codes.nbytes + index.examples.nbytes <= 4 * len(index.codes)
+
+
 def test_texts_of_a_large_batch_are_scored_part_by_part(spark):
     sizes = common.ROWS_AT_A_TIME * 2 + 5
     df = spark.range(0, sizes, 1, 1).selectExpr("id AS doc_id", "if(id % 7 = 0, null, string(id)) AS text")
