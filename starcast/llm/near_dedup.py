@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     ids = filled.join(classes.select("words_a", "words_b", "rep"), ["words_a", "words_b"]).select("doc_id", "rep")
     lowest = ids.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     shared = ids.join(lowest, "doc_id").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    grouped = components(similar.unionByName(shared))
+    # Written between two steps in Python: a task that runs both holds two workers, which then stay.
+    grouped = components(materialize(similar.unionByName(shared), "links"))
     located = classes.join(grouped, F.col("rep") == F.col("node"), "left").select(
         "words_a", "words_b", "doc_id", F.coalesce("component", "rep").alias("component")
     )

@@ -227,3 +227,19 @@ def test_empty_tables(none):
     assert line_dedup.without_repeated_lines(none).count() == 0
     assert near_dedup.near_duplicates(none).count() == 0
     assert repeated_bytes.without_repeats(none).count() == 0
+
+
+def test_no_task_of_near_dedup_runs_two_steps_in_python(spark, monkeypatch):
+    plans, contract = [], near_dedup.contract
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return contract(edges)
+
+    monkeypatch.setattr(near_dedup, "contract", seen)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base + " x"), (3, base + " y"), (4, "something else entirely here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert len(plans) == 2 and not any("Pandas" in plan or "Arrow" in plan for plan in plans)
