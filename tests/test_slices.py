@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from starcast import session
 from starcast.checks import queries
 from starcast.operators import similarity as sim
+from starcast.plans import item_cf as plan
 
 
 def tables(spark):
@@ -46,6 +47,7 @@ def rounded(df):
 SLICED = {
     "item_similarity": lambda d: sim.item_similarity(d.item_pairs, d.tables),
     "positive_similarities": lambda d: sim.positive_similarities(sim.item_similarity(d.item_pairs, d.tables)),
+    "item_cf": lambda d: plan.item_cf(d.ratings, d.pairs, ["n"]),
 }
 
 
