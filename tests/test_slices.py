@@ -48,6 +48,7 @@ SLICED = {
     "item_similarity": lambda d: sim.item_similarity(d.item_pairs, d.tables),
     "positive_similarities": lambda d: sim.positive_similarities(sim.item_similarity(d.item_pairs, d.tables)),
     "corated": lambda d: queries.corated(d),
+    "weighted_prediction": lambda d: queries.weighted_prediction(d),
     "item_cf": lambda d: plan.item_cf(d.ratings, d.pairs, ["n"]),
 }
 
