@@ -73,3 +73,15 @@ def test_a_slice_leaves_only_its_rows_on_disk(spark, monkeypatch, tmp_path):
         assert rows_of(parts) == [(0,), (1,), (10,), (11,), (12,), (2,)]
         assert sorted({path.name.rsplit("-", 1)[0] for path in tmp_path.iterdir()}) == ["part"]
     assert not list(tmp_path.iterdir())
+
+
+def test_evaluation_of_sliced_predictions(spark, monkeypatch, made):
+    def report():
+        d = inputs(spark)
+        d.__dict__["truth"] = d.pairs.select("*", (F.col("user_id") % 5 + 1).cast("double").alias("stars"))
+        return rounded(queries.evaluate_item_cf(d))
+
+    monkeypatch.setattr(queries.views, "RATING_ORDER", ["n"])
+    whole = report()
+    monkeypatch.setattr(sim, "ROWS_PER_SLICE", 100)
+    assert report() == whole and made and min(made) > 2
